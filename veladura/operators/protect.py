@@ -45,6 +45,15 @@ def fits(c: Column, name: str) -> Column:
     return normalized(c, name).rlike(template)
 
 
+def protectable(columns: Mapping[str, str]) -> Column:
+    """Can every one of these values of a row be transformed?"""
+    answer = F.lit(True)
+    for c, name in columns.items():
+        if P.transformation(name).template is not None:
+            answer = answer & (~has_value(named(c)) | fits(named(c), name))
+    return answer
+
+
 def failure(on_error: str, what: str) -> Column:
     """What stands in for a value that cannot be transformed.  Never shows the value."""
     if on_error == RAISE:
