@@ -127,6 +127,13 @@ def stored_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rough_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rough customers as a table of their own, as a job would find them."""
+    return _once(
+        spark, sf_dir, "rough", lambda path: write_parquet(rough_people(spark, sf_dir), path)
+    )
+
+
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table to retrofit; every fourth row was protected earlier."""
     from veladura.plans.retrofit import protect_rows

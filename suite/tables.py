@@ -12,6 +12,7 @@ from suite.data import (
     purchases,
     retrofitted,
     rough_people,
+    rough_table,
     stored,
     stored_staging,
     table,
@@ -171,7 +172,7 @@ def synthetic_customers_in_full(spark, sf_dir):
 )
 def seed_customers(spark, sf_dir):
     """Protect and insert; a row with any value that cannot be protected is not inserted."""
-    raw = rough_people(spark, sf_dir).select(
+    raw = rough_table(spark, sf_dir).select(
         "id", "nome", "cpf", "email", "telefone", "pan", "dob", "endereco"
     )
     clean = protectable(P.customer_policy.resolve(raw.columns))

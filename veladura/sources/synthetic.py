@@ -83,10 +83,10 @@ def customer_fields(k: Column) -> dict[str, Column]:
     }
 
 
-def customers(keys: DataFrame, key: str) -> DataFrame:
+def customers(keys: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One fictitious customer per row of a frame with a bigint key."""
     fields = customer_fields(F.col(key))
-    return keys.select(*[value.alias(name) for name, value in fields.items()])
+    return keys.select(*[value.alias(name) for name, value in fields.items()], *keep)
 
 
 def sample_customers(spark: SparkSession, n: int = 200) -> DataFrame:

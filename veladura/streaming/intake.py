@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veladura import policy as P
 from veladura.keys import Keyring
-from veladura.operators.protect import NULL
+from veladura.operators.protect import NULL, protect
 from veladura.operators.validate import only_new
+from veladura.operators.views import stored_names
 from veladura.plans.create import take_in
 
 
@@ -74,12 +75,13 @@ def protect_append(
     keyring: Keyring,
     policy: P.ProtectionPolicy,
     role: str = "api-role",
+    on_error: str = NULL,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Accepted rows only, straight to a Parquet sink."""
+    """Protect any stream straight into a Parquet sink; no row is left out, no state kept."""
     return (
-        take_in(raw, keyring, policy, role, on_error=NULL)
-        .accepted.writeStream.format("parquet")
+        stored_names(protect(raw, policy, keyring, role, on_error))
+        .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
