@@ -234,8 +234,9 @@ def join_on_protected_key(spark, sf_dir):
         table(spark, sf_dir, "customer"), "c_custkey", keep=("c_nationkey",)
     ).select("cpf", "raca", "c_nationkey")
     policy = P.ProtectionPolicy.of("cpf", "raca")
-    safe_cards = protect(cards, policy, DEMO_KEYS)
-    safe_sales = protect(purchases(spark, sf_dir).select("cpf", "cents"), policy, DEMO_KEYS)
+    safe_cards = protect(cards, policy, DEMO_KEYS, pin=True)
+    sales = purchases(spark, sf_dir).select("cpf", "cents")
+    safe_sales = protect(sales, policy, DEMO_KEYS, pin=True)
     spent = safe_sales.groupBy("cpf").agg(
         F.count(F.lit(1)).alias("n_orders"), F.sum("cents").alias("cents")
     )

@@ -47,11 +47,20 @@ def cipher_udf(name: str, keyring: Keyring, digits: int | None = None, decode: b
     return F.arrow_udf(chosen, "bigint")
 
 
-def fpe(digits: Column, name: str, keyring: Keyring, decode: bool = False) -> Column:
-    """Encode (or decode) text of digits; null where it does not fit the template."""
+def fpe(
+    digits: Column, name: str, keyring: Keyring, decode: bool = False, pin: bool = False
+) -> Column:
+    """Encode (or decode) text of digits; null where it does not fit the template.
+
+    ``pin`` keeps the optimizer from copying the cipher into a filter: a join on the
+    result, or a condition on it, would else run the cipher twice per row.  The price
+    is that no filter moves below it, so filter first.
+    """
     t = transformation(name)
     number = F.when(digits.rlike(t.template), digits.cast("bigint"))
     function = cipher_udf(name, keyring, t.digits, decode)
+    if pin:
+        function = function.asNondeterministic()
     if t.digits is not None:
         return F.lpad(function(number).cast("string"), t.digits, "0")
     width = F.length(digits)

@@ -55,7 +55,7 @@ def find_many(
     """
     P.check_grants(role, "encode", [name])
     wanted = searched.select(
-        protect_column(named(raw), name, keyring, on_error).alias(protected)
+        protect_column(named(raw), name, keyring, on_error, pin=True).alias(protected)
     ).distinct()
     if small_enough(searched):
         wanted = F.broadcast(wanted)

@@ -66,17 +66,23 @@ def failure(on_error: str, what: str) -> Column:
 
 
 def protect_column(
-    c: Column, name: str, keyring: Keyring, on_error: str = RAISE, keep_format: bool = False
+    c: Column,
+    name: str,
+    keyring: Keyring,
+    on_error: str = RAISE,
+    keep_format: bool = False,
+    pin: bool = False,
 ) -> Column:
     """The protected form of a text column.
 
     Null stays null, blank stays as it is.  ``keep_format`` leaves the separators
-    of CPF and CNPJ numbers in place instead of returning digits only.
+    of CPF and CNPJ numbers in place instead of returning digits only.  ``pin``
+    is for columns that are joined on or filtered by next; see ``fpe``.
     """
     kind = P.transformation(name).kind
     failed = failure(on_error, f"a value does not fit the template of {name}")
     if kind == P.FPE:
-        coded = fpe.fpe(normalized(c, name), name, keyring)
+        coded = fpe.fpe(normalized(c, name), name, keyring, pin=pin)
         shown = fpe.like_original(coded, c, name) if keep_format else coded
         # null means that the template did not fit: no need to test it again
         return F.coalesce(shown, F.when(~has_value(c), c).otherwise(failed))
@@ -94,6 +100,7 @@ def protect(
     role: str = "api-role",
     on_error: str = RAISE,
     names: Mapping[str, str] | None = None,
+    pin: bool = False,
 ) -> DataFrame:
     """Protect the columns a policy lists, in place.
 
@@ -106,7 +113,7 @@ def protect(
     target = names or {}
     return df.withColumns(
         {
-            target.get(c, c): protect_column(named(c), name, keyring, on_error)
+            target.get(c, c): protect_column(named(c), name, keyring, on_error, pin=pin)
             for c, name in columns.items()
         }
     )

@@ -72,17 +72,17 @@ def duplicate_keys(df: DataFrame, key: str = "cpf_protected") -> DataFrame:
 
 
 def only_new(incoming: DataFrame, stored: DataFrame, key: str = "cpf_protected") -> DataFrame:
-    """Incoming rows whose key is neither stored nor repeated (lowest id wins).
+    """Incoming rows whose key is neither stored nor repeated (lowest first column wins).
 
-    The aggregation keeps one row per key before the shuffle, so a key that
-    fills a third of the input reaches the reducers as one row per task.
+    Repeats go first: the aggregation keeps one row per key and task before the
+    shuffle, so a key that fills a third of the input crowds no task, and the join
+    with the stored keys finds the rows already partitioned by key.
     """
     rest = [c for c in incoming.columns if c != key]
-    # a struct compares field by field: the lowest id decides
     first = F.min(F.struct(*[named(c) for c in rest])).alias("first")
-    fresh = incoming.join(stored.select(key), key, "left_anti")
-    kept = fresh.groupBy(key).agg(first).select(key, "first.*")
-    return kept.select(*[named(c) for c in incoming.columns])
+    kept = incoming.groupBy(key).agg(first)
+    fresh = kept.join(stored.select(key), key, "left_anti")
+    return fresh.select(key, "first.*").select(*[named(c) for c in incoming.columns])
 
 
 def length_report(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:

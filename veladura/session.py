@@ -30,12 +30,14 @@ _own_folder: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Where tables that other tasks must be able to read may be written.
 
-    The folder that the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset, as in tests, a temporary one.
+    The folder that the cluster names in ``spark.checkpoint.dir``; where that is
+    unset, a temporary one, but only if all tasks run on this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_folder:
         _own_folder[application] = tempfile.mkdtemp(prefix="veladura-")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veladura.operators.protect import named
 from veladura.schemas import STAGING, STORED_CUSTOMER
 
-ID_BUCKETS = 1024
+ROWS_PER_BUCKET = 1_000_000
 
 
 def read_table(spark: SparkSession, where: str) -> DataFrame:
@@ -39,14 +39,20 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_clustered(df: DataFrame, path: str, key: str = "cpf_protected") -> None:
-    """Store a table so that equality searches on ``key`` skip nearly all of it.
+def write_clustered(
+    df: DataFrame, path: str, key: str = "cpf_protected", files: int | None = None
+) -> None:
+    """Store a table so that equality searches on an encrypted ``key`` skip nearly all of it.
 
-    Encrypted keys are spread evenly, so ranges are of equal size.  Row-group
-    statistics prune by range and a bloom filter inside the range that is left.
+    Encrypted digits are spread evenly, so equal ranges of them are equal shares of
+    the rows and need no sampling pass.  A search is led to one file by the file's
+    smallest and largest key, and inside it by row-group statistics and a bloom filter.
     """
+    parts = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lead = F.rpad(F.left(named(key), F.lit(9)), 9, "0").try_cast("bigint")
+    place = F.call_function("div", lead * parts, F.lit(10**9)).cast("int")
     (
-        df.repartitionByRange(named(key))
+        df.repartitionById(parts, place)
         .sortWithinPartitions(named(key))
         .write.mode("overwrite")
         .option(f"parquet.bloom.filter.enabled#{key}", "true")
@@ -58,17 +64,22 @@ def with_stamps(df: DataFrame) -> DataFrame:
     return df.withColumns({"created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
 
 
-def with_new_ids(df: DataFrame, key: str, after: Column, buckets: int = ID_BUCKETS) -> DataFrame:
+def with_new_ids(
+    df: DataFrame, key: str, after: Column, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Consecutive ids that follow ``after``, in an order fixed by ``key``.
 
-    Keys must be unique.  Rows are numbered inside hash buckets and each bucket
-    starts where the ones before it end, so no task sees more than a bucket, and a
-    task that is run again gives the same ids.
+    Keys must be unique.  Rows are numbered inside hash buckets, of which there are
+    as many as the row count asks for, and each bucket starts where the ones before
+    it end.  So no task sees much more than a bucket, and a task that is run again
+    gives the same ids.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(named(key)), F.lit(buckets)))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    buckets = F.call_function("div", total, F.lit(rows_per_bucket)) + 1
+    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(named(key)), buckets))
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(  # one row per bucket
+    starts = sizes.select(  # one row per bucket: a millionth of the rows
         "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
     )
     inside = Window.partitionBy("_bucket").orderBy(named(key))
