@@ -14,6 +14,7 @@ from veladura.operators.protect import protect
 from veladura.operators.token_map import build_token_map
 from veladura.operators.views import stored_names
 from veladura.plans.create import stored_projection
+from veladura.plans.retrofit import protect_in_place, protect_rows
 from veladura.session import fresh_path
 from veladura.sources.synthetic import customer_cpf, customers
 from veladura.sources.tables import staging_rows, write_clustered, write_parquet
@@ -136,8 +137,6 @@ def rough_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table to retrofit; every fourth row was protected earlier."""
-    from veladura.plans.retrofit import protect_rows
-
     rows = staging_rows(people(spark, sf_dir)).withColumn("created_at", created_at(F.col("id")))
     done = protect_rows(rows.filter("id % 4 = 0"), DEMO_KEYS)
     return rows.filter("id % 4 <> 0").unionByName(done)
@@ -150,8 +149,6 @@ def stored_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrofitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veladura.plans.retrofit import protect_in_place
-
     return _once(
         spark,
         sf_dir,

@@ -727,7 +727,7 @@ def legal_coverage(spark, sf_dir):
 
 
 def _grant_case(role: str) -> str:
-    names = ", ".join(f"'{n}'" for n in P.ENCODE_GRANTS[role])
+    names = ", ".join(f"'{n}'" for n in P.ENCODE_GRANTS[role]) or "NULL"
     decode = "reversible" if role == "core-role" else "FALSE"
     return (
         f"CASE WHEN transformation IN ({names}) AND {decode} THEN 'encode+decode' "

@@ -13,6 +13,7 @@ from veladura.keys import Keyring
 
 RAISE, NULL, SENTINEL = "raise", "null", "sentinel"
 SENTINEL_VALUE = "ERROR"
+WHITESPACE = " \t\n\r\v\f"
 
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {
     "ff-cpf": text.normalize_cpf,
@@ -30,7 +31,7 @@ def named(column: str) -> Column:
 
 def has_value(c: Column) -> Column:
     """Neither null nor blank: only such values are transformed."""
-    return F.coalesce(F.trim(c) != "", F.lit(False))
+    return F.coalesce(F.btrim(c, F.lit(WHITESPACE)) != "", F.lit(False))
 
 
 def normalized(c: Column, name: str) -> Column:

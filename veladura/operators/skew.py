@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +23,36 @@ def hot_keys(df: DataFrame, key: str, share: int) -> DataFrame:
 
 
 def lookup_join(
-    facts: DataFrame, entries: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS
+    facts: DataFrame,
+    entries: DataFrame,
+    key: str,
+    broadcast_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
+    finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Left join of ``facts`` to ``entries``, which have one row per key.
 
-    A small table is broadcast once its size has been checked.  Otherwise the keys
-    that would outgrow one shuffle partition are split off: there are at most as
-    many as partitions, so their entries can be broadcast and their rows need no
-    shuffle.  Null keys find nothing and stay with them.  The rest is an ordinary
-    shuffled join in which no key exceeds a partition's fair share.
+    A small table is broadcast once its size has been checked (``small`` says that
+    the caller did).  Otherwise the keys that would outgrow one shuffle partition are
+    split off: there are at most as many as partitions, so their entries can be
+    broadcast and their rows need no shuffle.  Null keys find nothing and stay with
+    them.  The rest is an ordinary shuffled join in which no key exceeds a
+    partition's fair share.
+
+    ``finish`` is costly work on the entries' columns.  It is done on entries that
+    are broadcast, once each, but after a shuffled join on what was found.
     """
-    if small_enough(entries, broadcast_rows):
-        return facts.join(F.broadcast(entries), key, "left")
+    if small is None:
+        small = small_enough(entries, broadcast_rows)
+    if small:
+        return facts.join(F.broadcast(finish(entries)), key, "left")
     spark = facts.sparkSession
     share = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = hot_keys(facts, key, share).collect()  # at most ``share`` rows
-    schema = facts.select(key).schema
-    hot = spark.createDataFrame([(row[0],) for row in found], schema)
-    is_hot = hot.withColumn("_hot", F.lit(True))
-    marked = facts.join(F.broadcast(is_hot), key, "left")
+    hot = spark.createDataFrame([(row[0],) for row in found], facts.select(key).schema)
+    marked = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     apart = F.col("_hot").isNotNull() | F.col(key).isNull()
-    hot_entries = entries.join(F.broadcast(hot), key, "left_semi")
+    hot_entries = finish(entries.join(F.broadcast(hot), key, "left_semi"))
     frequent = marked.filter(apart).drop("_hot").join(F.broadcast(hot_entries), key, "left")
-    others = marked.filter(~apart).drop("_hot").join(entries, key, "left")
+    others = finish(marked.filter(~apart).drop("_hot").join(entries, key, "left"))
     return frequent.unionByName(others)

@@ -66,10 +66,24 @@ def token_collisions(df: DataFrame, columns: Mapping[str, str], keyring: Keyring
     )
 
 
-def _original(c: Column, sealed: Column, name: str, keyring: Keyring, on_error: str) -> Column:
+def _entry_counts(token_map: DataFrame) -> dict[str, int]:
+    """Entries per transformation, of which there are a handful."""
+    counts = token_map.groupBy("transformation").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {row.transformation: row.n for row in counts}
+
+
+def _open(names: Iterable[str], keyring: Keyring) -> Callable[[DataFrame], DataFrame]:
+    """Decrypt the sealed values of joined or stored entries."""
+    opened = F.when(F.lit(False), F.lit(None))
+    for name in names:
+        value = tokens.unseal(F.col("_sealed"), name, keyring)
+        opened = opened.when(F.col("_name") == name, value)
+    return lambda rows: rows.withColumn("_value", opened).drop("_sealed", "_name")
+
+
+def _original(c: Column, name: str, on_error: str) -> Column:
     missing = failure(on_error, f"a token of {name} is not in the token map")
-    opened = tokens.unseal(sealed, name, keyring)
-    return F.when(~has_value(c), c).when(sealed.isNotNull(), opened).otherwise(missing)
+    return F.when(~has_value(c), c).otherwise(F.coalesce(F.col("_value"), missing))
 
 
 def detokenize(
@@ -87,14 +101,17 @@ def detokenize(
     """
     P.check_grants(role, "decode", sorted(set(columns.values())))
     order = [named(c) for c in df.columns]
+    counts = _entry_counts(token_map)
     for c, name in columns.items():
         entries = token_map.filter(F.col("transformation") == name).select(
-            F.col("token").alias("_token"), F.col("value_enc").alias("_sealed")
+            F.col("token").alias("_token"),
+            F.col("transformation").alias("_name"),
+            F.col("value_enc").alias("_sealed"),
         )
         keyed = df.withColumn("_token", F.when(has_value(named(c)), named(c)))
-        found = lookup_join(keyed, entries, "_token", broadcast_rows)
-        opened = _original(named(c), F.col("_sealed"), name, keyring, on_error)
-        df = found.withColumn(c, opened).select(*order)
+        small = counts.get(name, 0) <= broadcast_rows
+        found = lookup_join(keyed, entries, "_token", small=small, finish=_open([name], keyring))
+        df = found.withColumn(c, _original(named(c), name, on_error)).select(*order)
     return df
 
 
@@ -105,6 +122,7 @@ def detokenize_mixed(
     token_map: DataFrame,
     keyring: Keyring,
     on_error: str = RAISE,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add ``target`` with the originals of a ``(transformation, value)`` frame.
 
@@ -113,12 +131,13 @@ def detokenize_mixed(
     names, order = list(names), [named(c) for c in df.columns]
     kind, value = F.col("transformation"), F.col("value")
     address = F.when(kind.isin(names) & has_value(value), F.concat_ws(":", kind, value))
-    entries = token_map.select(
+    entries = token_map.filter(kind.isin(names)).select(
         F.concat_ws(":", "transformation", "token").alias("_token"),
+        F.col("transformation").alias("_name"),
         F.col("value_enc").alias("_sealed"),
     )
-    found = lookup_join(df.withColumn("_token", address), entries, "_token")
-    opened = _by_transformation(
-        names, lambda n: _original(value, F.col("_sealed"), n, keyring, on_error)
-    )
-    return found.select(*order, opened.alias(target))
+    small = sum(_entry_counts(token_map).values()) <= broadcast_rows
+    keyed = df.withColumn("_token", address)
+    found = lookup_join(keyed, entries, "_token", small=small, finish=_open(names, keyring))
+    original = _by_transformation(names, lambda n: _original(value, n, on_error))
+    return found.select(*order, original.alias(target))

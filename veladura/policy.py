@@ -126,6 +126,7 @@ ENCODE_GRANTS = {
         "tok-endereco", "tok-conta", "tok-saude", "tok-raca", "tok-religiao",
     ),
     "support-role": ("mask-email", "mask-nome", "mask-dob", "mask-cvv"),
+    "dpo-role": (),
 }
 DECODE_ROLES = ("core-role",)
 
