@@ -17,7 +17,12 @@ from veladura.plans.create import stored_projection
 from veladura.plans.retrofit import protect_in_place, protect_rows
 from veladura.session import fresh_path
 from veladura.sources.synthetic import customer_cpf, customers
-from veladura.sources.tables import staging_rows, write_clustered, write_parquet
+from veladura.sources.tables import (
+    staging_rows,
+    write_clustered,
+    write_parquet,
+    write_token_map,
+)
 
 DEMO_KEYS = Keyring(b"demonstration secret, never for real data")
 TOKEN_FIELDS = {f: P.FIELD_TRANSFORMATIONS[f] for f in ("endereco", "conta", "saude", "raca", "religiao")}
@@ -122,7 +127,7 @@ def stored_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "token-map",
-        lambda path: write_parquet(
+        lambda path: write_token_map(
             build_token_map(people(spark, sf_dir), TOKEN_FIELDS, DEMO_KEYS), path
         ),
     )

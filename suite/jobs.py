@@ -24,6 +24,7 @@ from veladura import policy as P
 from veladura.functions import tokens
 from veladura.functions.sql import register_protect_functions, register_text_functions
 from veladura.operators import audit, verify
+from veladura.operators.lookup import by_id
 from veladura.operators.protect import (
     encode_values,
     protect,
@@ -326,7 +327,7 @@ def detokenize_large_map(spark, sf_dir):
     safe = protect(raw, P.ProtectionPolicy.of("endereco"), DEMO_KEYS)
     return detokenize(
         safe, {"endereco": "tok-endereco"}, stored_token_map(spark, sf_dir), DEMO_KEYS,
-        broadcast_rows=0,
+        broadcast_rows=0, few_rows=0,
     )
 
 
@@ -366,6 +367,20 @@ def reveal_stored_customers(spark, sf_dir):
     return reveal_customers(stored(spark, sf_dir), DEMO_KEYS, stored_token_map(spark, sf_dir))
 
 
+@query(
+    "E6",
+    X.people(
+        f"SELECT id, nome, {X.CPF_FORMATTED.format(c='cpf')} AS cpf, {X.mask_email('email')} AS email, "
+        "telefone, pan, endereco, conta FROM people WHERE id = 42"
+    ),
+)
+def reveal_one_customer(spark, sf_dir):
+    """Filtered first: one row is decoded, and its tokens filter the scan of the map."""
+    return reveal_customers(
+        by_id(stored(spark, sf_dir), 42), DEMO_KEYS, stored_token_map(spark, sf_dir)
+    )
+
+
 @query(
     "G7",
     X.people(

@@ -392,6 +392,24 @@ def rejection_reason(spark, sf_dir):
     return validate.with_rejection(rough_people(spark, sf_dir)).select("id", "rejected")
 
 
+_FITTED = X.columns("cpf", "pan", "telefone", "email", "dob", "cvv")
+
+
+@query(
+    "C12",
+    X.rough(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", '{n}' AS transformation, count(*) FILTER (WHERE "
+            f"{X.has_value(c)} AND {X.fits(c, n)}) AS n_fit, count(*) FILTER (WHERE "
+            f"{X.has_value(c)} AND NOT {X.fits(c, n)}) AS n_misfit FROM rough"
+            for c, n in _FITTED.items()
+        )
+    ),
+)
+def template_counts(spark, sf_dir):
+    return validate.template_report(rough_people(spark, sf_dir), _FITTED)
+
+
 @query(
     "C13",
     X.rough(

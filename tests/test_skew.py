@@ -11,7 +11,7 @@ from veladura.operators.token_map import build_token_map, detokenize
 from veladura.operators.validate import duplicate_keys, only_new
 from veladura.operators.verify import convergence_report
 from veladura.policy import ProtectionPolicy
-from veladura.sources.tables import with_new_ids
+from veladura.sources.tables import with_new_ids, write_token_map
 
 N = 30_000
 
@@ -35,12 +35,12 @@ def test_size_check_reads_no_more_than_asked(facts):
     assert small_enough(facts, N) and not small_enough(facts, N - 1)
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 10_000])
-def test_lookup_join_equals_the_plain_join(facts, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows, few", [(0, None), (10_000, False), (0, True)])
+def test_lookup_join_equals_the_plain_join(facts, broadcast_rows, few):
     entries = facts.filter("key is not null and key <> 'k17'").groupBy("key").agg(
         F.max("id").alias("value")
     )
-    ours = lookup_join(facts, entries, "key", broadcast_rows).select("id", "key", "value")
+    ours = lookup_join(facts, entries, "key", broadcast_rows, few).select("id", "key", "value")
     plain = facts.join(entries, "key", "left").select("id", "key", "value")
     assert ours.count() == N
     assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
@@ -69,11 +69,24 @@ def test_hot_rows_are_not_shuffled(spark, facts):
     assert sum(r["count"] for r in sizes) == N
 
 
+def test_few_tokens_filter_the_scan_of_the_map(spark, facts, keys, tmp_path):
+    field = {"key": "tok-endereco"}
+    write_token_map(build_token_map(facts, field, keys), str(tmp_path / "map"), files=4)
+    stored = spark.read.parquet(str(tmp_path / "map"))
+    assert stored.select(F.input_file_name()).distinct().count() == 4
+    few = facts.filter("id between 10 and 13")
+    safe = protect(few, ProtectionPolicy(field), keys)
+    back = detokenize(safe, field, stored, keys)
+    assert sorted(back.collect()) == sorted(few.collect())
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "In(token, [TKN-" in plan  # pushed to the files
+
+
 def test_detokenize_with_a_hot_token(facts, keys):
     field = {"key": "tok-endereco"}
     tokens = build_token_map(facts, field, keys)
     safe = protect(facts, ProtectionPolicy(field), keys)
-    back = detokenize(safe, field, tokens, keys, broadcast_rows=0)
+    back = detokenize(safe, field, tokens, keys, broadcast_rows=0, few_rows=0)
     assert back.exceptAll(facts).isEmpty() and back.count() == N
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000  # an entry is a few hundred bytes at most: tens of megabytes
+FEW_ROWS = 1000  # that many keys may stand in a filter
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -27,25 +28,40 @@ def lookup_join(
     entries: DataFrame,
     key: str,
     broadcast_rows: int = BROADCAST_ROWS,
+    few: bool | None = None,
     small: bool | None = None,
     finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Left join of ``facts`` to ``entries``, which have one row per key.
 
-    A small table is broadcast once its size has been checked (``small`` says that
-    the caller did).  Otherwise the keys that would outgrow one shuffle partition are
-    split off: there are at most as many as partitions, so their entries can be
-    broadcast and their rows need no shuffle.  Null keys find nothing and stay with
-    them.  The rest is an ordinary shuffled join in which no key exceeds a
-    partition's fair share.
+    * Few facts (``FEW_ROWS``): their keys become a filter that reaches the scan of
+      the entries.
+    * A small table of entries: broadcast.
+    * Otherwise the keys that would outgrow one shuffle partition are split off.
+      There are at most as many as partitions, so their entries can be broadcast and
+      their rows need no shuffle.  Null keys find nothing and stay with them.  The
+      rest is a shuffled join in which no key exceeds a partition's fair share.
 
+    Sizes are checked here unless ``few`` and ``small`` say that the caller did.
     ``finish`` is costly work on the entries' columns.  It is done on entries that
     are broadcast, once each, but after a shuffled join on what was found.
     """
+    if few is None:
+        few = small_enough(facts, FEW_ROWS)
+    if few:
+        wanted = facts.select(key).filter(F.col(key).isNotNull()).distinct().collect()
+        found = entries.filter(F.col(key).isin([row[0] for row in wanted]))
+        return facts.join(F.broadcast(finish(found)), key, "left")
     if small is None:
         small = small_enough(entries, broadcast_rows)
     if small:
         return facts.join(F.broadcast(finish(entries)), key, "left")
+    return _split_join(facts, entries, key, finish)
+
+
+def _split_join(
+    facts: DataFrame, entries: DataFrame, key: str, finish: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     spark = facts.sparkSession
     share = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = hot_keys(facts, key, share).collect()  # at most ``share`` rows

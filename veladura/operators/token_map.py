@@ -11,7 +11,7 @@ from veladura import policy as P
 from veladura.functions import tokens
 from veladura.keys import Keyring
 from veladura.operators.protect import RAISE, failure, has_value, named
-from veladura.operators.skew import BROADCAST_ROWS, lookup_join
+from veladura.operators.skew import BROADCAST_ROWS, FEW_ROWS, lookup_join, small_enough
 
 
 def _by_transformation(names: Iterable[str], build: Callable[[str], Column]) -> Column:
@@ -73,17 +73,37 @@ def _entry_counts(token_map: DataFrame) -> dict[str, int]:
 
 
 def _open(names: Iterable[str], keyring: Keyring) -> Callable[[DataFrame], DataFrame]:
-    """Decrypt the sealed values of joined or stored entries."""
+    """Decrypt the sealed values of stored or joined entries."""
     opened = F.when(F.lit(False), F.lit(None))
     for name in names:
         value = tokens.unseal(F.col("_sealed"), name, keyring)
         opened = opened.when(F.col("_name") == name, value)
-    return lambda rows: rows.withColumn("_value", opened).drop("_sealed", "_name")
+    return lambda rows: rows.withColumn("_value", opened).drop("_sealed")
+
+
+def _with_originals(
+    keyed: DataFrame,
+    names: list[str],
+    token_map: DataFrame,
+    keyring: Keyring,
+    few: bool,
+    small: bool,
+) -> DataFrame:
+    """Add ``_name`` and ``_value`` of the entry that ``_token`` points to."""
+    entries = token_map.filter(F.col("transformation").isin(names)).select(
+        F.col("token").alias("_token"),
+        F.col("transformation").alias("_name"),
+        F.col("value_enc").alias("_sealed"),
+    )
+    return lookup_join(
+        keyed, entries, "_token", few=few, small=small, finish=_open(names, keyring)
+    )
 
 
 def _original(c: Column, name: str, on_error: str) -> Column:
     missing = failure(on_error, f"a token of {name} is not in the token map")
-    return F.when(~has_value(c), c).otherwise(F.coalesce(F.col("_value"), missing))
+    known = F.when(F.col("_name") == name, F.col("_value"))
+    return F.when(~has_value(c), c).otherwise(F.coalesce(known, missing))
 
 
 def detokenize(
@@ -94,6 +114,7 @@ def detokenize(
     role: str = "core-role",
     on_error: str = RAISE,
     broadcast_rows: int = BROADCAST_ROWS,
+    few_rows: int = FEW_ROWS,
 ) -> DataFrame:
     """Replace tokens by the values they stand for; null and blank stay.
 
@@ -101,16 +122,12 @@ def detokenize(
     """
     P.check_grants(role, "decode", sorted(set(columns.values())))
     order = [named(c) for c in df.columns]
-    counts = _entry_counts(token_map)
+    few = small_enough(df, few_rows)
+    counts = {} if few else _entry_counts(token_map)
     for c, name in columns.items():
-        entries = token_map.filter(F.col("transformation") == name).select(
-            F.col("token").alias("_token"),
-            F.col("transformation").alias("_name"),
-            F.col("value_enc").alias("_sealed"),
-        )
         keyed = df.withColumn("_token", F.when(has_value(named(c)), named(c)))
         small = counts.get(name, 0) <= broadcast_rows
-        found = lookup_join(keyed, entries, "_token", small=small, finish=_open([name], keyring))
+        found = _with_originals(keyed, [name], token_map, keyring, few, small)
         df = found.withColumn(c, _original(named(c), name, on_error)).select(*order)
     return df
 
@@ -123,6 +140,7 @@ def detokenize_mixed(
     keyring: Keyring,
     on_error: str = RAISE,
     broadcast_rows: int = BROADCAST_ROWS,
+    few_rows: int = FEW_ROWS,
 ) -> DataFrame:
     """Add ``target`` with the originals of a ``(transformation, value)`` frame.
 
@@ -130,14 +148,9 @@ def detokenize_mixed(
     """
     names, order = list(names), [named(c) for c in df.columns]
     kind, value = F.col("transformation"), F.col("value")
-    address = F.when(kind.isin(names) & has_value(value), F.concat_ws(":", kind, value))
-    entries = token_map.filter(kind.isin(names)).select(
-        F.concat_ws(":", "transformation", "token").alias("_token"),
-        F.col("transformation").alias("_name"),
-        F.col("value_enc").alias("_sealed"),
-    )
-    small = sum(_entry_counts(token_map).values()) <= broadcast_rows
-    keyed = df.withColumn("_token", address)
-    found = lookup_join(keyed, entries, "_token", small=small, finish=_open(names, keyring))
+    keyed = df.withColumn("_token", F.when(kind.isin(names) & has_value(value), value))
+    few = small_enough(df, few_rows)
+    small = few or sum(_entry_counts(token_map).values()) <= broadcast_rows
+    found = _with_originals(keyed, names, token_map, keyring, few, small)
     original = _by_transformation(names, lambda n: _original(value, n, on_error))
     return found.select(*order, original.alias(target))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veladura.functions.tokens import PREFIX
 from veladura.operators.protect import named
 from veladura.schemas import STAGING, STORED_CUSTOMER
 
@@ -39,6 +40,21 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def _write_ranges(
+    df: DataFrame, path: str, key: str, lead: Column, leads: int, files: int | None
+) -> None:
+    """Write equal ranges of an evenly spread ``lead`` (0 to ``leads``) to files of their own."""
+    parts = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.call_function("div", lead * parts, F.lit(leads)).cast("int")
+    (
+        df.repartitionById(parts, place)
+        .sortWithinPartitions(named(key))
+        .write.mode("overwrite")
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .parquet(path)
+    )
+
+
 def write_clustered(
     df: DataFrame, path: str, key: str = "cpf_protected", files: int | None = None
 ) -> None:
@@ -48,16 +64,14 @@ def write_clustered(
     the rows and need no sampling pass.  A search is led to one file by the file's
     smallest and largest key, and inside it by row-group statistics and a bloom filter.
     """
-    parts = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lead = F.rpad(F.left(named(key), F.lit(9)), 9, "0").try_cast("bigint")
-    place = F.call_function("div", lead * parts, F.lit(10**9)).cast("int")
-    (
-        df.repartitionById(parts, place)
-        .sortWithinPartitions(named(key))
-        .write.mode("overwrite")
-        .option(f"parquet.bloom.filter.enabled#{key}", "true")
-        .parquet(path)
-    )
+    _write_ranges(df, path, key, lead, 10**9, files)
+
+
+def write_token_map(token_map: DataFrame, path: str, files: int | None = None) -> None:
+    """Store a token map in the same way, by the leading digits of its tokens."""
+    lead = F.conv(F.substring("token", len(PREFIX) + 1, 7), 16, 10).cast("bigint")
+    _write_ranges(token_map, path, "token", lead, 16**7, files)
 
 
 def with_stamps(df: DataFrame) -> DataFrame:
