@@ -28,7 +28,7 @@ def facts(spark):
 
 
 def test_hot_keys(facts):
-    assert [r.key for r in hot_keys(facts, "key", 8).collect()] == ["hot"]
+    assert [r.key for r in hot_keys(facts, "key", 8, N).collect()] == ["hot"]
 
 
 def test_size_check_reads_no_more_than_asked(facts):
@@ -46,17 +46,34 @@ def test_lookup_join_equals_the_plain_join(facts, broadcast_rows, few):
     assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
 
 
-def test_hot_rows_are_not_shuffled(spark, facts):
+@pytest.mark.parametrize("low", [0, 29_000])
+def test_finishing_before_or_after_the_join(facts, low):
+    """More facts than entries, and the other way round."""
+    entries = facts.filter("key is not null").groupBy("key").agg(F.max("id").alias("value"))
+    some = facts.filter(F.col("id") >= low)
+
+    def finish(rows):
+        return rows.withColumn("twice", F.col("value") * 2).drop("value")
+
+    ours = lookup_join(some, entries, "key", 0, few=False, finish=finish).select("id", "key", "twice")
+    plain = finish(some.join(entries, "key", "left")).select("id", "key", "twice")
+    assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
+    assert ours.count() == N - low
+
+
+@pytest.mark.parametrize("hot", ["'hot'", "null"])
+def test_hot_rows_are_not_shuffled(spark, facts, hot):
+    """Neither a frequent key nor a third of rows without any."""
+    facts = facts.withColumn("key", F.expr(f"if(id % 3 = 0, {hot}, key)"))
     entries = facts.filter("key is not null").groupBy("key").agg(F.max("id").alias("value"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = lookup_join(facts, entries, "key", 0)
+        joined = lookup_join(facts, entries, "key", 0, few=False)
         sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
         shuffled = [
             r["n"]
-            for r in facts.filter("key is not null")
-            .repartition(8, "key")
+            for r in facts.repartition(8, "key")
             .groupBy(F.spark_partition_id())
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()

@@ -16,9 +16,8 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def hot_keys(df: DataFrame, key: str, share: int) -> DataFrame:
-    """Keys that hold more than 1/share of all rows: at most ``share`` of them."""
-    total = df.agg(F.count(F.lit(1))).scalar()
+def hot_keys(df: DataFrame, key: str, share: int, total: int) -> DataFrame:
+    """Keys that hold more than 1/share of ``total`` rows: at most ``share`` of them."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") * share > total).select(key)
 
@@ -29,7 +28,7 @@ def lookup_join(
     key: str,
     broadcast_rows: int = BROADCAST_ROWS,
     few: bool | None = None,
-    small: bool | None = None,
+    entry_count: int | None = None,
     finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Left join of ``facts`` to ``entries``, which have one row per key.
@@ -42,9 +41,9 @@ def lookup_join(
       their rows need no shuffle.  Null keys find nothing and stay with them.  The
       rest is a shuffled join in which no key exceeds a partition's fair share.
 
-    Sizes are checked here unless ``few`` and ``small`` say that the caller did.
-    ``finish`` is costly work on the entries' columns.  It is done on entries that
-    are broadcast, once each, but after a shuffled join on what was found.
+    Sizes are looked up here unless the caller knows them.  ``finish`` is costly work
+    on the entries' columns.  It is done on the entries, once each, unless there are
+    more of them than facts: then on what the join has found.
     """
     if few is None:
         few = small_enough(facts, FEW_ROWS)
@@ -52,23 +51,24 @@ def lookup_join(
         wanted = facts.select(key).filter(F.col(key).isNotNull()).distinct().collect()
         found = entries.filter(F.col(key).isin([row[0] for row in wanted]))
         return facts.join(F.broadcast(finish(found)), key, "left")
-    if small is None:
-        small = small_enough(entries, broadcast_rows)
-    if small:
+    if entry_count is None:
+        entry_count = entries.count()
+    if entry_count <= broadcast_rows:
         return facts.join(F.broadcast(finish(entries)), key, "left")
-    return _split_join(facts, entries, key, finish)
+    total = facts.count()
+    if entry_count <= total:
+        return _split_join(facts, finish(entries), key, total)
+    return finish(_split_join(facts, entries, key, total))
 
 
-def _split_join(
-    facts: DataFrame, entries: DataFrame, key: str, finish: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
+def _split_join(facts: DataFrame, entries: DataFrame, key: str, total: int) -> DataFrame:
     spark = facts.sparkSession
     share = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(facts, key, share).collect()  # at most ``share`` rows
+    found = hot_keys(facts, key, share, total).collect()  # at most ``share`` rows
     hot = spark.createDataFrame([(row[0],) for row in found], facts.select(key).schema)
     marked = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     apart = F.col("_hot").isNotNull() | F.col(key).isNull()
-    hot_entries = finish(entries.join(F.broadcast(hot), key, "left_semi"))
+    hot_entries = entries.join(F.broadcast(hot), key, "left_semi")
     frequent = marked.filter(apart).drop("_hot").join(F.broadcast(hot_entries), key, "left")
-    others = finish(marked.filter(~apart).drop("_hot").join(entries, key, "left"))
+    others = marked.filter(~apart).drop("_hot").join(entries, key, "left")
     return frequent.unionByName(others)

@@ -87,7 +87,8 @@ def _with_originals(
     token_map: DataFrame,
     keyring: Keyring,
     few: bool,
-    small: bool,
+    entry_count: int,
+    broadcast_rows: int,
 ) -> DataFrame:
     """Add ``_name`` and ``_value`` of the entry that ``_token`` points to."""
     entries = token_map.filter(F.col("transformation").isin(names)).select(
@@ -95,9 +96,8 @@ def _with_originals(
         F.col("transformation").alias("_name"),
         F.col("value_enc").alias("_sealed"),
     )
-    return lookup_join(
-        keyed, entries, "_token", few=few, small=small, finish=_open(names, keyring)
-    )
+    opened = _open(names, keyring)
+    return lookup_join(keyed, entries, "_token", broadcast_rows, few, entry_count, opened)
 
 
 def _original(c: Column, name: str, on_error: str) -> Column:
@@ -126,8 +126,9 @@ def detokenize(
     counts = {} if few else _entry_counts(token_map)
     for c, name in columns.items():
         keyed = df.withColumn("_token", F.when(has_value(named(c)), named(c)))
-        small = counts.get(name, 0) <= broadcast_rows
-        found = _with_originals(keyed, [name], token_map, keyring, few, small)
+        found = _with_originals(
+            keyed, [name], token_map, keyring, few, counts.get(name, 0), broadcast_rows
+        )
         df = found.withColumn(c, _original(named(c), name, on_error)).select(*order)
     return df
 
@@ -150,7 +151,7 @@ def detokenize_mixed(
     kind, value = F.col("transformation"), F.col("value")
     keyed = df.withColumn("_token", F.when(kind.isin(names) & has_value(value), value))
     few = small_enough(df, few_rows)
-    small = few or sum(_entry_counts(token_map).values()) <= broadcast_rows
-    found = _with_originals(keyed, names, token_map, keyring, few, small)
+    count = 0 if few else sum(_entry_counts(token_map).values())
+    found = _with_originals(keyed, names, token_map, keyring, few, count, broadcast_rows)
     original = _by_transformation(names, lambda n: _original(value, n, on_error))
     return found.select(*order, original.alias(target))

@@ -109,11 +109,10 @@ def leaked_values(df: DataFrame, raw: list[str], outputs: list[str]) -> DataFram
         entries = [
             F.struct(F.lit(c).alias("column"), named(c).alias("value")) for c in columns
         ]
-        rows = df.select(F.inline(F.array(*entries)))
-        return rows.filter(has_value(F.col("value"))).distinct()
+        return df.select(F.inline(F.array(*entries))).filter(has_value(F.col("value")))
 
     shown = long_form(outputs).select("value").distinct()
-    return long_form(raw).join(shown, "value", "left_semi").select("column", "value")
+    return long_form(raw).distinct().join(shown, "value", "left_semi").select("column", "value")
 
 
 def format_report(df: DataFrame, pairs: Pairs) -> DataFrame:
