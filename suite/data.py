@@ -107,7 +107,7 @@ _written: dict[tuple[str, str, str], str] = {}
 
 def _once(spark: SparkSession, sf_dir: str, label: str, write: Callable[[str], None]) -> DataFrame:
     """A table that several queries read: written on first use, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir, label)
+    key = (spark.conf.get("spark.app.id"), sf_dir, label)
     if key not in _written:
         path = fresh_path(spark, label)
         write(path)

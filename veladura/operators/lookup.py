@@ -71,8 +71,16 @@ def already_protected(staging: DataFrame) -> DataFrame:
 
 
 def newest(df: DataFrame, limit: int = 20) -> DataFrame:
-    """Newest rows first; equal times by id.  A top-k per task, then of the tasks."""
-    return df.orderBy(F.col("created_at").desc(), F.col("id")).limit(limit)
+    """Newest rows first; equal times by id; rows without a time last.
+
+    The first pass reads two narrow columns to find the oldest time that can still
+    be listed.  With that time as a filter, the second reads only the row groups
+    that reach it, however many columns are shown.
+    """
+    time, order = F.col("created_at"), [F.col("created_at").desc_nulls_last(), F.col("id")]
+    listed = df.select("created_at", "id").orderBy(*order).limit(limit)
+    oldest = listed.agg(F.min("created_at")).scalar()
+    return df.filter((time >= oldest) | time.isNull()).orderBy(*order).limit(limit)
 
 
 def first_by_id(df: DataFrame, limit: int = 1) -> DataFrame:

@@ -31,7 +31,7 @@ def named(column: str) -> Column:
 
 def has_value(c: Column) -> Column:
     """Neither null nor blank: only such values are transformed."""
-    return F.coalesce(F.btrim(c, F.lit(WHITESPACE)) != "", F.lit(False))
+    return F.coalesce(F.ltrim(c, F.lit(WHITESPACE)) != "", F.lit(False))
 
 
 def normalized(c: Column, name: str) -> Column:

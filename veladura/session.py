@@ -37,9 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    application = spark.sparkContext.applicationId
+    application = spark.conf.get("spark.app.id")
     if application not in _own_folder:
         _own_folder[application] = tempfile.mkdtemp(prefix="veladura-")
     return _own_folder[application]

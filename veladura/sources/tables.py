@@ -46,13 +46,10 @@ def _write_ranges(
     """Write equal ranges of an evenly spread ``lead`` (0 to ``leads``) to files of their own."""
     parts = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.call_function("div", lead * parts, F.lit(leads)).cast("int")
-    (
-        df.repartitionById(parts, place)
-        .sortWithinPartitions(named(key))
-        .write.mode("overwrite")
-        .option(f"parquet.bloom.filter.enabled#{key}", "true")
-        .parquet(path)
-    )
+    sought = [c for c in (key, "id") if c in df.columns]
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in sought}
+    placed = df.repartitionById(parts, place).sortWithinPartitions(named(key))
+    placed.write.mode("overwrite").options(**blooms).parquet(path)
 
 
 def write_clustered(
