@@ -10,6 +10,7 @@ from veladura.operators.protect import named
 from veladura.schemas import STAGING, STORED_CUSTOMER
 
 ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_FILE = 2_000_000
 
 
 def read_table(spark: SparkSession, where: str) -> DataFrame:
@@ -41,14 +42,13 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def _write_ranges(
-    df: DataFrame, path: str, key: str, lead: Column, leads: int, files: int | None
+    df: DataFrame, path: str, key: str, lead: Column, leads: int, files: int
 ) -> None:
     """Write equal ranges of an evenly spread ``lead`` (0 to ``leads``) to files of their own."""
-    parts = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.call_function("div", lead * parts, F.lit(leads)).cast("int")
+    place = F.call_function("div", lead * files, F.lit(leads)).cast("int")
     sought = [c for c in (key, "id") if c in df.columns]
     blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in sought}
-    placed = df.repartitionById(parts, place).sortWithinPartitions(named(key))
+    placed = df.repartitionById(files, place).sortWithinPartitions(named(key))
     placed.write.mode("overwrite").options(**blooms).parquet(path)
 
 
@@ -60,13 +60,21 @@ def write_clustered(
     Encrypted digits are spread evenly, so equal ranges of them are equal shares of
     the rows and need no sampling pass.  A search is led to one file by the file's
     smallest and largest key, and inside it by row-group statistics and a bloom filter.
+    Ids are scattered over the files; a search by id has bloom filters only.
+    Without ``files``, the rows are counted, which needs none of the columns.
     """
+    files = files or df.count() // ROWS_PER_FILE + 1
     lead = F.rpad(F.left(named(key), F.lit(9)), 9, "0").try_cast("bigint")
     _write_ranges(df, path, key, lead, 10**9, files)
 
 
 def write_token_map(token_map: DataFrame, path: str, files: int | None = None) -> None:
-    """Store a token map in the same way, by the leading digits of its tokens."""
+    """Store a token map in the same way, by the leading digits of its tokens.
+
+    Without ``files``, as many as a shuffle has partitions: counting the entries
+    would mean building the map twice.
+    """
+    files = files or int(token_map.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lead = F.conv(F.substring("token", len(PREFIX) + 1, 7), 16, 10).cast("bigint")
     _write_ranges(token_map, path, "token", lead, 16**7, files)
 
