@@ -301,13 +301,14 @@ def token_map(spark, sf_dir):
     "M4",
     f"WITH {X.PEOPLE}\n"
     "SELECT CAST((SELECT count(DISTINCT endereco) FROM people WHERE trim(endereco) <> '') "
-    "- (SELECT count(DISTINCT endereco) FROM people WHERE trim(endereco) <> '' AND id % 3 = 0) "
+    "- (SELECT count(DISTINCT endereco) FROM people WHERE trim(endereco) <> '' "
+    "AND religiao = 'Budista') "
     "AS BIGINT) AS n_new, CAST(0 AS BIGINT) AS n_collisions",
 )
 def token_map_growth(spark, sf_dir):
-    """Entries to append to a map built from every third customer."""
+    """Entries to append to a map built from the customers of one category."""
     everyone, field = people(spark, sf_dir), {"endereco": "tok-endereco"}
-    known = build_token_map(everyone.filter("id % 3 = 0"), field, DEMO_KEYS)
+    known = build_token_map(everyone.filter("religiao = 'Budista'"), field, DEMO_KEYS)
     fresh = new_entries(build_token_map(everyone, field, DEMO_KEYS), known)
     twice = token_collisions(everyone, field, DEMO_KEYS).agg(F.count(F.lit(1))).scalar()
     return fresh.agg(F.count(F.lit(1)).alias("n_new")).withColumn("n_collisions", twice)
@@ -333,12 +334,13 @@ def detokenize_large_map(spark, sf_dir):
 
 @query(
     "D4",
-    f"WITH {X.PEOPLE}\nSELECT id, CASE WHEN id % 10 = 0 THEN upper(nome) ELSE nome END AS nome, "
+    f"WITH {X.PEOPLE}\nSELECT id, CASE WHEN nome = 'Ana Paula Costa' THEN upper(nome) ELSE nome END "
+    "AS nome, "
     f"{X.mask_email('email')} AS email_masked FROM people",
 )
 def update_by_key(spark, sf_dir):
     before = stored(spark, sf_dir)
-    changes = before.filter("id % 10 = 0").withColumn("nome", F.upper("nome"))
+    changes = before.filter("nome = 'Ana Paula Costa'").withColumn("nome", F.upper("nome"))
     return retrofit.apply_updates(before, changes).select("id", "nome", "email_masked")
 
 
@@ -541,16 +543,23 @@ def protect_event_stream(spark, sf_dir):
     "I2",
     f"WITH RECURSIVE {_EVENT_CPFS}\n"
     "SELECT min(event_id) AS id, y AS cpf_protected FROM events JOIN e ON e.id = user_id "
-    "WHERE user_id % 2 = 1 GROUP BY y",
+    "WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' "
+    "AND o_orderstatus = 'F') GROUP BY y",
 )
 def keys_not_stored_yet(spark, sf_dir):
-    """Against a stored table: the first event of every user that it lacks."""
-    keyed = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), customer_cpf(F.col("user_id")).alias("cpf"), "user_id"
+    """Against a stored table: the first event of every user who has no urgent, filled order."""
+    policy = P.ProtectionPolicy.of("cpf")
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), customer_cpf(F.col("user_id")).alias("cpf")
+    )
+    urgent = table(spark, sf_dir, "orders").filter(
+        "o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"
+    )
+    known = urgent.select(customer_cpf(F.col("o_custkey")).alias("cpf"))
+    return only_new(
+        stored_names(protect(events, policy, DEMO_KEYS)),
+        stored_names(protect(known, policy, DEMO_KEYS)),
     )
-    safe = stored_names(protect(keyed, P.ProtectionPolicy.of("cpf"), DEMO_KEYS))
-    known = safe.filter("user_id % 2 = 0").select("cpf_protected").distinct()
-    return only_new(safe.drop("user_id"), known)
 
 
 # ---- retrofit --------------------------------------------------------------

@@ -10,8 +10,8 @@ from suite.registry import query
 from veladura import policy as P
 from veladura.functions import fpe as fpe_functions
 from veladura.functions import masks, text, tokens
-from veladura.operators import validate
-from veladura.operators.protect import normalized, protect_column
+from veladura.operators import validate, views
+from veladura.operators.protect import has_value, normalized, protect_column
 from veladura.operators.reveal import reveal_column
 
 
@@ -273,8 +273,6 @@ def original_length(spark, sf_dir):
     ),
 )
 def value_guard(spark, sf_dir):
-    from veladura.operators.protect import has_value
-
     return people(spark, sf_dir).select(
         "id",
         has_value(F.col("endereco")).alias("endereco"),
@@ -420,7 +418,5 @@ def masks_with_guard(spark, sf_dir):
     ),
 )
 def support_view(spark, sf_dir):
-    from veladura.operators.views import support_view as view
-
-    shown = view(stored(spark, sf_dir))
+    shown = views.support_view(stored(spark, sf_dir))
     return shown.withColumn("created_at", F.unix_timestamp("created_at"))

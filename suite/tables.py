@@ -29,10 +29,13 @@ from veladura.operators.protect import (
     protection_report,
     summarize,
 )
+from veladura.operators.reveal import reveal
 from veladura.plans.create import stored_projection
+from veladura.plans.retrofit import apply_updates
 from veladura.session import fresh_path
 from veladura.sources import tables as sources
 from veladura.sources.csv_text import read_csv, write_csv
+from veladura.sources.synthetic import customer_cpf, customers
 
 _EPOCH = "CAST(epoch(created_at) AS BIGINT) AS created_at"
 
@@ -103,21 +106,23 @@ def stored_table_scan(spark, sf_dir):
     return _epoch(stored(spark, sf_dir), "created_at", "updated_at")
 
 
+_BOTH = "(SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier)"
+
+
 @query(
     "A7",
-    "SELECT count(*) AS n_rows, count(*) AS n_ids, min(c_custkey) AS first_id, "
-    "CAST(count(*) + min(c_custkey) - 1 AS BIGINT) AS last_id, count(*) AS n_cpfs, "
-    "CAST(0 AS BIGINT) AS n_without_time FROM customer",
+    "SELECT count(*) AS n_rows, count(*) AS n_ids, (SELECT min(c_custkey) FROM customer) AS first_id, "
+    "CAST((SELECT max(c_custkey) FROM customer) + (SELECT count(*) FROM supplier) AS BIGINT) "
+    f"AS last_id, count(*) AS n_cpfs, CAST(0 AS BIGINT) AS n_without_time FROM {_BOTH}",
 )
 def append_with_new_ids(spark, sf_dir):
+    """All suppliers become customers too: under new ids that follow the stored ones."""
     path = fresh_path(spark, "append")
-    everyone = people(spark, sf_dir)
-    safe = to_store(everyone)
-    # the first half keeps its ids, which start at zero without gaps; the others get new ones
-    half = everyone.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
-    sources.write_parquet(safe.filter(F.col("id") < half), path)
+    sources.write_parquet(to_store(people(spark, sf_dir)), path)
     already = sources.read_table(spark, path)
-    incoming = safe.filter(F.col("id") >= half).drop("id", "created_at", "updated_at")
+    # keys far from those of customers, so that nobody shares a CPF
+    others = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 500_000_000).alias("k"))
+    incoming = to_store(customers(others, "k")).drop("id", "created_at", "updated_at")
     sources.append_rows(sources.prepare_append(already, incoming), path)
     return sources.read_table(spark, path).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -359,19 +364,17 @@ def find_many_by_cpf(spark, sf_dir):
 
 
 def purchases_of(orders):
-    from veladura.sources.synthetic import customer_cpf
-
     return orders.select("o_orderkey", customer_cpf(F.col("o_custkey")).alias("cpf"))
 
 
-@query("C7", X.people("SELECT id, cpf AS cpf_raw FROM people WHERE id % 4 <> 0"))
+@query("C7", X.people("SELECT id, cpf AS cpf_raw FROM people WHERE raca <> 'Parda'"))
 def not_yet_protected(spark, sf_dir):
     return lookup.unprotected(stored_staging(spark, sf_dir)).select("id", "cpf_raw")
 
 
 @query(
     "C8",
-    X.retrofitted("SELECT id, cpf_protected, saude_token FROM retrofitted WHERE id % 4 = 0"),
+    X.retrofitted("SELECT id, cpf_protected, saude_token FROM retrofitted WHERE raca_raw = 'Parda'"),
 )
 def only_protected(spark, sf_dir):
     done = lookup.already_protected(stored_staging(spark, sf_dir))
@@ -516,11 +519,12 @@ def repeated_keys(spark, sf_dir):
     "F7",
     f"WITH RECURSIVE {X.PEOPLE},\n{_BUYERS},\n{X.ff3_ctes(DEMO_KEYS, ['ff-cpf'], 'v', 'e')}\n"
     "SELECT min(o_orderkey) AS o_orderkey, e.y AS cpf_protected FROM orders "
-    "JOIN e ON e.id = o_custkey WHERE o_custkey % 3 <> 0 GROUP BY e.y",
+    "JOIN people p ON p.id = o_custkey JOIN e ON e.id = o_custkey "
+    "WHERE p.nome <> 'Ana Paula Costa' GROUP BY e.y",
 )
 def upsert_new_keys(spark, sf_dir):
-    """First purchase of each buyer that the stored table (every third customer) lacks."""
-    known = stored(spark, sf_dir).filter("id % 3 = 0")
+    """First purchase of each buyer who is not among the stored ones (those of one name)."""
+    known = stored(spark, sf_dir).filter("nome = 'Ana Paula Costa'")
     raw = purchases(spark, sf_dir).select("o_orderkey", "cpf")
     safe = views.stored_names(protect(raw, P.customer_policy, DEMO_KEYS))
     return validate.only_new(safe, known)
@@ -580,15 +584,13 @@ def too_long_values(spark, sf_dir):
 @query(
     "F13",
     X.people(
-        "SELECT count(*) AS n_rows, count(*) FILTER (WHERE id % 6 = 0) AS n_renewed, "
-        "count(*) FILTER (WHERE id % 6 <> 0) AS n_untouched FROM people"
+        "SELECT count(*) AS n_rows, count(*) FILTER (WHERE nome = 'Ana Paula Costa') AS n_renewed, "
+        "count(*) FILTER (WHERE nome <> 'Ana Paula Costa') AS n_untouched FROM people"
     ),
 )
 def update_times(spark, sf_dir):
-    from veladura.plans.retrofit import apply_updates
-
     before = stored(spark, sf_dir)
-    changes = before.filter("id % 6 = 0").withColumn("nome", F.upper("nome"))
+    changes = before.filter("nome = 'Ana Paula Costa'").withColumn("nome", F.upper("nome"))
     after = apply_updates(before, changes)
     renewed = F.col("updated_at") > created_at(F.col("id"))
     return after.agg(
@@ -601,8 +603,6 @@ def update_times(spark, sf_dir):
 @query("D3", X.rough("SELECT id, " + ", ".join(f"{X.normalized(c, n)} AS {c}" for c, n in X.columns("rg", "cnh", "cnpj").items()) + " FROM rough"))
 def values_stay_in_their_row(spark, sf_dir):
     """Protected and decoded again in one pass: every value is back in its own row."""
-    from veladura.operators.reveal import reveal
-
     fields = X.columns("rg", "cnh", "cnpj")
     raw = rough_people(spark, sf_dir).select("id", *fields)
     safe = protect(raw, P.customer_policy, DEMO_KEYS, role="core-role")
