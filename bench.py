@@ -61,8 +61,8 @@ def rates(spark, sf_dir: str) -> dict[str, int]:
     from pyspark.sql import functions as F
 
     items = D.table(spark, sf_dir, "lineitem").select(
-        customer_cpf(F.col("l_orderkey")).alias("cpf"),
-        customer_pan(F.col("l_partkey")).alias("pan"),
+        customer_cpf("l_orderkey").alias("cpf"),
+        customer_pan("l_partkey").alias("pan"),
         F.concat(F.lit("Rua "), F.col("l_suppkey").cast("string")).alias("endereco"),
         F.concat(F.lit("cliente."), "l_orderkey", F.lit("@empresa.com.br")).alias("email"),
     )

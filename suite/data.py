@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veladura import policy as P
-from veladura.functions import text
 from veladura.keys import Keyring
 from veladura.operators.protect import protect
 from veladura.operators.token_map import build_token_map
@@ -39,40 +38,27 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_as_people_do(df: DataFrame) -> DataFrame:
     """The same customers with separators, gaps and mistakes in their data."""
-    k, cpf, pan, phone = F.col("id"), F.col("cpf"), F.col("pan"), F.col("telefone")
-    spaced = text.group_pan(pan)
+    spaced = "regexp_replace(pan, '^(....)(....)(....)(....)$', '$1 $2 $3 $4')"
     return df.withColumns(
         {
-            "nome": F.when(k % 43 == 2, F.lit(None))
-            .when(k % 47 == 6, F.lit("Érica  d'Ávila E"))
-            .when(k % 47 == 7, F.lit("JOÃO"))
-            .otherwise(F.col("nome")),
-            "cpf": F.when(k % 17 == 3, F.lit("123"))
-            .when(k % 19 == 5, F.concat(F.left(cpf, F.lit(10)), F.lit("A")))
-            .when(k % 23 == 7, F.concat(cpf, F.lit("0")))
-            .when(k % 5 == 1, text.format_cpf(cpf))
-            .otherwise(cpf),
-            "email": F.when(k % 29 == 11, F.translate("email", "@", "#"))
-            .when(k % 41 == 9, F.lit(None))
-            .otherwise(F.col("email")),
-            "telefone": F.when(
-                k % 2 == 0,
-                F.concat(
-                    F.lit("("),
-                    F.left(phone, F.lit(2)),
-                    F.lit(") "),
-                    F.substring(phone, 3, 5),
-                    F.lit("-"),
-                    F.right(phone, F.lit(4)),
-                ),
-            ).otherwise(phone),
-            "pan": F.when(k % 37 == 4, F.lit("12345"))
-            .when(k % 3 == 1, spaced)
-            .when(k % 3 == 2, F.translate(spaced, " ", "-"))
-            .when(k % 10 == 3, F.left(pan, F.lit(13)))
-            .otherwise(pan),
-            "cvv": F.when(k % 2 == 1, F.lpad((k % 10000).cast("string"), 4, "0")).otherwise(F.col("cvv")),
-            "dob": F.when(k % 31 == 13, F.lit("1985-03-15")).otherwise(F.col("dob")),
+            name: F.expr(rule)
+            for name, rule in {
+                "nome": "CASE WHEN id % 43 = 2 THEN NULL WHEN id % 47 = 6 THEN 'Érica  d\\'Ávila E' "
+                "WHEN id % 47 = 7 THEN 'JOÃO' ELSE nome END",
+                "cpf": "CASE WHEN id % 17 = 3 THEN '123' WHEN id % 19 = 5 THEN left(cpf, 10) || 'A' "
+                "WHEN id % 23 = 7 THEN cpf || '0' WHEN id % 5 = 1 THEN "
+                "regexp_replace(cpf, '^(...)(...)(...)(..)$', '$1.$2.$3-$4') ELSE cpf END",
+                "email": "CASE WHEN id % 29 = 11 THEN translate(email, '@', '#') "
+                "WHEN id % 41 = 9 THEN NULL ELSE email END",
+                "telefone": "CASE WHEN id % 2 = 0 THEN "
+                "regexp_replace(telefone, '^(..)(.....)(....)$', '($1) $2-$3') ELSE telefone END",
+                "pan": f"CASE WHEN id % 37 = 4 THEN '12345' WHEN id % 3 = 1 THEN {spaced} "
+                f"WHEN id % 3 = 2 THEN translate({spaced}, ' ', '-') "
+                "WHEN id % 10 = 3 THEN left(pan, 13) ELSE pan END",
+                "cvv": "CASE WHEN id % 2 = 1 THEN lpad(CAST(id % 10000 AS STRING), 4, '0') "
+                "ELSE cvv END",
+                "dob": "CASE WHEN id % 31 = 13 THEN '1985-03-15' ELSE dob END",
+            }.items()
         }
     )
 
@@ -85,12 +71,12 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the CPF of their buyer, as another department would hold them."""
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        customer_cpf(F.col("o_custkey")).alias("cpf"),
+        customer_cpf("o_custkey").alias("cpf"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
     )
 
 
-def created_at(k) -> F.Column:
+def created_at(k: Column) -> Column:
     """A time that follows from the id; several customers share each."""
     return F.timestamp_seconds(F.lit(1577836800) + k * 7919 % 5000 * 60)
 

@@ -506,7 +506,7 @@ def stream_unique_within_watermark(spark, sf_dir):
     root = fresh_path(spark, "stream-unique")
     schema = table(spark, sf_dir, "events").schema
     events = read_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet")
-    keyed = events.select(F.col("ts").cast("timestamp").alias("ts"), customer_cpf(F.col("user_id")).alias("cpf"))
+    keyed = events.select(F.col("ts").cast("timestamp").alias("ts"), customer_cpf("user_id").alias("cpf"))
     safe = stored_names(protect(keyed, P.ProtectionPolicy.of("cpf"), DEMO_KEYS))
     run = (
         first_per_key(safe, "ts", "3650 days")
@@ -531,7 +531,7 @@ def protect_event_stream(spark, sf_dir):
     root = fresh_path(spark, "stream-events")
     schema = table(spark, sf_dir, "events").schema
     events = read_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet")
-    keyed = events.select("event_id", customer_cpf(F.col("user_id")).alias("cpf"), "event_type")
+    keyed = events.select("event_id", customer_cpf("user_id").alias("cpf"), "event_type")
     run = protect_append(
         keyed, f"{root}/out", f"{root}/state", DEMO_KEYS, P.ProtectionPolicy.of("cpf")
     )
@@ -550,15 +550,15 @@ def keys_not_stored_yet(spark, sf_dir):
     """Against a stored table: the first event of every user who has no urgent, filled order."""
     policy = P.ProtectionPolicy.of("cpf")
     events = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), customer_cpf(F.col("user_id")).alias("cpf")
+        F.col("event_id").alias("id"), customer_cpf("user_id").alias("cpf")
     )
     urgent = table(spark, sf_dir, "orders").filter(
         "o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"
     )
-    known = urgent.select(customer_cpf(F.col("o_custkey")).alias("cpf"))
+    known = urgent.select(customer_cpf("o_custkey").alias("cpf"))
     return only_new(
         stored_names(protect(events, policy, DEMO_KEYS)),
-        stored_names(protect(known, policy, DEMO_KEYS)),
+        stored_names(protect(known, policy, DEMO_KEYS)).distinct(),
     )
 
 

@@ -364,7 +364,7 @@ def find_many_by_cpf(spark, sf_dir):
 
 
 def purchases_of(orders):
-    return orders.select("o_orderkey", customer_cpf(F.col("o_custkey")).alias("cpf"))
+    return orders.select("o_orderkey", customer_cpf("o_custkey").alias("cpf"))
 
 
 @query("C7", X.people("SELECT id, cpf AS cpf_raw FROM people WHERE raca <> 'Parda'"))

@@ -41,7 +41,8 @@ def lookup_join(
       their rows need no shuffle.  Null keys find nothing and stay with them.  The
       rest is a shuffled join in which no key exceeds a partition's fair share.
 
-    Sizes are looked up here unless the caller knows them.  ``finish`` is costly work
+    Sizes are looked up here unless the caller knows them, which reads the facts more
+    than once: store them first if they are costly to compute.  ``finish`` is costly work
     on the entries' columns.  It is done on the entries, once each, unless there are
     more of them than facts: then on what the join has found.
     """

@@ -42,7 +42,6 @@ def read_csv(
     missing = list(na_values)
     if not missing:
         return df
-    # Spark pads a header with blanks to no name at all, but keeps odd ones: quote
     return df.select(
         *[F.when(~named(c).isin(missing), named(c)).alias(c) for c in df.columns]
     )

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.functions import text
-
 # Pools that names, hosts, streets and categories are drawn from.
 NAMES = ("João Carlos da Silva", "Maria Aparecida Santos", "Ana Paula Costa", "Pedro Henrique Souza")
 HOSTS = ("@gmail.com", "@hotmail.com", "@yahoo.com.br", "@empresa.com.br")
@@ -34,59 +32,76 @@ RELIGIONS = (
 )
 
 
-def _pick(pool: tuple[str, ...], number: Column) -> Column:
-    options = F.array(*[F.lit(p) for p in pool])
-    return F.element_at(options, (number % len(pool)).cast("int") + 1)
+def _pick(pool: tuple[str, ...], number: str) -> str:
+    options = ", ".join("'" + p.replace("'", "\\'") + "'" for p in pool)
+    return f"element_at(array({options}), CAST({number} % {len(pool)} + 1 AS INT))"
+
+
+def _digits(number: str, width: int) -> str:
+    return f"lpad(CAST(({number}) % {10**width} AS STRING), {width}, '0')"
+
+
+def _with_check_digits(nine: str) -> str:
+    """A CPF as a number, from its first nine digits; see ``functions.text.cpf_number``."""
+    digits = [f"{nine} div {10 ** (8 - i)} % 10" for i in range(9)]
+    first = " + ".join(f"{10 - i} * ({d})" for i, d in enumerate(digits))
+    first = f"(({first}) * 10 % 11 % 10)"
+    second = " + ".join(f"{11 - i} * ({d})" for i, d in enumerate([*digits, first]))
+    return f"{nine} * 100 + {first} * 10 + ({second}) * 10 % 11 % 10"
+
+
+def _cpf(k: str) -> str:
+    number = _with_check_digits(f"(({k} * 7919 + 123456789) % 1000000000)")
+    return f"lpad(CAST({number} AS STRING), 11, '0')"
+
+
+def _pan(k: str) -> str:
+    return f"concat('4', {_digits(f'{k} * 104729 + 987654321', 15)})"
 
 
-def _digits(number: Column, width: int) -> Column:
-    return F.lpad((number % 10**width).cast("string"), width, "0")
+def customer_cpf(key: str) -> Column:
+    """The CPF of the customer whose key is in a bigint column."""
+    return F.expr(_cpf(key))
 
 
-def customer_cpf(k: Column) -> Column:
-    number = text.cpf_number((k * 7919 + 123456789) % 10**9)
-    return F.lpad(number.cast("string"), 11, "0")
+def customer_pan(key: str) -> Column:
+    return F.expr(_pan(key))
 
 
-def customer_pan(k: Column) -> Column:
-    return F.concat(F.lit("4"), _digits(k * 104729 + 987654321, 15))
+def _cnpj(k: str) -> str:
+    root = _digits(f"{k} * 6700417 + 19131876", 8)
+    plain = f"concat({root}, '0001', {_digits(k, 2)})"
+    return rf"regexp_replace({plain}, '^(..)(...)(...)(....)(..)$', '$1.$2.$3/$4-$5')"
 
 
-def customer_fields(k: Column) -> dict[str, Column]:
-    """All raw fields of customer ``k`` (a non-negative bigint)."""
-    day, month = _digits(k % 28 + 1, 2), _digits(k % 12 + 1, 2)
-    year = (F.lit(1960) + k % 41).cast("string")
-    street, house = _pick(STREETS, k), (k % 200 + 1).cast("string")
+def customer_fields(k: str) -> dict[str, str]:
+    """All raw fields of customer ``k`` (a non-negative bigint), as SQL text."""
     return {
         "id": k,
         "nome": _pick(NAMES, k),
-        "cpf": customer_cpf(k),
-        "cnpj": text.format_cnpj(
-            F.concat(_digits(k * 6700417 + 19131876, 8), F.lit("0001"), _digits(k, 2))
-        ),
-        "rg": _digits(k * 48271 + 314159, 9),
-        "cnh": _digits(k * 2750159 + 1618033, 11),
-        "email": F.concat(F.lit("cliente."), F.lpad(k.cast("string"), 6, "0"), _pick(HOSTS, k)),
-        "telefone": F.concat(F.lit("119"), _digits(k * 15485863 + 1234567, 8)),
-        "pan": F.when(k % 7 != 0, customer_pan(k)),
+        "cpf": _cpf(k),
+        "cnpj": _cnpj(k),
+        "rg": _digits(f"{k} * 48271 + 314159", 9),
+        "cnh": _digits(f"{k} * 2750159 + 1618033", 11),
+        "email": f"concat('cliente.', lpad(CAST({k} AS STRING), 6, '0'), {_pick(HOSTS, k)})",
+        "telefone": f"concat('119', {_digits(f'{k} * 15485863 + 1234567', 8)})",
+        "pan": f"CASE WHEN {k} % 7 <> 0 THEN {_pan(k)} END",
         "cvv": _digits(k, 3),
-        "dob": F.concat_ws("/", day, month, year),
-        "endereco": F.when(k % 11 == 0, F.lit(""))
-        .when(k % 13 == 0, F.lit(" "))
-        .otherwise(
-            F.concat(F.lit("Rua "), street, F.lit(", "), house, F.lit(", São Paulo, SP"))
-        ),
-        "conta": F.concat(F.lit("BR"), F.lpad(_digits(k * 179424673 + 271828, 15), 25, "0"), F.lit("P1")),
+        "dob": f"concat_ws('/', {_digits(f'{k} % 28 + 1', 2)}, {_digits(f'{k} % 12 + 1', 2)}, "
+        f"CAST(1960 + {k} % 41 AS STRING))",
+        "endereco": f"CASE WHEN {k} % 11 = 0 THEN '' WHEN {k} % 13 = 0 THEN ' ' ELSE concat('Rua ', "
+        f"{_pick(STREETS, k)}, ', ', CAST({k} % 200 + 1 AS STRING), ', São Paulo, SP') END",
+        "conta": f"concat('BR', lpad({_digits(f'{k} * 179424673 + 271828', 15)}, 25, '0'), 'P1')",
         "saude": _pick(HEALTH, k),
         "raca": _pick(RACES, k),
-        "religiao": _pick(RELIGIONS, F.call_function("div", k, F.lit(8))),
+        "religiao": _pick(RELIGIONS, f"{k} div 8"),
     }
 
 
 def customers(keys: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One fictitious customer per row of a frame with a bigint key."""
-    fields = customer_fields(F.col(key))
-    return keys.select(*[value.alias(name) for name, value in fields.items()], *keep)
+    fields = [f"{value} AS {name}" for name, value in customer_fields(key).items()]
+    return keys.selectExpr(*fields, *keep)
 
 
 def sample_customers(spark: SparkSession, n: int = 200) -> DataFrame:
