@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veladura.llm import bpe, toxicity
+from veladura.llm import bpe, decontaminate, pii, simhash, toxicity
 from veladura.llm.common import cut, table
 from veladura.llm.queries import vocabulary
 
@@ -15,12 +15,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, model)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document of every group of near copies."""
+    return simhash.drop_near_copies(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold an item of the benchmark, or nearly."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind in brackets where personal data stood."""
+    return pii.redact(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left."""
     return bpe.encode_documents(docs, vocabulary(), with_ids=True)
 
 
-STAGES = [("toxicity", drop_toxic), ("bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("pii", redact),
+    ("bpe", encode),
+]
 
 #: No stage but the last could be said in SQL (a fitted model, fingerprints, edit distances).
 ORACLE_SQL = None

@@ -60,3 +60,33 @@ def map_batches(
                 )
 
     return df.mapInArrow(run, target)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def with_text_value(
+    df: DataFrame, name: str, kind: str, prepare: Callable[[], Callable[[str | None], object]]
+) -> DataFrame:
+    """All columns as they are, and what a function makes of the column ``text``."""
+    target = StructType(df.schema.fields + StructType.fromDDL(f"`{name}` {kind}").fields)
+    arrow = to_arrow_schema(target)
+    place = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                if function is None:
+                    function = prepare()
+                part = batch.slice(start, 1024)
+                made = [function(t) for t in part.column(place).to_pylist()]
+                own = [c.cast(f.type) for c, f in zip(part.columns, arrow)]
+                added = pa.array(made, type=arrow.field(len(own)).type)
+                yield pa.RecordBatch.from_arrays([*own, added], schema=arrow)
+
+    return df.mapInArrow(run, target)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.llm import bpe, chat, quality, toxicity, url_filter
+from veladura.llm import bpe, chat, decontaminate, pii, quality, simhash, toxicity, url_filter
 from veladura.llm.common import table
 
 #: Used where the tables' own queries need a vocabulary file; a parameter everywhere else.
@@ -18,6 +18,12 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -75,6 +81,21 @@ SELECT page_id, host, path, rule,
 FROM r"""
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def n(kind: str):
+        of_kind = F.filter("base", lambda s: s["kind"] == kind)
+        return F.size(of_kind).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[n(k) for k in pii.KINDS],
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -95,7 +116,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    q.__name__: q for q in (op4_bpe, op5_chat, op6_url_filter, op8_toxicity, op9_quality)
+    q.__name__: q
+    for q in (
+        op3_decontaminate,
+        op4_bpe,
+        op5_chat,
+        op6_url_filter,
+        op7_pii,
+        op8_toxicity,
+        op9_quality,
+        op10_simhash,
+    )
 }
 ORACLE_SQL = {"op6_url_filter": _op6_sql()}

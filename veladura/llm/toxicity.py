@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veladura.llm.common import map_batches, ship
+from veladura.llm.common import free_name, map_batches, ship, with_text_value
 
 ship(__name__)
 
@@ -170,13 +170,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents that score below 0.5, with the columns they had."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def prepare():
-        def run(columns):
-            kept = [i for i, t in enumerate(columns["text"]) if score_text(model, t)[0] < 0.5]
-            return {c: [values[i] for i in kept] for c, values in columns.items()}
-
-        return run
-
-    return map_batches(docs, schema, prepare)
+    name = free_name(docs, "score")
+    scored = with_text_value(docs, name, "double", lambda: lambda text: score_text(model, text)[0])
+    return scored.filter(F.col(name) < 0.5).select(*docs.columns)
