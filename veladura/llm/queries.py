@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.llm import bpe, chat, decontaminate, pii, quality, simhash, toxicity, url_filter
+from veladura.llm import bpe, chat, decontaminate, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 from veladura.llm.common import table
 
 #: Used where the tables' own queries need a vocabulary file; a parameter everywhere else.
@@ -18,6 +18,20 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]
+    )
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -123,6 +137,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
+        op1_suffix_dedup,
         op3_decontaminate,
         op4_bpe,
         op5_chat,
