@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.llm import bpe, chat, decontaminate, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from veladura.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    license_scan,
+    pii,
+    quality,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from veladura.llm.common import table
 
 #: Used where the tables' own queries need a vocabulary file; a parameter everywhere else.
@@ -32,6 +43,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = license_scan.fit_licenses(license_scan.corpus_negatives(docs))
+    return license_scan.scan_licenses(docs, model).select(
+        "doc_id", "license", "n_found", F.array_join("families", ",").alias("families")
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -138,6 +157,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_suffix_dedup,
+        op2_license_scan,
         op3_decontaminate,
         op4_bpe,
         op5_chat,

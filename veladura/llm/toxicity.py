@@ -1,14 +1,20 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  Each sentence has a logistic score over the words it
-holds, and the document's score is their noisy-or, 1 - prod(1 - p): one offending
+A document is a bag of sentences.  Each sentence has a logistic score over its distinct
+words, and the document's score is their noisy-or, 1 - prod(1 - p): one offending
 sentence makes an offending document.  Only document labels are needed to learn: the
 gradient of the noisy-or reaches the sentences that explain the label.  Afterwards the
 sentence scores locate what offends.
 
+A word's features are the word and its beginnings, as offending words come in many
+forms.  Only features that toxic and clean documents hold at clearly different rates
+(``LEAST_Z``) enter the model, so that ordinary words weigh nothing.  From a sentence's
+score that of a sentence without any such word is taken off; otherwise the small scores
+of thousands of ordinary sentences would add up in a long text.
+
 The model is fitted on a bounded, documented sample (``SAMPLE`` labelled documents of
 each class, none longer than ``SAMPLE_CHARS``; the first by a hash of their id), each
-class weighted up to its full count.  Its vocabulary is bounded by ``VOCABULARY``.
+class weighted up to its full count.  Its size is bounded by ``VOCABULARY`` features.
 Scoring is one pass over all whole texts, without any exchange.
 
 Edge cases: a null or empty text has no sentences and scores 0; labels that contradict
@@ -32,8 +38,11 @@ from veladura.llm.common import free_name, map_batches, ship, with_text_value
 
 ship(__name__)
 
-SAMPLE, SAMPLE_CHARS, VOCABULARY, MIN_DOCS = 1500, 30_000, 50_000, 4
-STEPS, RATE, RIDGE = 300, 0.1, 2e-4
+SAMPLE, SAMPLE_CHARS, VOCABULARY, MIN_DOCS, LEAST_Z = 2500, 30_000, 20_000, 4, 4.2
+STEPS, RATE, RIDGE = 300, 0.1, 2e-5
+BEGINNINGS = range(3, 9)
+#: Words whose weight a task remembers.
+REMEMBERED = 300_000
 OFFENDING = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -63,6 +72,10 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
+def features(word: str) -> list[str]:
+    return [word, *(word[:n] + "-" for n in BEGINNINGS if n < len(word))]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learn from the labels of documents that are not held out."""
     known = (
@@ -93,16 +106,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
 def _fit(bags: list[list[tuple]], toxic: np.ndarray, n_bad: int, n_good: int) -> ToxicityModel:
     if not (toxic == 1).any() or not (toxic == 0).any():
         return ToxicityModel(0.0, {}, n_bad / max(n_bad + n_good, 1))
-    held: dict[str, int] = {}
-    for bag in bags:
-        for word in {w for _, _, ws in bag for w in ws}:
-            held[word] = held.get(word, 0) + 1
-    frequent = sorted((w for w, n in held.items() if n >= MIN_DOCS), key=lambda w: (-held[w], w))
-    number = {w: i for i, w in enumerate(frequent[:VOCABULARY])}
+    held: dict[str, list[int]] = {}
+    for bag, t in zip(bags, toxic.tolist()):
+        for f in {f for w in {w for _, _, ws in bag for w in ws} for f in features(w)}:
+            held.setdefault(f, [0, 0])[t] += 1
+    n_clean, n_toxic = int((toxic == 0).sum()), int((toxic == 1).sum())
+
+    def z_score(counts: list[int]) -> float:
+        clean, bad = counts
+        rate = (clean + bad) / (n_clean + n_toxic)
+        spread = math.sqrt(rate * (1 - rate) * (1 / n_clean + 1 / n_toxic))
+        return abs(bad / n_toxic - clean / n_clean) / spread if spread else 0.0
+
+    told = {f: z_score(c) for f, c in held.items() if sum(c) >= MIN_DOCS}
+    useful = sorted((f for f, z in told.items() if z >= LEAST_Z), key=lambda f: (-told[f], f))
+    number = {f: i for i, f in enumerate(useful[:VOCABULARY])}
     words, of_sentence, of_bag = [], [], []
     for b, bag in enumerate(bags):
         for _, _, ws in bag:
-            got = {number[w] for w in ws if w in number}
+            got = [number[f] for w in set(ws) for f in features(w) if f in number]
             words += got
             of_sentence += [len(of_bag)] * len(got)
             of_bag.append(b)
@@ -126,23 +148,40 @@ def _fit(bags: list[list[tuple]], toxic: np.ndarray, n_bad: int, n_good: int) ->
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return ToxicityModel(
-        float(theta[-1]), {w: float(theta[i]) for w, i in number.items() if abs(theta[i]) > 0.05}
-    )
-
-
-def score_text(model: ToxicityModel, text: str | None) -> tuple[float, list[dict]]:
-    """The document's score and its offending sentences (code points, end exclusive)."""
-    if model.constant is not None:
-        return model.constant, []
-    weight, bias = model.weights.get, model.bias
-    quiet, found = 0.0, []
-    for start, end, words in sentences(text or ""):
-        z = bias + sum([weight(w, 0.0) for w in set(words)])
-        quiet += math.log1p(math.exp(z)) if z < 30 else z
-        if z >= 0:  # a sentence score of 0.5 or more
-            found.append({"start": start, "end": end, "score": 1 / (1 + math.exp(-min(z, 700)))})
-    return -math.expm1(-quiet), found
+    return ToxicityModel(float(theta[-1]), {f: float(theta[i]) for f, i in number.items()})
+
+
+class Scorer:
+    """A model with the weights of the words seen so far."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model = model
+        self.seen: dict[str, float] = {}
+        self.leak = math.log1p(math.exp(model.bias))  # -log(1 - p) of a sentence without features
+
+    def weight(self, word: str) -> float:
+        got = self.seen.get(word)
+        if got is None:
+            get = self.model.weights.get
+            got = sum([get(f, 0.0) for f in features(word)])
+            if len(self.seen) < REMEMBERED:
+                self.seen[word] = got
+        return got
+
+    def score(self, text: str | None) -> tuple[float, list[dict]]:
+        """The document's score and its offending sentences (code points, end exclusive)."""
+        if self.model.constant is not None:
+            return self.model.constant, []
+        quiet, found = 0.0, []
+        for start, end, words in sentences(text or ""):
+            own = sum([self.weight(w) for w in set(words)])
+            if own <= 0:
+                continue
+            z = self.model.bias + own
+            quiet += (math.log1p(math.exp(z)) if z < 30 else z) - self.leak
+            if z >= 0:  # a sentence score of 0.5 or more
+                found.append({"start": start, "end": end, "score": 1 / (1 + math.exp(-min(z, 700)))})
+        return -math.expm1(-quiet), found
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -154,8 +193,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     )
 
     def prepare():
+        scorer = Scorer(model)
+
         def run(columns):
-            scored = [score_text(model, t) for t in columns["text"]]
+            scored = [scorer.score(t) for t in columns["text"]]
             return {
                 "doc_id": columns["doc_id"],
                 "score": [s for s, _ in scored],
@@ -171,5 +212,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The documents that score below 0.5, with the columns they had."""
     name = free_name(docs, "score")
-    scored = with_text_value(docs, name, "double", lambda: lambda text: score_text(model, text)[0])
+
+    def prepare():
+        scorer = Scorer(model)
+        return lambda text: scorer.score(text)[0]
+
+    scored = with_text_value(docs, name, "double", prepare)
     return scored.filter(F.col(name) < 0.5).select(*docs.columns)
