@@ -1,17 +1,22 @@
 """Frequent keys: a third of all rows share one.  Results must be whole and spread."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from veladura.operators.protect import protect
-from veladura.operators.skew import hot_keys, lookup_join, small_enough
-from veladura.operators.token_map import build_token_map, detokenize
+from suite import QUERIES
+from suite.data import TOKEN_FIELDS, people, stored, stored_token_map
+from veladura.operators.lookup import find_many
+from veladura.operators.skew import lookup_join
+from veladura.operators.token_map import build_token_map, detokenize, only_tokens_of
 from veladura.operators.validate import duplicate_keys, only_new
 from veladura.operators.verify import convergence_report
 from veladura.policy import ProtectionPolicy
-from veladura.sources.tables import with_new_ids, write_token_map
+from veladura.sources.tables import with_new_ids, write_clustered, write_token_map
 
 N = 30_000
 
@@ -27,63 +32,76 @@ def facts(spark):
     return spark.range(N).select("id", key.alias("key"))
 
 
-def test_hot_keys(facts):
-    assert [r.key for r in hot_keys(facts, "key", 8, N).collect()] == ["hot"]
-
-
-def test_size_check_reads_no_more_than_asked(facts):
-    assert small_enough(facts, N) and not small_enough(facts, N - 1)
-
-
-@pytest.mark.parametrize("broadcast_rows, few", [(0, None), (10_000, False), (0, True)])
-def test_lookup_join_equals_the_plain_join(facts, broadcast_rows, few):
+@pytest.mark.parametrize("hint", [None, "merge", "broadcast"])
+def test_lookup_join_equals_the_plain_join(facts, hint):
     entries = facts.filter("key is not null and key <> 'k17'").groupBy("key").agg(
         F.max("id").alias("value")
     )
-    ours = lookup_join(facts, entries, "key", broadcast_rows, few).select("id", "key", "value")
+    ours = lookup_join(facts, entries, "key", hint).select("id", "key", "value")
     plain = facts.join(entries, "key", "left").select("id", "key", "value")
     assert ours.count() == N
     assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
 
 
-@pytest.mark.parametrize("low", [0, 29_000])
-def test_finishing_before_or_after_the_join(facts, low):
-    """More facts than entries, and the other way round."""
-    entries = facts.filter("key is not null").groupBy("key").agg(F.max("id").alias("value"))
-    some = facts.filter(F.col("id") >= low)
+@pytest.fixture
+def small_parts(spark):
+    """Skew handling as it would be at size: a share of these rows counts as large."""
+    names = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in names:
+        spark.conf.unset(name)
 
-    def finish(rows):
-        return rows.withColumn("twice", F.col("value") * 2).drop("value")
 
-    ours = lookup_join(some, entries, "key", 0, few=False, finish=finish).select("id", "key", "twice")
-    plain = finish(some.join(entries, "key", "left")).select("id", "key", "twice")
-    assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
-    assert ours.count() == N - low
+@pytest.mark.parametrize("hot", ["'hot'", "null"])
+def test_hot_rows_are_spread(spark, facts, tmp_path, small_parts, hot):
+    """Neither a frequent key nor a third of rows without any fills one task."""
+    facts = facts.withColumn("load", F.sha2(F.col("id").cast("string"), 256))
+    facts.withColumn("key", F.expr(f"if(id % 3 = 0, {hot}, key)")).repartition(8).write.parquet(
+        str(tmp_path / "facts")
+    )
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    facts.filter("key is not null").groupBy("key").agg(F.max("id").alias("value")).write.parquet(
+        str(tmp_path / "entries")
+    )
+    joined = lookup_join(facts, spark.read.parquet(str(tmp_path / "entries")), "key")
+    per_task = joined.groupBy(F.spark_partition_id().alias("p"))
+    sizes = [r.n for r in per_task.agg(F.count(F.lit(1)).alias("n"), F.max("load")).collect()]
+    assert max(sizes) < N / 4 and sum(sizes) == N
 
 
-@pytest.mark.parametrize("hot", ["'hot'", "null"])
-def test_hot_rows_are_not_shuffled(spark, facts, hot):
-    """Neither a frequent key nor a third of rows without any."""
-    facts = facts.withColumn("key", F.expr(f"if(id % 3 = 0, {hot}, key)"))
-    entries = facts.filter("key is not null").groupBy("key").agg(F.max("id").alias("value"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = lookup_join(facts, entries, "key", 0, few=False)
-        sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
-        shuffled = [
-            r["n"]
-            for r in facts.repartition(8, "key")
-            .groupBy(F.spark_partition_id())
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
-        ]
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert max(shuffled) > N / 3  # what a plain join would put into one task
-    assert max(r["count"] for r in sizes) < N / 5
-    assert sum(r["count"] for r in sizes) == N
+def test_input_is_scanned_once_whatever_the_columns(spark, sf_dir, keys):
+    """The plan grows with the number of columns, not with their power set."""
+    tokens = stored_token_map(spark, sf_dir)
+    for n in range(1, len(TOKEN_FIELDS) + 1):
+        fields = dict(list(TOKEN_FIELDS.items())[:n])
+        raw = people(spark, sf_dir).select("id", *fields)
+        safe = protect(raw, ProtectionPolicy(fields), keys)
+        started = time.perf_counter()
+        back = detokenize(safe, fields, tokens, keys, hint="merge")
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert time.perf_counter() - started < 5
+        assert plan.count("/customer.parquet") == 1
+        assert not re.search("GlobalLimit|SinglePartition", plan)
+
+
+def test_search_lists_take_no_single_task(spark, sf_dir, keys):
+    wanted = people(spark, sf_dir).select("cpf")
+    plan = find_many(stored(spark, sf_dir), wanted, keys)._jdf.queryExecution().executedPlan()
+    assert not re.search("GlobalLimit|SinglePartition", plan.toString())
+
+
+def test_one_cipher_per_input(spark, sf_dir):
+    df = QUERIES["keys_not_stored_yet"].run(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[", plan)) == 2
 
 
 def test_few_tokens_filter_the_scan_of_the_map(spark, facts, keys, tmp_path):
@@ -93,8 +111,11 @@ def test_few_tokens_filter_the_scan_of_the_map(spark, facts, keys, tmp_path):
     assert stored.select(F.input_file_name()).distinct().count() == 4
     few = facts.filter("id between 10 and 13")
     safe = protect(few, ProtectionPolicy(field), keys)
-    back = detokenize(safe, field, stored, keys)
+    some = only_tokens_of(safe, field, stored)
+    back = detokenize(safe, field, some, keys)
     assert sorted(back.collect()) == sorted(few.collect())
+    with pytest.raises(ValueError):
+        only_tokens_of(protect(facts, ProtectionPolicy(field), keys), field, stored)
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "In(token, [TKN-" in plan  # pushed to the files
 
@@ -103,7 +124,7 @@ def test_detokenize_with_a_hot_token(facts, keys):
     field = {"key": "tok-endereco"}
     tokens = build_token_map(facts, field, keys)
     safe = protect(facts, ProtectionPolicy(field), keys)
-    back = detokenize(safe, field, tokens, keys, broadcast_rows=0, few_rows=0)
+    back = detokenize(safe, field, tokens, keys, hint="merge")
     assert back.exceptAll(facts).isEmpty() and back.count() == N
 
 
@@ -120,6 +141,21 @@ def test_only_new_keeps_the_first_of_each_key(spark, facts):
     assert {r.key: r.id for r in got} == expected and len(got) == len(expected)
 
 
+def test_only_new_keeps_rows_without_key(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (2, None), (3, "a"), (4, "a")], "id int, key string")
+    none = spark.createDataFrame([(None,), (None,), ("b",)], "key string")
+    assert sorted(r.id for r in only_new(rows, none, "key").collect()) == [1, 2, 2, 3]
+
+
+def test_rows_without_usable_key_are_spread_over_files(spark, tmp_path):
+    key = F.when(F.col("id") % 2 == 0, F.lpad((F.col("id") * 4_000_037 % 10**11).cast("string"), 11, "0"))
+    rows = spark.range(20_000).select("id", key.alias("cpf_protected"))
+    write_clustered(rows, str(tmp_path / "t"), files=8)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 4000
+
+
 def test_duplicates(facts):
     counts = {r.key: r.n for r in duplicate_keys(facts, "key").collect()}
     assert counts["hot"] == N // 3

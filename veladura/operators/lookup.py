@@ -10,7 +10,6 @@ from veladura import policy as P
 from veladura.functions.ff3 import Ff3
 from veladura.keys import Keyring
 from veladura.operators.protect import RAISE, named, protect_column
-from veladura.operators.skew import small_enough
 
 
 def by_id(df: DataFrame, key: int) -> DataFrame:
@@ -51,14 +50,12 @@ def find_many(
 ) -> DataFrame:
     """Stored rows whose key is among the searched raw values.
 
-    The list is protected, made distinct, and broadcast if it proves small.
+    The list is protected and made distinct; Spark broadcasts it if it proves small.
     """
     P.check_grants(role, "encode", [name])
     wanted = searched.select(
         protect_column(named(raw), name, keyring, on_error, pin=True).alias(protected)
     ).distinct()
-    if small_enough(searched):
-        wanted = F.broadcast(wanted)
     return stored.join(wanted, protected, "left_semi")
 
 

@@ -11,7 +11,7 @@ from veladura import policy as P
 from veladura.functions import fpe, text
 from veladura.keys import Keyring
 from veladura.operators.protect import RAISE, failure, has_value, named, normalized
-from veladura.operators.token_map import detokenize, detokenize_mixed
+from veladura.operators.token_map import detokenize, detokenize_mixed, only_tokens_of
 
 
 class IrreversibleError(ValueError):
@@ -80,8 +80,15 @@ def reveal_customers(
     token_map: DataFrame,
     role: str = "core-role",
     on_error: str = RAISE,
+    few: bool = False,
 ) -> DataFrame:
-    """Stored customers with their data revealed; the CPF formatted, mail still masked."""
+    """Stored customers with their data revealed; the CPF formatted, mail still masked.
+
+    ``few`` is for a customer or a handful: their tokens filter the scan of the map.
+    """
+    if few:
+        by_token = [c for c in STORED_REVERSIBLE if c.endswith("_token")]
+        token_map = only_tokens_of(protected, by_token, token_map)
     shown = reveal(protected, STORED_REVERSIBLE, keyring, role, token_map, on_error)
     return shown.select(
         "id",

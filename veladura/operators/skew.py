@@ -2,74 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000  # an entry is a few hundred bytes at most: tens of megabytes
-FEW_ROWS = 1000  # that many keys may stand in a filter
-
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Is the frame proven to have at most this many rows?  Reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def own_key(key: Column) -> Column:
+    """A text key, or for rows without one a key of their own that nothing else has.
 
-
-def hot_keys(df: DataFrame, key: str, share: int, total: int) -> DataFrame:
-    """Keys that hold more than 1/share of ``total`` rows: at most ``share`` of them."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") * share > total).select(key)
+    Rows without a key then neither meet in one task nor match anything.  It is computed
+    where the row is read, and keeps conditions on the key from moving below it, where
+    a costly key (a cipher) would be computed a second time.
+    """
+    return F.coalesce(key, F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
 
 
 def lookup_join(
-    facts: DataFrame,
-    entries: DataFrame,
-    key: str,
-    broadcast_rows: int = BROADCAST_ROWS,
-    few: bool | None = None,
-    entry_count: int | None = None,
-    finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    facts: DataFrame, entries: DataFrame, key: str, hint: str | None = None
 ) -> DataFrame:
     """Left join of ``facts`` to ``entries``, which have one row per key.
 
-    * Few facts (``FEW_ROWS``): their keys become a filter that reaches the scan of
-      the entries.
-    * A small table of entries: broadcast.
-    * Otherwise the keys that would outgrow one shuffle partition are split off.
-      There are at most as many as partitions, so their entries can be broadcast and
-      their rows need no shuffle.  Null keys find nothing and stay with them.  The
-      rest is a shuffled join in which no key exceeds a partition's fair share.
-
-    Sizes are looked up here unless the caller knows them, which reads the facts more
-    than once: store them first if they are costly to compute.  ``finish`` is costly work
-    on the entries' columns.  It is done on the entries, once each, unless there are
-    more of them than facts: then on what the join has found.
+    One ordinary join: Spark broadcasts the entries if they are small, and splits the
+    partitions of frequent keys while the query runs.  ``hint`` asks for a kind of
+    join, as in ``DataFrame.hint``.
     """
-    if few is None:
-        few = small_enough(facts, FEW_ROWS)
-    if few:
-        wanted = facts.select(key).filter(F.col(key).isNotNull()).distinct().collect()
-        found = entries.filter(F.col(key).isin([row[0] for row in wanted]))
-        return facts.join(F.broadcast(finish(found)), key, "left")
-    if entry_count is None:
-        entry_count = entries.count()
-    if entry_count <= broadcast_rows:
-        return facts.join(F.broadcast(finish(entries)), key, "left")
-    total = facts.count()
-    if entry_count <= total:
-        return _split_join(facts, finish(entries), key, total)
-    return finish(_split_join(facts, entries, key, total))
-
-
-def _split_join(facts: DataFrame, entries: DataFrame, key: str, total: int) -> DataFrame:
-    spark = facts.sparkSession
-    share = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(facts, key, share, total).collect()  # at most ``share`` rows
-    hot = spark.createDataFrame([(row[0],) for row in found], facts.select(key).schema)
-    marked = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    apart = F.col("_hot").isNotNull() | F.col(key).isNull()
-    hot_entries = entries.join(F.broadcast(hot), key, "left_semi")
-    frequent = marked.filter(apart).drop("_hot").join(F.broadcast(hot_entries), key, "left")
-    others = marked.filter(~apart).drop("_hot").join(entries, key, "left")
-    return frequent.unionByName(others)
+    sought = entries.withColumnRenamed(key, "_sought")
+    if hint:
+        sought = sought.hint(hint)
+    probing = facts.withColumn("_probe", own_key(F.col(key)))
+    return probing.join(sought, F.col("_probe") == F.col("_sought"), "left").drop("_probe", "_sought")

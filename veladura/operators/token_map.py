@@ -11,7 +11,9 @@ from veladura import policy as P
 from veladura.functions import tokens
 from veladura.keys import Keyring
 from veladura.operators.protect import RAISE, failure, has_value, named
-from veladura.operators.skew import BROADCAST_ROWS, FEW_ROWS, lookup_join, small_enough
+from veladura.operators.skew import lookup_join
+
+FEW_TOKENS = 1000  # that many may stand in a filter
 
 
 def _by_transformation(names: Iterable[str], build: Callable[[str], Column]) -> Column:
@@ -66,38 +68,15 @@ def token_collisions(df: DataFrame, columns: Mapping[str, str], keyring: Keyring
     )
 
 
-def _entry_counts(token_map: DataFrame) -> dict[str, int]:
-    """Entries per transformation, of which there are a handful."""
-    counts = token_map.groupBy("transformation").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {row.transformation: row.n for row in counts}
-
-
-def _open(names: Iterable[str], keyring: Keyring) -> Callable[[DataFrame], DataFrame]:
-    """Decrypt the sealed values of stored or joined entries."""
+def _open(entries: DataFrame, names: Iterable[str], keyring: Keyring) -> DataFrame:
+    """Entries of the named transformations, decrypted, each once however often it is sought."""
     opened = F.when(F.lit(False), F.lit(None))
     for name in names:
-        value = tokens.unseal(F.col("_sealed"), name, keyring)
-        opened = opened.when(F.col("_name") == name, value)
-    return lambda rows: rows.withColumn("_value", opened).drop("_sealed")
-
-
-def _with_originals(
-    keyed: DataFrame,
-    names: list[str],
-    token_map: DataFrame,
-    keyring: Keyring,
-    few: bool,
-    entry_count: int,
-    broadcast_rows: int,
-) -> DataFrame:
-    """Add ``_name`` and ``_value`` of the entry that ``_token`` points to."""
-    entries = token_map.filter(F.col("transformation").isin(names)).select(
-        F.col("token").alias("_token"),
-        F.col("transformation").alias("_name"),
-        F.col("value_enc").alias("_sealed"),
+        value = tokens.unseal(F.col("value_enc"), name, keyring)
+        opened = opened.when(F.col("transformation") == name, value)
+    return entries.filter(F.col("transformation").isin(list(names))).select(
+        F.col("token").alias("_token"), F.col("transformation").alias("_name"), opened.alias("_value")
     )
-    opened = _open(names, keyring)
-    return lookup_join(keyed, entries, "_token", broadcast_rows, few, entry_count, opened)
 
 
 def _original(c: Column, name: str, on_error: str) -> Column:
@@ -106,6 +85,19 @@ def _original(c: Column, name: str, on_error: str) -> Column:
     return F.when(~has_value(c), c).otherwise(F.coalesce(known, missing))
 
 
+def only_tokens_of(df: DataFrame, columns: Iterable[str], token_map: DataFrame) -> DataFrame:
+    """The entries that a few rows need, by a filter that reaches the scan of the map.
+
+    For a customer or a handful.  More than ``FEW_TOKENS`` tokens are refused: then the
+    whole map is the right input.
+    """
+    held = df.select(F.explode(F.array(*[named(c) for c in columns])).alias("token"))
+    rows = held.filter(F.col("token").isNotNull()).take(FEW_TOKENS + 1)
+    if len(rows) > FEW_TOKENS:
+        raise ValueError(f"more than {FEW_TOKENS} tokens: pass the whole token map")
+    return token_map.filter(F.col("token").isin(sorted({r.token for r in rows})))
+
+
 def detokenize(
     df: DataFrame,
     columns: Mapping[str, str],
@@ -113,22 +105,19 @@ def detokenize(
     keyring: Keyring,
     role: str = "core-role",
     on_error: str = RAISE,
-    broadcast_rows: int = BROADCAST_ROWS,
-    few_rows: int = FEW_ROWS,
+    hint: str | None = None,
 ) -> DataFrame:
     """Replace tokens by the values they stand for; null and blank stay.
 
-    A token that the stored map does not have is an error of that row.
+    One join per column, whatever the sizes: the input is read once and the plan grows
+    with the number of columns.  A token that the stored map does not have is an error
+    of that row.
     """
     P.check_grants(role, "decode", sorted(set(columns.values())))
     order = [named(c) for c in df.columns]
-    few = small_enough(df, few_rows)
-    counts = {} if few else _entry_counts(token_map)
     for c, name in columns.items():
         keyed = df.withColumn("_token", F.when(has_value(named(c)), named(c)))
-        found = _with_originals(
-            keyed, [name], token_map, keyring, few, counts.get(name, 0), broadcast_rows
-        )
+        found = lookup_join(keyed, _open(token_map, [name], keyring), "_token", hint)
         df = found.withColumn(c, _original(named(c), name, on_error)).select(*order)
     return df
 
@@ -140,8 +129,7 @@ def detokenize_mixed(
     token_map: DataFrame,
     keyring: Keyring,
     on_error: str = RAISE,
-    broadcast_rows: int = BROADCAST_ROWS,
-    few_rows: int = FEW_ROWS,
+    hint: str | None = None,
 ) -> DataFrame:
     """Add ``target`` with the originals of a ``(transformation, value)`` frame.
 
@@ -150,8 +138,6 @@ def detokenize_mixed(
     names, order = list(names), [named(c) for c in df.columns]
     kind, value = F.col("transformation"), F.col("value")
     keyed = df.withColumn("_token", F.when(kind.isin(names) & has_value(value), value))
-    few = small_enough(df, few_rows)
-    count = 0 if few else sum(_entry_counts(token_map).values())
-    found = _with_originals(keyed, names, token_map, keyring, few, count, broadcast_rows)
+    found = lookup_join(keyed, _open(token_map, names, keyring), "_token", hint)
     original = _by_transformation(names, lambda n: _original(value, n, on_error))
     return found.select(*order, original.alias(target))
