@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veladura import policy as P
@@ -18,6 +20,9 @@ def read_stream(spark: SparkSession, path: str, schema, format: str = "parquet",
     return spark.readStream.schema(schema).options(**options).format(format).load(path)
 
 
+LEADING_DIGITS = 2  # of an encrypted key, which are evenly spread: a hundred folders of keys
+
+
 def protect_stream(
     raw: DataFrame,
     accepted_path: str,
@@ -28,24 +33,44 @@ def protect_stream(
     role: str = "api-role",
     unique: bool = False,
     trigger: dict | None = None,
+    keys_path: str | None = None,
 ) -> StreamingQuery:
     """Protect a stream of raw customers into a table, rejections into another.
 
-    Each micro-batch writes its own folder and overwrites it if it is run again,
-    so a restart neither loses nor repeats rows.  With ``unique``, rows whose CPF
-    is already stored by an earlier batch, or repeated in this one, are left out.
+    Each micro-batch writes its own folder, named by the stream's id (which lives in
+    its checkpoint) and the batch number, and overwrites it if it is run again.  So a
+    restart neither loses nor repeats rows, and a stream under a new checkpoint adds to
+    what others stored.
+
+    With ``unique``, rows whose CPF is already stored, by whichever stream, or repeated
+    in this batch, are left out.  The stored keys have a table of their own at
+    ``keys_path``, in folders by their leading digits: a batch reads the keys of its own
+    digits, never the customers.  One unique stream at a time may write to a table.
     """
     spark = raw.sparkSession
+    keys_path = keys_path or f"{accepted_path.rstrip('/')}.keys"
+    if unique:
+        _catch_up(spark, accepted_path, keys_path)
 
     def write(batch: DataFrame, number: int) -> None:
+        run = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        folder = f"run={run}/batch={number}"
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             intake = take_in(batch, keyring, policy, role, on_error=NULL)
             accepted = intake.accepted
             if unique:
-                accepted = only_new(accepted, _earlier(spark, accepted_path, number, accepted))
-            accepted.write.mode("overwrite").parquet(f"{accepted_path}/batch={number}")
-            intake.rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
+                accepted.persist(StorageLevel.MEMORY_AND_DISK)
+                known = _known_keys(spark, keys_path, accepted).filter(
+                    (F.col("run") != run) | (F.col("batch") != number)
+                )
+                only_new(accepted, known).write.mode("overwrite").parquet(f"{accepted_path}/{folder}")
+                accepted.unpersist()
+                stored = spark.read.schema(accepted.schema).parquet(f"{accepted_path}/{folder}")
+                _write_keys(stored, f"{keys_path}/{folder}", "overwrite")
+            else:
+                accepted.write.mode("overwrite").parquet(f"{accepted_path}/{folder}")
+            intake.rejected.write.mode("overwrite").parquet(f"{rejected_path}/{folder}")
         finally:
             batch.unpersist()
 
@@ -57,15 +82,36 @@ def protect_stream(
     )
 
 
-def _earlier(spark: SparkSession, path: str, number: int, like: DataFrame) -> DataFrame:
-    """What batches before this one stored; a batch that is run again is not in its own way."""
-    if number == 0:
-        return spark.createDataFrame([], like.schema)
-    return spark.read.schema(f"batch int, {_ddl(like)}").parquet(path).filter(f"batch < {number}")
+def _write_keys(stored: DataFrame, path: str, mode: str, *folders: str) -> None:
+    keys = stored.filter("cpf_protected is not null").select(
+        "cpf_protected", *folders, F.left("cpf_protected", F.lit(LEADING_DIGITS)).alias("lead")
+    )
+    keys.write.mode(mode).partitionBy(*folders, "lead").parquet(path)
+
+
+def _read(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """A table in folders by run and batch; empty if there is none yet."""
+    schema = f"cpf_protected string, run string, batch bigint{more}"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def _catch_up(spark: SparkSession, accepted_path: str, keys_path: str) -> None:
+    """Add the keys of batches that were stored without them."""
+    stored, listed = _read(spark, accepted_path), _read(spark, keys_path, ", lead string")
+    # a batch without any key has none to list
+    done = listed.select("run", "batch").distinct()
+    missing = stored.join(done, ["run", "batch"], "left_anti")
+    _write_keys(missing, keys_path, "append", "run", "batch")
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def _known_keys(spark: SparkSession, keys_path: str, accepted: DataFrame) -> DataFrame:
+    """The stored keys that begin like some key of the batch; at most a hundred folders."""
+    leads = accepted.select(F.left("cpf_protected", F.lit(LEADING_DIGITS)).alias("lead")).distinct()
+    wanted = [r.lead for r in leads.filter("lead is not null").collect()]
+    return _read(spark, keys_path, ", lead string").filter(F.col("lead").isin(wanted))
 
 
 def protect_append(
