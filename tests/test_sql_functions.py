@@ -30,7 +30,7 @@ FUNCTIONS = {
 @pytest.fixture(scope="module")
 def rough(spark, sf_dir, keys):
     assert set(register_text_functions(spark)) == {*FUNCTIONS, "mask_email"}
-    register_protect_functions(spark, keys)
+    register_protect_functions(spark, keys, "core-role")
     return rough_people(spark, sf_dir).cache()
 
 
@@ -59,3 +59,19 @@ def test_protect_functions(rough, keys, field):
 def test_only_granted_functions_are_made(spark, keys):
     made = register_protect_functions(spark, keys, role="support-role")
     assert made == ["encode_mask_email", "encode_mask_nome", "encode_mask_dob", "encode_mask_cvv"]
+
+
+def test_keys_are_not_to_be_read(spark, keys):
+    """No view, and no text of a function, from which a key could be read."""
+    register_text_functions(spark)
+    register_protect_functions(spark, keys, "core-role")
+    views = [t.name for t in spark.catalog.listTables() if "veladura_keys" in t.name]
+    assert views == []
+    secrets = [p.hex() for n in ("tok-raca", "tok-conta") for p in (*keys.token_pads(n), keys.store(n))]
+    for f in spark.catalog.listFunctions():
+        if f.name.startswith(("encode_", "decode_", "_encode_", "_decode_")):
+            told = spark.sql(f"DESCRIBE FUNCTION EXTENDED {f.name}").collect()
+            text = " ".join(r[0] for r in told).lower()
+            assert not any(s in text for s in secrets) and "veladura_keys" not in text
+    with __import__("pytest").raises(TypeError):
+        register_protect_functions(spark, keys)

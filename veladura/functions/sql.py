@@ -11,8 +11,6 @@ from veladura.functions import tokens
 from veladura.functions.fpe import cipher_udf
 from veladura.keys import Keyring
 
-_KEY_VIEW = "veladura_keys"
-
 
 def function_name(operation: str, name: str) -> str:
     """``encode`` and ``ff-cpf`` give ``encode_ff_cpf``."""
@@ -70,12 +68,12 @@ def register_text_functions(spark: SparkSession) -> list[str]:
 
 
 def register_protect_functions(
-    spark: SparkSession, keyring: Keyring, role: str = "core-role", names: Iterable[str] | None = None
+    spark: SparkSession, keyring: Keyring, role: str, names: Iterable[str] | None = None
 ) -> list[str]:
     """``encode_*`` for what the role may encode, ``decode_*`` for the FPE it may decode.
 
-    Keys stay out of SQL text: tokens read them from a temporary view, the cipher
-    carries its own.  A value that does not fit its template gives null; FPE takes
+    Keys stay out of SQL: ciphers and tokens are functions that carry their own, and no
+    view or function text holds one.  A value that does not fit its template gives null; FPE takes
     digits only.  Masks need ``register_text_functions`` first.
     """
     chosen = [n for n in (names or P.TRANSFORMATIONS) if P.may(role, "encode", n)]
@@ -101,13 +99,9 @@ def register_protect_functions(
             _define(spark, function_name("encode", name), "v STRING", body)
             made.append(function_name("encode", name))
         else:
-            view = f"{_KEY_VIEW}_{name.replace('-', '_')}"
-            keyring.frame(spark, name).createOrReplaceTempView(view)
-            body = (
-                f"concat('{tokens.PREFIX}', substr(sha2(concat((SELECT key.outer FROM {view}), "
-                f"unhex(sha2(concat((SELECT key.inner FROM {view}), encode(v, 'UTF-8')), 256))), 256), "
-                f"1, {tokens.HEX_DIGITS}))"
-            )
-            _define(spark, function_name("encode", name), "v STRING", body)
+            # the function carries its key, as the cipher does: SQL sees neither view nor text of it
+            inner = "_" + function_name("encode", name)
+            spark.udf.register(inner, tokens.token_udf(name, keyring))
+            _define(spark, function_name("encode", name), "v STRING", f"{inner}(v)")
             made.append(function_name("encode", name))
     return made

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,23 @@ HEX_DIGITS = 32  # 128 bits: no collisions expected among billions of values
 PATTERN = r"^TKN-[0-9a-f]{32}\z"
 
 
+def token_udf(transformation: str, keyring: Keyring):
+    """The same token as a function of Arrow batches that holds its key, for use in SQL."""
+    inner, outer = keyring.token_pads(transformation)
+    prefix, size = PREFIX, HEX_DIGITS
+
+    def one(value: str) -> str:
+        within = hashlib.sha256(inner + value.encode()).digest()
+        return prefix + hashlib.sha256(outer + within).hexdigest()[:size]
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else one(v) for v in values.to_pylist()], pa.string())
+
+    run.__name__ = f"encode_{transformation.replace('-', '_')}"
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")
+
+
 def token(c: Column, transformation: str, keyring: Keyring) -> Column:
     """HMAC-SHA256 of the text: same value, same token; one key per transformation."""
     key = keyring.column(transformation)
