@@ -13,7 +13,12 @@ from veladura.keys import Keyring
 
 RAISE, NULL, SENTINEL = "raise", "null", "sentinel"
 SENTINEL_VALUE = "ERROR"
-WHITESPACE = " \t\n\r\v\f"
+# The characters that Unicode calls white space, and the four separators
+# U+001C to U+001F, which count as blank too.
+WHITESPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 NORMALIZERS: dict[str, Callable[[Column], Column]] = {
     "ff-cpf": text.normalize_cpf,
@@ -120,13 +125,14 @@ def protect(
     )
 
 
-def _tallies(columns: Mapping[str, str]) -> list[Column]:
-    """Per protected column: values to transform, and those that do not fit."""
+def _tallies(columns: Mapping[str, str], refused: Mapping[str, str] = {}) -> list[Column]:
+    """Per protected column: values to transform, and those that do not fit or may not be."""
     out = []
     for c, name in columns.items():
         given = has_value(named(c))
         out.append(F.count_if(given).alias(f"{c}:values"))
-        out.append(F.count_if(given & ~fits(named(c), name)).alias(f"{c}:errors"))
+        wrong = given if c in refused else given & ~fits(named(c), name)
+        out.append(F.count_if(wrong).alias(f"{c}:errors"))
     return out
 
 
@@ -136,30 +142,48 @@ def protect_observed(
     keyring: Keyring,
     role: str = "pipeline-role",
     on_error: str = SENTINEL,
+    refused_as_errors: bool = False,
 ) -> tuple[DataFrame, Observation]:
-    """``protect`` that also counts, in the same job, records, values and errors."""
+    """``protect`` that also counts, in the same job, records, values and errors.
+
+    With ``refused_as_errors`` the values of columns that the role may not encode count
+    as errors and are replaced like those (never passed on in clear), so that a job can
+    finish; else a missing grant fails while the plan is built.
+    """
     columns = policy.resolve(df.columns)
+    refused = {
+        c: n
+        for c, n in columns.items()
+        if refused_as_errors and on_error != RAISE and not P.may(role, "encode", n)
+    }
     counts = Observation("protect")
-    observed = df.observe(counts, F.count(F.lit(1)).alias("records"), *_tallies(columns))
-    return protect(observed, policy, keyring, role, on_error), counts
+    tallies = _tallies(columns, refused)
+    observed = df.observe(counts, F.count(F.lit(1)).alias("records"), *tallies)
+    allowed = P.ProtectionPolicy({c: n for c, n in columns.items() if c not in refused})
+    safe = protect(observed, allowed, keyring, role, on_error)
+    hidden = {
+        c: F.when(~has_value(named(c)), named(c)).otherwise(
+            failure(on_error, f"{role} may not encode with {n}")
+        )
+        for c, n in refused.items()
+    }
+    return safe.withColumns(hidden) if hidden else safe, counts
 
 
-def summarize(counts: Mapping[str, int], batch_size: int = 100) -> dict[str, int]:
-    """Totals of an observed run; calls are what batches of ``batch_size`` would take."""
+def summarize(counts: Mapping[str, int]) -> dict[str, int]:
+    """Totals of an observed run."""
     values = [n for key, n in counts.items() if key.endswith(":values")]
     errors = [n for key, n in counts.items() if key.endswith(":errors")]
     return {
         "records": counts["records"],
         "fields_protected": len(values),
-        "api_calls": sum(-(-n // batch_size) for n in values),
+        "values": sum(values),
         "errors": sum(errors),
     }
 
 
-def protection_report(
-    df: DataFrame, policy: P.ProtectionPolicy, batch_size: int = 100
-) -> DataFrame:
-    """One row per protected column: values, errors and batch calls, from one pass."""
+def protection_report(df: DataFrame, policy: P.ProtectionPolicy) -> DataFrame:
+    """One row per protected column: values and errors, from one pass."""
     columns = policy.resolve(df.columns)
     totals = df.agg(F.count(F.lit(1)).alias("records"), *_tallies(columns))
     entries = [
@@ -169,7 +193,6 @@ def protection_report(
             F.lit(P.transformation(name).kind).alias("kind"),
             named(f"{c}:values").alias("n_values"),
             named(f"{c}:errors").alias("n_errors"),
-            F.ceil(named(f"{c}:values") / batch_size).alias("n_calls"),
         )
         for c, name in columns.items()
     ]

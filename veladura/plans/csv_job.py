@@ -1,8 +1,11 @@
 """File-to-file job: read a CSV, protect its personal columns, write a CSV.
 
     spark-submit --py-files veladura.zip veladura/plans/csv_job.py \
-        --input raw/ --output protected/ --role api-role \
-        [--fields cpf:ff-cpf,email:mask-email] [--generate 200]
+        --input raw/ --output protected/ [--role api-role] \
+        [--fields cpf:ff-cpf,email:mask-email] [--generate 200] [--multi-line]
+
+Values that cannot be protected, and those of columns that the role may not protect,
+become ``ERROR`` and are counted; nothing is passed on in clear.
 """
 
 from __future__ import annotations
@@ -29,15 +32,16 @@ def protect_csv(
     policy: P.ProtectionPolicy = P.batch_policy,
     role: str = "pipeline-role",
     on_error: str = SENTINEL,
-    batch_size: int = 100,
     mode: str = "errorifexists",
+    multi_line: bool = False,
 ) -> dict[str, float]:
     """Protect a CSV; the summary is counted in the job that writes it."""
-    df, counts = protect_observed(read_csv(spark, source), policy, keyring, role, on_error)
+    raw = read_csv(spark, source, multi_line=multi_line)
+    df, counts = protect_observed(raw, policy, keyring, role, on_error, refused_as_errors=True)
     started = time.perf_counter()
     write_csv(df, target, mode)
     seconds = time.perf_counter() - started
-    summary = summarize(counts.get, batch_size)
+    summary = summarize(counts.get)
     return {**summary, "seconds": seconds, "records_per_second": summary["records"] / seconds}
 
 
@@ -51,7 +55,7 @@ def main(arguments: list[str] | None = None) -> dict[str, float]:
     parser.add_argument("--output", required=True)
     parser.add_argument("--role", default="pipeline-role")
     parser.add_argument("--fields", help="column:transformation,… instead of the usual columns")
-    parser.add_argument("--batch-size", type=int, default=100, help="only for the call count")
+    parser.add_argument("--multi-line", action="store_true", help="line breaks inside quotes")
     parser.add_argument("--on-error", choices=["raise", "null", "sentinel"], default=SENTINEL)
     parser.add_argument("--overwrite", action="store_true")
     parser.add_argument("--generate", type=int, metavar="N", help="first write N sample rows")
@@ -68,8 +72,8 @@ def main(arguments: list[str] | None = None) -> dict[str, float]:
         P.ProtectionPolicy.parse(given.fields) if given.fields else P.batch_policy,
         given.role,
         given.on_error,
-        given.batch_size,
         "overwrite" if given.overwrite else "errorifexists",
+        given.multi_line,
     )
     for measure, value in summary.items():
         print(f"{measure}: {value:,.2f}" if isinstance(value, float) else f"{measure}: {value:,}")

@@ -22,17 +22,25 @@ def read_csv(
     path: str,
     columns: Iterable[str] | None = None,
     na_values: Iterable[str] = USUAL_NA_VALUES,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Header, all columns text, empty and ``na_values`` null.
 
     Without ``columns`` their names come from the header (types are not inferred,
-    so that reads one line only).  A missing path fails here.
+    so that reads one line only).  A missing path fails here.  A row with more or
+    fewer values than columns fails when it is read, rather than being filled up.
+
+    ``multi_line`` reads line breaks inside quotes.  Such a file cannot be split, so
+    each file is read by one task: give it many files.  Without it such a row fails as
+    one with too few values.
     """
     reader = spark.read.options(
         header=True,
         nullValue="",
         escape='"',
-        multiLine=False,
+        multiLine=multi_line,
+        mode="FAILFAST",
+        columnPruning=False,  # else values that nobody asks for are not counted
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )

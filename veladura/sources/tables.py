@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from veladura.functions.tokens import PREFIX
 from veladura.operators.protect import named
 from veladura.schemas import STAGING, STORED_CUSTOMER
+from veladura.session import fresh_path
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET, MOST_BUCKETS = 1_000_000, 10_000
 ROWS_PER_FILE = 2_000_000
 
 
@@ -46,6 +47,9 @@ def _write_ranges(
 ) -> None:
     """Write equal ranges of an evenly spread ``lead`` (0 to ``leads``) to files of their own."""
     place = F.call_function("div", lead * files, F.lit(leads)).cast("int")
+    # rows without a usable key are found by no search: they go anywhere, evenly
+    anywhere = F.pmod(F.xxhash64(*[named(c) for c in df.columns]), F.lit(files)).cast("int")
+    place = F.coalesce(place, anywhere)
     sought = [c for c in (key, "id") if c in df.columns]
     blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in sought}
     placed = df.repartitionById(files, place).sortWithinPartitions(named(key))
@@ -88,17 +92,23 @@ def with_new_ids(
 ) -> DataFrame:
     """Consecutive ids that follow ``after``, in an order fixed by ``key``.
 
-    Keys must be unique.  Rows are numbered inside hash buckets, of which there are
-    as many as the row count asks for, and each bucket starts where the ones before
-    it end.  So no task sees much more than a bucket, and a task that is run again
-    gives the same ids.
+    Keys must be unique (of rows without one any order will do).  Rows are numbered
+    inside hash buckets, as many as the row count asks for but ``MOST_BUCKETS`` at most,
+    and each bucket starts where the ones before it end.  So no task sees much more
+    than a bucket, what is broadcast is bounded, and a task that is run again gives the
+    same ids.  The rows are stored first: their cipher runs once, however often they
+    are read here.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    buckets = F.call_function("div", total, F.lit(rows_per_bucket)) + 1
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(named(key)), buckets))
+    path = fresh_path(df.sparkSession, "numbered")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    buckets = min(df.count() // rows_per_bucket + 1, MOST_BUCKETS)
+    whole = F.xxhash64(*[named(c) for c in df.columns])
+    spread = F.when(named(key).isNull(), whole).otherwise(F.xxhash64(named(key)))
+    bucketed = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets)))
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(  # one row per bucket: a millionth of the rows
+    starts = sizes.select(  # one row per bucket
         "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
     )
     inside = Window.partitionBy("_bucket").orderBy(named(key))
