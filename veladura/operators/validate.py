@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veladura import policy as P
 from veladura.operators.protect import fits, has_value, named
+from veladura.operators.skew import own_key
 from veladura.schemas import REQUIRED_FIELDS
 
 
@@ -74,15 +75,18 @@ def duplicate_keys(df: DataFrame, key: str = "cpf_protected") -> DataFrame:
 def only_new(incoming: DataFrame, stored: DataFrame, key: str = "cpf_protected") -> DataFrame:
     """Incoming rows whose key is neither stored nor repeated (lowest first column wins).
 
-    Repeats go first: the aggregation keeps one row per key and task before the
-    shuffle, so a key that fills a third of the input crowds no task, and the join
-    with the stored keys finds the rows already partitioned by key.
+    Rows without a key are no repeats of each other: all of them stay.  Repeats go
+    first: the aggregation keeps one row per key and task before the shuffle, so a key
+    that fills a third of the input crowds no task, and the join with the stored keys
+    finds the rows already partitioned by key.
     """
-    rest = [c for c in incoming.columns if c != key]
-    first = F.min(F.struct(*[named(c) for c in rest])).alias("first")
-    kept = incoming.groupBy(key).agg(first)
-    fresh = kept.join(stored.select(key), key, "left_anti")
-    return fresh.select(key, "first.*").select(*[named(c) for c in incoming.columns])
+    columns = [key, *[c for c in incoming.columns if c != key]]
+    first = F.min(F.struct(*[named(c) for c in columns])).alias("first")
+    kept = incoming.withColumn("_own", own_key(named(key).cast("string"))).groupBy("_own").agg(first)
+    known = stored.select(own_key(named(key).cast("string")).alias("_own"))
+    # a made-up key of one side must not meet one of the other
+    fresh = kept.join(known.filter(~F.startswith("_own", F.lit("\0"))), "_own", "left_anti")
+    return fresh.select("first.*").select(*[named(c) for c in incoming.columns])
 
 
 def length_report(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:

@@ -144,9 +144,18 @@ def format_report(df: DataFrame, pairs: Pairs) -> DataFrame:
 def before_after_report(
     raw: DataFrame, protected: DataFrame, pairs: Mapping[str, str], key: str = "id"
 ) -> DataFrame:
-    """Join the table before and after on its key: changed, unchanged and null values."""
-    left = raw.select(key, *[named(c).alias(f"{c}:before") for c in pairs])
-    right = protected.select(key, *[named(p).alias(f"{c}:after") for c, p in pairs.items()])
+    """Join the table before and after on its key: changed, unchanged, null and lost values.
+
+    ``n_missing`` and ``n_added`` count whole rows that only one of the two has.
+    """
+    left = raw.select(
+        key, F.lit(True).alias(":had"), *[named(c).alias(f"{c}:before") for c in pairs]
+    )
+    right = protected.select(
+        key, F.lit(True).alias(":has"), *[named(p).alias(f"{c}:after") for c, p in pairs.items()]
+    )
+    missing, added = named(":has").isNull(), named(":had").isNull()
+    stays = ~missing & ~added
     checks = {}
     for c in pairs:
         before, after = named(f"{c}:before"), named(f"{c}:after")
@@ -154,10 +163,12 @@ def before_after_report(
         checks[c] = {
             "n_changed": both & (before != after),
             "n_unchanged": both & (before == after),
-            "n_null": before.isNull() & after.isNull(),
-            "n_lost": before.isNotNull() & after.isNull(),
+            "n_null": stays & before.isNull() & after.isNull(),
+            "n_lost": stays & before.isNotNull() & after.isNull(),
+            "n_missing": missing,
+            "n_added": added,
         }
-    return _report(left.join(right, key), checks)
+    return _report(left.join(right, key, "full"), checks)
 
 
 def all_clear(report: DataFrame, measure: str) -> Column:

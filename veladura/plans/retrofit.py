@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from veladura import policy as P
 from veladura.keys import Keyring
-from veladura.operators.lookup import already_protected, unprotected
-from veladura.operators.protect import RAISE, protect
+from veladura.operators.lookup import unprotected
+from veladura.operators.protect import RAISE, named, protect, protect_column
+from veladura.operators.validate import duplicate_keys
 from veladura.operators.verify import Pairs, format_report, round_trip_report
 from veladura.policy import FIELD_TRANSFORMATIONS, RETROFIT_FIELDS, STORED_NAMES
 
@@ -31,13 +32,21 @@ def protect_rows(
 def protect_in_place(
     staging: DataFrame, keyring: Keyring, role: str = "api-role", on_error: str = RAISE
 ) -> DataFrame:
-    """The whole table after protection: one narrow pass, no shuffle.
+    """The whole table after protection: one narrow pass over one scan, no shuffle.
 
     Rows protected earlier are taken over as they are, so running it again changes
-    nothing.
+    nothing.  The cipher gets null for them, which costs nothing.
     """
-    done = protect_rows(staging, keyring, role, on_error)
-    return already_protected(staging).unionByName(done)
+    columns = P.retrofit_policy.resolve(staging.columns)
+    P.check_grants(role, "encode", sorted(set(columns.values())))
+    done = F.coalesce(F.col("protected"), F.lit(False))
+    filled = {
+        RAW_TO_PROTECTED[c]: F.when(done, named(RAW_TO_PROTECTED[c])).otherwise(
+            protect_column(F.when(~done, named(c)), name, keyring, on_error)
+        )
+        for c, name in columns.items()
+    }
+    return staging.withColumns(filled | {"protected": F.lit(True)})
 
 
 def write_version(table: DataFrame, path: str) -> None:
@@ -57,14 +66,17 @@ def retrofit(
 
 
 def apply_updates(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Replace the rows of ``table`` whose key is in ``changes``; the key is unique in both.
+    """Replace the rows of ``table`` whose key is in ``changes``.
 
-    Changed rows get a new ``updated_at``.
+    Changed rows get a new ``updated_at``.  Changes for keys that the table does not have
+    are left out: this updates and never inserts.  Two changes for one key are refused.
     """
+    if not duplicate_keys(changes, key).isEmpty():
+        raise ValueError(f"several changes for the same {key}")
     kept = table.join(changes.select(key), key, "left_anti")
-    stamped = changes
+    stamped = changes.join(table.select(key), key, "left_semi")
     if "updated_at" in table.columns:
-        stamped = changes.withColumn("updated_at", F.current_timestamp())
+        stamped = stamped.withColumn("updated_at", F.current_timestamp())
     return kept.unionByName(stamped.select(*table.columns))
 
 
