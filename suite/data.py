@@ -23,7 +23,8 @@ from veladura.sources.tables import (
     write_token_map,
 )
 
-DEMO_KEYS = Keyring(b"demonstration secret, never for real data")
+DEMO_SECRET = b"demonstration secret, never for real data"
+DEMO_KEYS = Keyring(DEMO_SECRET)
 TOKEN_FIELDS = {f: P.FIELD_TRANSFORMATIONS[f] for f in ("endereco", "conta", "saude", "raca", "religiao")}
 
 
@@ -129,7 +130,7 @@ def rough_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table to retrofit; the rows of one category were protected earlier."""
     rows = staging_rows(people(spark, sf_dir)).withColumn("created_at", created_at(F.col("id")))
-    earlier = F.col("raca_raw") == "Parda"
+    earlier = F.col("raca_raw") == "grupo três"
     return rows.filter(~earlier).unionByName(protect_rows(rows.filter(earlier), DEMO_KEYS))
 
 

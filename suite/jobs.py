@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from suite import expected as X
 from suite.data import (
     DEMO_KEYS,
+    DEMO_SECRET,
     TOKEN_FIELDS,
     people,
     purchases,
@@ -42,7 +45,9 @@ from veladura.operators.validate import only_new
 from veladura.operators.views import stored_names
 from veladura.plans import retrofit
 from veladura.plans.create import create_customers, take_in
+from veladura.plans import csv_job
 from veladura.plans.csv_job import protect_csv
+from veladura.schemas import STORED_CUSTOMER
 from veladura.session import fresh_path
 from veladura.sources.csv_text import read_csv, write_csv
 from veladura.sources.synthetic import customer_cpf, customers
@@ -104,6 +109,37 @@ def protect_csv_file(spark, sf_dir):
     return read_csv(spark, target, ["id", *_CSV])
 
 
+_CSV_NAMED = {"nome": "mask-nome"} | _CSV
+
+
+@query(
+    "E3 U2 G2",
+    f"WITH RECURSIVE {X.PEOPLE},\n{X.ROUGH},\n{X.protected('rough', _CSV, 'p', keep='s.nome')}\n"
+    "SELECT CAST(p.id AS VARCHAR) AS id, CASE WHEN trim(p.nome) <> '' THEN 'ERROR' ELSE p.nome END "
+    "AS nome, cpf, email, telefone, pan, dob, nullif(endereco, '') AS endereco, n_errors FROM p, "
+    "(SELECT CAST(sum(CASE WHEN trim(nome) <> '' THEN 1 ELSE 0 END) + "
+    + " + ".join(
+        f"count(*) FILTER (WHERE {X.has_value(c)} AND NOT {X.fits(c, n)})" for c, n in _CSV.items()
+    )
+    + " AS BIGINT) AS n_errors FROM rough)",
+)
+def csv_job_with_defaults(spark, sf_dir):
+    """The job as it is called: its role may not mask names, so they become errors."""
+    source, target = fresh_path(spark, "csv-in"), fresh_path(spark, "csv-out")
+    write_csv(rough_table(spark, sf_dir).select("id", *_CSV_NAMED), source)
+    before = os.environ.get("VELADURA_MASTER_KEY")
+    os.environ["VELADURA_MASTER_KEY"] = DEMO_SECRET.hex()
+    try:
+        summary = csv_job.main(["--input", source, "--output", target])
+    finally:
+        if before is None:
+            del os.environ["VELADURA_MASTER_KEY"]
+        else:
+            os.environ["VELADURA_MASTER_KEY"] = before
+    done = read_csv(spark, target, ["id", *_CSV_NAMED])
+    return done.withColumn("n_errors", F.lit(summary["errors"]).cast("bigint"))
+
+
 @query(
     "E4 U3",
     f"WITH RECURSIVE {X.PEOPLE},\n{X.protected('people', _BATCH, 'p', keep='s.nome')}\n"
@@ -192,14 +228,14 @@ def decode_mixed_values(spark, sf_dir):
 
 
 @query(
-    "U1 U2",
+    "U1",
     f"WITH RECURSIVE {X.PEOPLE},\n{X.protected('people', X.columns('cpf', 'raca'), 'p')}\n"
     "SELECT p.id, p.cpf AS by_column, p.cpf AS by_sql, p.raca, s.cpf AS back, "
     f"{X.CPF_FORMATTED.format(c='p.cpf')} AS shown FROM p JOIN people s ON s.id = p.id",
 )
 def functions_in_sql(spark, sf_dir):
     register_text_functions(spark)
-    register_protect_functions(spark, DEMO_KEYS, names=["ff-cpf", "tok-raca"])
+    register_protect_functions(spark, DEMO_KEYS, "core-role", ["ff-cpf", "tok-raca"])
     raw = people(spark, sf_dir)
     raw.createOrReplaceTempView("veladura_people")
     by_column = protect_column(F.col("cpf"), "ff-cpf", DEMO_KEYS).alias("by_column")
@@ -302,13 +338,13 @@ def token_map(spark, sf_dir):
     f"WITH {X.PEOPLE}\n"
     "SELECT CAST((SELECT count(DISTINCT endereco) FROM people WHERE trim(endereco) <> '') "
     "- (SELECT count(DISTINCT endereco) FROM people WHERE trim(endereco) <> '' "
-    "AND religiao = 'Budista') "
+    "AND religiao = 'Zoroastrista') "
     "AS BIGINT) AS n_new, CAST(0 AS BIGINT) AS n_collisions",
 )
 def token_map_growth(spark, sf_dir):
     """Entries to append to a map built from the customers of one category."""
     everyone, field = people(spark, sf_dir), {"endereco": "tok-endereco"}
-    known = build_token_map(everyone.filter("religiao = 'Budista'"), field, DEMO_KEYS)
+    known = build_token_map(everyone.filter("religiao = 'Zoroastrista'"), field, DEMO_KEYS)
     fresh = new_entries(build_token_map(everyone, field, DEMO_KEYS), known)
     twice = token_collisions(everyone, field, DEMO_KEYS).agg(F.count(F.lit(1))).scalar()
     return fresh.agg(F.count(F.lit(1)).alias("n_new")).withColumn("n_collisions", twice)
@@ -321,26 +357,28 @@ def detokenize_columns(spark, sf_dir):
     return detokenize(safe, TOKEN_FIELDS, stored_token_map(spark, sf_dir), DEMO_KEYS)
 
 
-@query("D2 M5", X.people("SELECT id, endereco FROM people"))
+@query("D2 M5", X.people("SELECT id, endereco, conta, saude, raca, religiao FROM people"))
 def detokenize_large_map(spark, sf_dir):
-    """The way taken when the map is too large to broadcast: frequent tokens apart."""
-    raw = people(spark, sf_dir).select("id", "endereco")
-    safe = protect(raw, P.ProtectionPolicy.of("endereco"), DEMO_KEYS)
+    """All token columns against a map that is shuffled, as one too large to broadcast is."""
+    raw = people(spark, sf_dir).select("id", *TOKEN_FIELDS)
+    safe = protect(raw, P.ProtectionPolicy(TOKEN_FIELDS), DEMO_KEYS)
     return detokenize(
-        safe, {"endereco": "tok-endereco"}, stored_token_map(spark, sf_dir), DEMO_KEYS,
-        broadcast_rows=0, few_rows=0,
-    )
+        safe, TOKEN_FIELDS, stored_token_map(spark, sf_dir), DEMO_KEYS, hint="merge"
+    )
 
 
 @query(
     "D4",
-    f"WITH {X.PEOPLE}\nSELECT id, CASE WHEN nome = 'Ana Paula Costa' THEN upper(nome) ELSE nome END "
+    f"WITH {X.PEOPLE}\nSELECT id, CASE WHEN nome = 'Olívia dos Reis Tavares' THEN upper(nome) ELSE nome END "
     "AS nome, "
     f"{X.mask_email('email')} AS email_masked FROM people",
 )
 def update_by_key(spark, sf_dir):
     before = stored(spark, sf_dir)
-    changes = before.filter("nome = 'Ana Paula Costa'").withColumn("nome", F.upper("nome"))
+    changes = before.filter("nome = 'Olívia dos Reis Tavares'").withColumn("nome", F.upper("nome"))
+    # changes for customers that are not stored: an update adds nobody
+    unknown = before.filter("nome <> 'Olívia dos Reis Tavares'").withColumn("id", -1 - F.col("id"))
+    changes = changes.unionByName(unknown)
     return retrofit.apply_updates(before, changes).select("id", "nome", "email_masked")
 
 
@@ -379,7 +417,7 @@ def reveal_stored_customers(spark, sf_dir):
 def reveal_one_customer(spark, sf_dir):
     """Filtered first: one row is decoded, and its tokens filter the scan of the map."""
     return reveal_customers(
-        by_id(stored(spark, sf_dir), 42), DEMO_KEYS, stored_token_map(spark, sf_dir)
+        by_id(stored(spark, sf_dir), 42), DEMO_KEYS, stored_token_map(spark, sf_dir), few=True
     )
 
 
@@ -448,7 +486,7 @@ def accept_customers(spark, sf_dir):
 def create_and_display(spark, sf_dir):
     """Validate, protect, store under new ids, show; a second run adds nothing."""
     path = fresh_path(spark, "created")
-    to_store(people(spark, sf_dir)).limit(0).write.parquet(path)
+    spark.createDataFrame([], STORED_CUSTOMER).write.parquet(path)
     raw = rough_table(spark, sf_dir).select("id", "nome", *_INTAKE)
     create_customers(raw, path, DEMO_KEYS, on_error="null")
     shown = create_customers(raw, path, DEMO_KEYS, on_error="null")
@@ -486,8 +524,46 @@ def _run_stream(spark, sf_dir):
         stream, f"{root}/accepted", f"{root}/rejected", f"{root}/state", DEMO_KEYS
     )
     run.awaitTermination()
-    accepted = spark.read.parquet(f"{root}/accepted").drop("batch")
-    return accepted, spark.read.parquet(f"{root}/rejected").drop("batch")
+    accepted = spark.read.parquet(f"{root}/accepted").drop("run", "batch")
+    return accepted, spark.read.parquet(f"{root}/rejected").drop("run", "batch")
+
+
+@query(
+    "I1",
+    f"WITH RECURSIVE {_ACCEPTED}\n{_ACCEPTED_ROWS}",
+)
+def stream_under_two_checkpoints(spark, sf_dir):
+    """Two streams, each with a checkpoint of its own, add to one table; one is started again."""
+    root = fresh_path(spark, "stream-two")
+    raw = rough_table(spark, sf_dir).select("id", "nome", *_INTAKE)
+    for part in (0, 1, 0):
+        source = f"{root}/in{part}"
+        raw.filter(F.col("id") % 2 == part).write.mode("ignore").parquet(source)
+        stream = read_stream(spark, source, raw.schema, maxFilesPerTrigger=1)
+        protect_stream(
+            stream, f"{root}/accepted", f"{root}/rejected", f"{root}/state{part}", DEMO_KEYS
+        ).awaitTermination()
+    return spark.read.parquet(f"{root}/accepted").drop("run", "batch")
+
+
+@query(
+    "I2",
+    f"WITH RECURSIVE {_ACCEPTED}\n"
+    "SELECT DISTINCT cpf AS cpf_protected, nome FROM p",
+)
+def stream_with_unique_keys(spark, sf_dir):
+    """Every customer arrives three times: twice in one stream, then in one with a new checkpoint."""
+    root = fresh_path(spark, "stream-keys")
+    raw = rough_table(spark, sf_dir).select("id", "nome", *_INTAKE)
+    for part in range(3):
+        raw.filter(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    raw.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    for state in ("state", "state-again"):
+        stream = read_stream(spark, f"{root}/in", raw.schema, maxFilesPerTrigger=1)
+        protect_stream(
+            stream, f"{root}/accepted", f"{root}/rejected", f"{root}/{state}", DEMO_KEYS, unique=True
+        ).awaitTermination()
+    return spark.read.parquet(f"{root}/accepted").select("cpf_protected", "nome")
 
 
 _EVENT_CPFS = (
@@ -509,7 +585,7 @@ def stream_unique_within_watermark(spark, sf_dir):
     keyed = events.select(F.col("ts").cast("timestamp").alias("ts"), customer_cpf("user_id").alias("cpf"))
     safe = stored_names(protect(keyed, P.ProtectionPolicy.of("cpf"), DEMO_KEYS))
     run = (
-        first_per_key(safe, "ts", "3650 days")
+        first_per_key(safe, "ts", "35 days")
         .select("cpf_protected")
         .writeStream.format("parquet")
         .option("path", f"{root}/out")
@@ -558,10 +634,25 @@ def keys_not_stored_yet(spark, sf_dir):
     known = urgent.select(customer_cpf("o_custkey").alias("cpf"))
     return only_new(
         stored_names(protect(events, policy, DEMO_KEYS)),
-        stored_names(protect(known, policy, DEMO_KEYS)).distinct(),
+        stored_names(protect(known, policy, DEMO_KEYS)),
     )
 
 
+@query(
+    "F7",
+    f"WITH RECURSIVE {X.PEOPLE},\n{X.ROUGH},\n"
+    f"{X.protected('rough', X.columns('cpf'), 'p', otherwise='NULL')}\n"
+    "SELECT id, cpf AS cpf_protected FROM p",
+)
+def rows_without_key_stay(spark, sf_dir):
+    """Every customer twice: of those with a CPF one stays, without a usable one all do, once each here."""
+    raw = rough_table(spark, sf_dir).select("id", "cpf")
+    safe = stored_names(protect(raw, P.customer_policy, DEMO_KEYS, on_error="null"))
+    again = safe.filter("cpf_protected is not null").withColumn("id", F.col("id") + 1_000_000)
+    none = spark.createDataFrame([(None,)], "cpf_protected string")
+    return only_new(safe.unionByName(again), none)
+
+
 # ---- retrofit --------------------------------------------------------------
 
 _STAGED = ["id", "nome", *retrofit.RAW_TO_PROTECTED.values(), "protected"]
@@ -706,11 +797,110 @@ def _before_after_sql() -> str:
             f"SELECT '{raw}' AS \"column\", count(*) FILTER (WHERE {raw} <> {p}) AS n_changed, "
             f"count(*) FILTER (WHERE {raw} = {p}) AS n_unchanged, "
             f"count(*) FILTER (WHERE {raw} IS NULL AND {p} IS NULL) AS n_null, "
-            "CAST(0 AS BIGINT) AS n_lost FROM retrofitted"
+            "CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_added "
+            "FROM retrofitted"
         )
     return X.retrofitted(" UNION ALL ".join(rows))
 
 
+# the retrofitted table with damage that the checks must count
+_DAMAGE = {
+    "cpf_protected": ("id % 50 = 3", "'00000000000'"),
+    "saude_token": ("id % 60 = 7", "CAST(NULL AS STRING)"),
+    "email_masked": ("id % 70 = 5", "'plain'"),
+}
+_LOST_ROWS = "id % 90 = 11"
+
+
+def _damaged(spark, sf_dir):
+    whole = retrofitted(spark, sf_dir).filter(f"NOT {_LOST_ROWS}")
+    return whole.withColumns(
+        {
+            c: F.expr(f"CASE WHEN {where} THEN {wrong} ELSE {c} END")
+            for c, (where, wrong) in _DAMAGE.items()
+        }
+    )
+
+
+def _damage_sql(names, hit: dict[str, str], measure: str) -> str:
+    """Per raw column: values that are left, and those of them that ``hit`` names as wrong."""
+    rows = [
+        f"SELECT '{c}' AS \"column\", {_VALUES.format(c=c)}, count(*) FILTER (WHERE "
+        f"{X.has_value(c)} AND {hit.get(c, 'FALSE')}) AS {measure} FROM retrofitted WHERE NOT {_LOST_ROWS}"
+        for c in names
+    ]
+    return X.retrofitted(" UNION ALL ".join(rows))
+
+
+_CPF_HIT, _SAUDE_HIT, _EMAIL_HIT = (where for where, _ in _DAMAGE.values())
+
+
+@query("G3", _damage_sql(_REVERSIBLE, {"cpf_raw": _CPF_HIT, "saude_raw": _SAUDE_HIT}, "n_mismatch"))
+def round_trip_of_damaged_table(spark, sf_dir):
+    return verify.round_trip_report(
+        _damaged(spark, sf_dir), _REVERSIBLE, DEMO_KEYS, stored_token_map(spark, sf_dir)
+    )
+
+
+@query(
+    "G6",
+    _damage_sql(
+        retrofit.RAW_TO_PROTECTED, {"email_raw": _EMAIL_HIT, "saude_raw": _SAUDE_HIT}, "n_bad_format"
+    ),
+)
+def formats_of_damaged_table(spark, sf_dir):
+    return verify.format_report(_damaged(spark, sf_dir), retrofit.PAIRS)
+
+
+@query(
+    "G8",
+    X.retrofitted(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE here AND {c} IS NOT NULL AND "
+            f"{X.has_value(c)} AND NOT ({_SAUDE_HIT if c == 'saude_raw' else 'FALSE'})) AS n_changed, "
+            f"count(*) FILTER (WHERE here AND {c} IS NOT NULL AND NOT {X.has_value(c)}) AS n_unchanged, "
+            f"count(*) FILTER (WHERE here AND {c} IS NULL) AS n_null, count(*) FILTER (WHERE here AND "
+            f"{c} IS NOT NULL AND {_SAUDE_HIT if c == 'saude_raw' else 'FALSE'}) AS n_lost, "
+            "count(*) FILTER (WHERE NOT here) AS n_missing, CAST(0 AS BIGINT) AS n_added "
+            f"FROM (SELECT *, NOT {_LOST_ROWS} AS here FROM retrofitted)"
+            for c in retrofit.RAW_TO_PROTECTED
+        )
+    ),
+)
+def before_and_after_damage(spark, sf_dir):
+    return verify.before_after_report(
+        stored_staging(spark, sf_dir), _damaged(spark, sf_dir), retrofit.RAW_TO_PROTECTED
+    )
+
+
+@query(
+    "E8",
+    f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE {_CPF_HIT.replace('id', 'c_custkey')}) "
+    "AS n_changed, CAST(0 AS BIGINT) AS n_wrong FROM customer",
+)
+def retrofit_mends_unprotected_rows(spark, sf_dir):
+    """Rows that were damaged and marked as not protected are made again, and only these."""
+    whole = retrofitted(spark, sf_dir)
+    hit = F.expr(_CPF_HIT)
+    broken = whole.withColumns(
+        {
+            "cpf_protected": F.when(hit, F.lit("0" * 11)).otherwise(F.col("cpf_protected")),
+            "protected": F.col("protected") & ~hit,
+        }
+    )
+    mended = retrofit.protect_in_place(broken, DEMO_KEYS)
+    key = F.xxhash64("cpf_protected", "email_masked", "saude_token", "protected")
+    was, is_, due = (
+        df.select("id", key.alias(name))
+        for df, name in ((broken, "was"), (mended, "is"), (whole, "due"))
+    )
+    return was.join(is_, "id", "full").join(due, "id", "full").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("was").eqNullSafe(F.col("is"))).alias("n_changed"),
+        F.count_if(~F.col("is").eqNullSafe(F.col("due"))).alias("n_wrong"),
+    )
+
+
 @query("G8", _before_after_sql())
 def before_and_after(spark, sf_dir):
     return verify.before_after_report(

@@ -67,15 +67,16 @@ def csv_scan(spark, sf_dir):
 @query(
     "A3",
     X.people(
-        "SELECT CAST(id AS VARCHAR) AS id, nome || ', \"' || raca || '\"' AS nome, "
+        "SELECT CAST(id AS VARCHAR) AS id, nome || ', \"' || raca || '\"' || chr(10) || cpf AS nome, "
         "CASE WHEN endereco = '' THEN NULL ELSE endereco END AS endereco FROM people"
     ),
 )
 def csv_sink(spark, sf_dir):
+    """Separators, quotes and line breaks inside values."""
     path = fresh_path(spark, "csv-quoted")
-    quoted = F.concat("nome", F.lit(', "'), "raca", F.lit('"')).alias("nome")
+    quoted = F.concat("nome", F.lit(', "'), "raca", F.lit('"\n'), "cpf").alias("nome")
     write_csv(people(spark, sf_dir).select("id", quoted, "endereco"), path)
-    return read_csv(spark, path, na_values=())
+    return read_csv(spark, path, na_values=(), multi_line=True)
 
 
 _MASKED = X.columns("email", "dob", "conta")
@@ -367,14 +368,14 @@ def purchases_of(orders):
     return orders.select("o_orderkey", customer_cpf("o_custkey").alias("cpf"))
 
 
-@query("C7", X.people("SELECT id, cpf AS cpf_raw FROM people WHERE raca <> 'Parda'"))
+@query("C7", X.people("SELECT id, cpf AS cpf_raw FROM people WHERE raca <> 'grupo três'"))
 def not_yet_protected(spark, sf_dir):
     return lookup.unprotected(stored_staging(spark, sf_dir)).select("id", "cpf_raw")
 
 
 @query(
     "C8",
-    X.retrofitted("SELECT id, cpf_protected, saude_token FROM retrofitted WHERE raca_raw = 'Parda'"),
+    X.retrofitted("SELECT id, cpf_protected, saude_token FROM retrofitted WHERE raca_raw = 'grupo três'"),
 )
 def only_protected(spark, sf_dir):
     done = lookup.already_protected(stored_staging(spark, sf_dir))
@@ -449,7 +450,7 @@ _COUNTED = X.columns("cpf", "pan", "telefone", "email", "dob", "endereco", "cont
     "F2 E2",
     X.rough(
         "SELECT max(records) AS records, CAST(count(*) AS BIGINT) AS fields_protected, "
-        "CAST(sum(ceil(n_values / 100)) AS BIGINT) AS api_calls, CAST(sum(n_errors) AS BIGINT) "
+        "CAST(sum(n_values) AS BIGINT) AS values, CAST(sum(n_errors) AS BIGINT) "
         f"AS errors FROM ({_counts(_COUNTED)})"
     ),
 )
@@ -467,8 +468,8 @@ def run_counters(spark, sf_dir):
 @query(
     "F3",
     X.rough(
-        'SELECT records, c AS "column", t AS transformation, kind, n_values, n_errors, '
-        f"CAST(ceil(n_values / 100) AS BIGINT) AS n_calls FROM ({_counts(_COUNTED)})"
+        'SELECT records, c AS "column", t AS transformation, kind, n_values, n_errors '
+        f"FROM ({_counts(_COUNTED)})"
     ),
 )
 def column_counts(spark, sf_dir):
@@ -520,11 +521,11 @@ def repeated_keys(spark, sf_dir):
     f"WITH RECURSIVE {X.PEOPLE},\n{_BUYERS},\n{X.ff3_ctes(DEMO_KEYS, ['ff-cpf'], 'v', 'e')}\n"
     "SELECT min(o_orderkey) AS o_orderkey, e.y AS cpf_protected FROM orders "
     "JOIN people p ON p.id = o_custkey JOIN e ON e.id = o_custkey "
-    "WHERE p.nome <> 'Ana Paula Costa' GROUP BY e.y",
+    "WHERE p.nome <> 'Olívia dos Reis Tavares' GROUP BY e.y",
 )
 def upsert_new_keys(spark, sf_dir):
     """First purchase of each buyer who is not among the stored ones (those of one name)."""
-    known = stored(spark, sf_dir).filter("nome = 'Ana Paula Costa'")
+    known = stored(spark, sf_dir).filter("nome = 'Olívia dos Reis Tavares'")
     raw = purchases(spark, sf_dir).select("o_orderkey", "cpf")
     safe = views.stored_names(protect(raw, P.customer_policy, DEMO_KEYS))
     return validate.only_new(safe, known)
@@ -584,13 +585,13 @@ def too_long_values(spark, sf_dir):
 @query(
     "F13",
     X.people(
-        "SELECT count(*) AS n_rows, count(*) FILTER (WHERE nome = 'Ana Paula Costa') AS n_renewed, "
-        "count(*) FILTER (WHERE nome <> 'Ana Paula Costa') AS n_untouched FROM people"
+        "SELECT count(*) AS n_rows, count(*) FILTER (WHERE nome = 'Olívia dos Reis Tavares') AS n_renewed, "
+        "count(*) FILTER (WHERE nome <> 'Olívia dos Reis Tavares') AS n_untouched FROM people"
     ),
 )
 def update_times(spark, sf_dir):
     before = stored(spark, sf_dir)
-    changes = before.filter("nome = 'Ana Paula Costa'").withColumn("nome", F.upper("nome"))
+    changes = before.filter("nome = 'Olívia dos Reis Tavares'").withColumn("nome", F.upper("nome"))
     after = apply_updates(before, changes)
     renewed = F.col("updated_at") > created_at(F.col("id"))
     return after.agg(

@@ -36,6 +36,19 @@ def test_csv_keeps_text_and_blanks(spark, tmp_path):
     assert {r.d for r in raw.collect()} == {"N/A", "null", "x"}
 
 
+def test_csv_with_line_breaks_and_wrong_counts(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a\nb"), ("2", 'x "y"\n\nz, w')], "id string, v string")
+    write_csv(df, str(tmp_path / "t"))
+    assert same(read_csv(spark, str(tmp_path / "t"), multi_line=True), df)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_csv(spark, str(tmp_path / "t")).collect()
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n3\n")
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n3,4,5\n")
+    for name in ("bad.csv", "long.csv"):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read_csv(spark, str(tmp_path / name)).select("a").collect()
+
+
 def test_missing_input(spark, keys, tmp_path):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         csv_job.protect_csv(spark, str(tmp_path / "no"), str(tmp_path / "out"), keys)
@@ -50,13 +63,15 @@ def test_job_with_generated_input(spark, tmp_path, monkeypatch):
         "fields_protected": 7,
         "errors": 0,
     }
-    # 250 values in batches of 100 are three calls; pan and endereco have gaps
-    assert summary["api_calls"] == 5 * 3 + 3 + 3
     before, after = read_csv(spark, raw), read_csv(spark, out)
     assert after.columns == before.columns and after.count() == 250
     assert not before.select("cpf").intersect(after.select("cpf")).count()
+    usual = csv_job.main(["--input", raw, "--output", out + "2"])
+    assert usual["errors"] == 250  # its role may not mask names
+    hidden = read_csv(spark, out + "2")
+    assert {r.nome for r in hidden.select("nome").collect()} == {"ERROR"}
     with pytest.raises(P.GrantError):
-        csv_job.main(["--input", raw, "--output", out + "2"])
+        csv_job.main(["--input", raw, "--output", out + "3", "--on-error", "raise"])
     chosen = ["--input", raw, "--output", out, "--fields", "email:mask-email", "--overwrite"]
     assert csv_job.main(chosen)["fields_protected"] == 1
     assert read_csv(spark, out).select("cpf").exceptAll(before.select("cpf")).isEmpty()
@@ -148,7 +163,30 @@ def test_before_and_after(staged, keys):
     rows = {r["column"]: r for r in before_after_report(staged, after, retrofit.RAW_TO_PROTECTED).collect()}
     assert rows["cpf_raw"].n_changed == 400
     assert rows["pan_raw"].n_null == 400 // 7
-    assert all(r.n_lost == 0 for r in rows.values())
+    assert all(r.n_lost == r.n_missing == r.n_added == 0 for r in rows.values())
+    fewer = after.filter("id > 7").withColumn(
+        "saude_token", F.when(F.col("id") != 9, F.col("saude_token"))
+    )
+    report = before_after_report(staged.filter("id < 400"), fewer, retrofit.RAW_TO_PROTECTED)
+    rows = {r["column"]: r for r in report.collect()}
+    assert (rows["saude_raw"].n_lost, rows["cpf_raw"].n_lost) == (1, 0)
+    assert (rows["cpf_raw"].n_missing, rows["cpf_raw"].n_added) == (7, 1)
+
+
+def test_updates_add_nobody(staged):
+    table = staged.select("id", "nome")
+    changes = staged.sparkSession.createDataFrame([(3, "new"), (9999, "nobody")], "id bigint, nome string")
+    after = {r.id: r.nome for r in retrofit.apply_updates(table, changes).collect()}
+    assert len(after) == 400 and after[3] == "new"
+    with pytest.raises(ValueError):
+        retrofit.apply_updates(table, changes.unionByName(changes))
+
+
+def test_retrofit_scans_once(spark, staged, keys, tmp_path):
+    staged.write.parquet(str(tmp_path / "staged"))
+    stored = spark.read.parquet(str(tmp_path / "staged"))
+    plan = retrofit.protect_in_place(stored, keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Exchange" not in plan
 
 
 # ---- intake ----------------------------------------------------------------
@@ -203,8 +241,8 @@ def test_stream_equals_batch_and_survives_a_restart(spark, incoming, keys, tmp_p
     run()
     run()  # nothing new arrives
     batch = take_in(incoming, keys)
-    assert same(spark.read.parquet(target[0]).drop("batch"), batch.accepted)
-    assert same(spark.read.parquet(target[1]).drop("batch"), batch.rejected)
+    assert same(spark.read.parquet(target[0]).drop("run", "batch"), batch.accepted)
+    assert same(spark.read.parquet(target[1]).drop("run", "batch"), batch.rejected)
 
 
 def test_stream_with_unique_keys(spark, incoming, keys, tmp_path):
@@ -217,6 +255,22 @@ def test_stream_with_unique_keys(spark, incoming, keys, tmp_path):
     protect_stream(stream, *target, keys, unique=True).awaitTermination()
     accepted = spark.read.parquet(target[0])
     expected = take_in(incoming, keys).accepted.select("cpf_protected")
+    assert accepted.select("run").distinct().count() == 1
     # the last file brings only customers that the first two brought already
     assert {r.batch for r in accepted.select("batch").distinct().collect()} == {0, 1}
     assert same(accepted.select("cpf_protected"), expected)
+
+
+def test_two_checkpoints_add_to_one_table(spark, incoming, keys, tmp_path):
+    target = [str(tmp_path / n) for n in ("accepted", "rejected")]
+    parts = [incoming.filter("id <= 200"), incoming.filter("id > 120")]
+    for number, part in enumerate(parts):
+        source = str(tmp_path / f"in{number}")
+        part.write.parquet(source)
+        for unique in ([False] if number == 0 else [True, True]):
+            stream = read_stream(spark, source, incoming.schema, maxFilesPerTrigger=1)
+            state = str(tmp_path / f"state{number}")
+            protect_stream(stream, *target, state, keys, unique=unique).awaitTermination()
+    accepted = spark.read.parquet(target[0])
+    assert accepted.select("run").distinct().count() == 2
+    assert same(accepted.select("cpf_protected"), take_in(incoming, keys).accepted.select("cpf_protected"))
