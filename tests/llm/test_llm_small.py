@@ -194,7 +194,9 @@ def test_cutoffs_keep_their_promise(spark):
     rows += [(3000 + i, prose.format(i) + " ###" * 6, None) for i in range(50)]
     docs = spark.createDataFrame(rows + rows[:2], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame(
-        [(i, 1, 0) for i in range(1200)] + [(2000, 0, 0), (5, 0, 0), (None, 1, 0), (7, None, 0)],
+        [(i, 1, 0) for i in range(1200)]
+        + [(2000 + i, 0, 0) for i in range(5)]
+        + [(5, 0, 0), (None, 1, 0), (7, None, 0)],
         "doc_id bigint, quality int, toxic int",
     )
     judged = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
@@ -204,7 +206,9 @@ def test_cutoffs_keep_their_promise(spark):
     assert all(judged[3000 + i].kept for i in range(50))
     signals = quality.with_signals(quality.quality_counts(docs))
     for c in quality.select_cutoffs(signals, labels).collect():
-        assert quality.binomial_tail(c.n_rejected, c.n_good, quality.RISK) == pytest.approx(c.p_value)
+        share = quality.RISK / len(quality.GRID)
+        assert quality.binomial_tail(c.n_rejected, c.n_good, share) == pytest.approx(c.p_value)
+        assert c.p_value <= quality.ALPHA / 10 and c.n_caught > c.n_rejected
     none = quality.judge_quality(docs, labels.limit(0))
     assert none.filter("not kept").isEmpty() and none.count() == len(rows) + 2
     assert quality.judge_quality(docs.limit(0), labels).isEmpty()

@@ -3,11 +3,15 @@
 Each signal grows as a text gets worse.  For every stratum (language) and every cutoff
 of a fixed grid, documents that are labelled good and that the cutoff would reject are
 counted on the labelled holdout.  A cutoff may be used if an exact (Clopper-Pearson)
-bound says that it rejects at most ``risk`` of the stratum's good documents: with k of
-n good ones rejected, P(Binomial(n, risk) <= k) <= alpha / tests, where ``tests`` is
-the number of all cutoffs tried in all strata (Bonferroni).  The strictest cutoff that
-passes is used; a signal without one rejects nothing in that stratum.  Cutoffs are not
-fitted to the holdout's values, so all labelled rows serve as holdout.
+bound says that it rejects at most its share of the stratum's good documents: with k of
+n good ones rejected, P(Binomial(n, r) <= k) <= alpha / tests.  The share r is ``RISK``
+divided by the number of signals, so all signals together stay below ``RISK`` in every
+stratum.  Within a signal the cutoffs are tried from lenient to strict up to the first
+that fails, which needs no further correction; ``tests`` is the number of such
+sequences, strata times signals (Bonferroni).  Of the cutoffs that pass, the one that
+rejects the most bad over good labelled documents is used, and none if no cutoff
+rejects more bad ones.  The grid is not fitted to the holdout, so all labelled rows
+serve as holdout.
 
 One pass reads the texts and leaves one small row each, which is written to the shared
 folder; everything after works on numbers.
@@ -43,7 +47,7 @@ GRID = {
     "bangs_per_word": (0.05, 0.1, 0.2, 0.3, 0.5),
     "upper_share": (0.15, 0.2, 0.3, 0.5, 0.7),
 }
-RISK, ALPHA = 0.02, 0.05
+RISK, ALPHA = 0.05, 0.05
 
 _COUNTS = (
     "n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words n_bangs n_upper n_cased"
@@ -159,24 +163,26 @@ def binomial_tail(k: int, n: int, risk: float) -> float:
 def select_cutoffs(
     signals: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA
 ) -> DataFrame:
-    """``stratum, signal, cutoff, n_good, n_rejected, p_value`` of the chosen cutoffs."""
+    """``stratum, signal, cutoff, n_good, n_rejected, n_caught, p_value`` of the chosen cutoffs."""
     agreed = (
         labels.filter("quality in (0, 1)")
         .groupBy("doc_id")
         .agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
-        .filter("low = 1 and high = 1")
-        .select("doc_id")
+        .filter("low = high")
+        .select("doc_id", F.col("low").alias("quality"))
     )
-    good = (
+    known = (
         signals.filter(~F.col("base_failed"))
-        .join(agreed, "doc_id", "left_semi")
         .select("doc_id", "stratum", *GRID)
         .dropDuplicates(["doc_id"])
+        .join(agreed, "doc_id")
     )
+    good, bad = F.col("quality") == 1, F.col("quality") == 0
     trials = [(s, c) for s, cs in GRID.items() for c in cs]
-    sums = good.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n_good"),
-        *[F.count_if(F.col(s) > c).alias(f"k{i}") for i, (s, c) in enumerate(trials)],
+    sums = known.groupBy("stratum").agg(
+        F.count_if(good).alias("n_good"),
+        *[F.count_if(good & (F.col(s) > c)).alias(f"k{i}") for i, (s, c) in enumerate(trials)],
+        *[F.count_if(bad & (F.col(s) > c)).alias(f"b{i}") for i, (s, c) in enumerate(trials)],
     )
     counted = cut(
         sums.select(
@@ -189,6 +195,7 @@ def select_cutoffs(
                             F.lit(s).alias("signal"),
                             F.lit(c).alias("cutoff"),
                             F.col(f"k{i}").alias("n_rejected"),
+                            F.col(f"b{i}").alias("n_caught"),
                         )
                         for i, (s, c) in enumerate(trials)
                     ]
@@ -197,12 +204,14 @@ def select_cutoffs(
         ).select("stratum", "n_good", "trial.*"),
         "quality-trials",
     )
-    level = alpha / max(counted.count(), 1)
+    share = risk / len(GRID)
+    sequences = counted.count() // len(trials) * len(GRID)
+    level = alpha / max(sequences, 1)
 
     def prepare():
         def run(columns):
             tails = [
-                binomial_tail(k, n, risk)
+                binomial_tail(k, n, share)
                 for k, n in zip(columns["n_rejected"], columns["n_good"])
             ]
             return columns | {"p_value": tails}
@@ -210,14 +219,19 @@ def select_cutoffs(
         return run
 
     tested = map_batches(
-        counted, "stratum string, n_good bigint, signal string, cutoff double, n_rejected bigint, p_value double",
-        prepare, rows=10_000,
+        counted, "stratum string, n_good bigint, signal string, cutoff double, n_rejected bigint, "
+        "n_caught bigint, p_value double", prepare, rows=10_000,
     )
-    passed = tested.filter(F.col("p_value") <= level)
-    strictest = passed.groupBy("stratum", "signal").agg(
-        F.min_by(F.struct("cutoff", "n_good", "n_rejected", "p_value"), "cutoff").alias("best")
+    # stricter cutoffs reject more, so the ones that pass are those before the first that fails
+    gain = F.col("n_caught") - F.col("n_rejected")
+    passed = tested.filter((F.col("p_value") <= level) & (gain > 0)).withColumn("gain", gain)
+    best = passed.groupBy("stratum", "signal").agg(
+        F.max_by(
+            F.struct("cutoff", "n_good", "n_rejected", "n_caught", "p_value"),
+            F.struct("gain", "cutoff"),
+        ).alias("best")
     )
-    return strictest.select("stratum", "signal", "best.*")
+    return best.select("stratum", "signal", "best.*")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
