@@ -26,9 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: a lost executor costs no recomputing."""
+#: Rows that a task writes where their number is known before.
+ROWS_PER_FILE = 200_000
+
+
+def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: a lost executor costs no recomputing.
+
+    ``rows`` says about how many narrow rows there are; then there are as many files as
+    they are worth, rather than one for each partition of the shuffle before.
+    """
     path = fresh_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_PER_FILE + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,22 +15,22 @@ from pyspark.sql import functions as F
 from veladura.llm.common import cut
 
 
-def _under_minimum(edges: DataFrame, smallest: DataFrame, keep: str) -> DataFrame:
-    least = cut(smallest, "least")
+def _under_minimum(edges: DataFrame, smallest: DataFrame, keep: str, rows: int) -> DataFrame:
+    least = cut(smallest, "least", rows)
     return edges.join(least, "u").filter(keep).selectExpr("v as u", "m as v").filter("u <> v")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
     smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return _under_minimum(both, smallest, "v > u").distinct()
+    return _under_minimum(both, smallest, "v > u", rows).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     smallest = down.groupBy("u").agg(F.min("v").alias("m"))
     centre = smallest.selectExpr("u", "m as v")
-    return _under_minimum(down, smallest, "v <> m").unionByName(centre).distinct()
+    return _under_minimum(down, smallest, "v <> m", rows).unionByName(centre).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -42,9 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``u, v``) that is not its own root."""
     edges = cut(edges.select("u", "v").filter("u <> v").distinct(), "links")
     state = _state(edges)
+    rows = state[0]
     while state[0]:
-        large = cut(_large_star(edges), "links")
-        edges = cut(_small_star(large), "links")
+        large = cut(_large_star(edges, rows), "links", rows)
+        edges = cut(_small_star(large, rows), "links", rows)
         before, state = state, _state(edges)
         if state == before:
             break

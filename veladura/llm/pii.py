@@ -184,13 +184,14 @@ def learn(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         "doc_id", "text_hash", "s.start", "s.end", "s.kind", "s.value",
         F.explode(F.array_compact("s.contexts")).alias("pattern"),
     )
-    edges = cut(uses.select("pattern", "value", "kind").distinct(), "pii-edges")
+    rows = spans.count()
+    edges = cut(uses.select("pattern", "value", "kind").distinct(), "pii-edges", rows)
     # patterns without enough seeds can never be trusted, nor can what only they hold
     held = edges.groupBy("pattern").agg(
         F.countDistinct("value").alias("n"), F.count("kind").alias("seeds")
     )
-    held = cut(held.filter(F.col("seeds") >= SEEDS).select("pattern", "n"), "pii-patterns")
-    links = cut(edges.join(held, "pattern"), "pii-links")
+    held = cut(held.filter(F.col("seeds") >= SEEDS).select("pattern", "n"), "pii-patterns", rows)
+    links = cut(edges.join(held, "pattern"), "pii-links", rows)
     seeds = links.filter("kind is not null").select("pattern", "n", "kind", F.lit(1.0).alias("score"))
     unknown = links.filter("kind is null").select("pattern", "n", "value")
     believed = None
@@ -202,11 +203,12 @@ def learn(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             )
         # the share of a pattern's instances that are of a kind, smoothed towards none
         share = (F.sum("score") / (F.max("n") + SMOOTH)).alias("trust")
-        trust = cut(known.groupBy("pattern", "kind").agg(share), "pii-trust")
+        trust = cut(known.groupBy("pattern", "kind").agg(share), "pii-trust", rows)
         doubt = F.sum(F.log1p(-F.least("trust", F.lit(0.999999))))
         believed = cut(
             unknown.join(trust, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score")),
             "pii-believed",
+            rows,
         )
     accepted = (
         believed.groupBy("value")
@@ -219,7 +221,7 @@ def learn(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     others = uses.filter("kind is null").drop("kind")
     return (
         others.join(trusted, "pattern")
-        .join(cut(accepted, "pii-accepted"), ["value", "kind"])
+        .join(cut(accepted, "pii-accepted", rows), ["value", "kind"])
         .select("doc_id", "text_hash", "start", "end", "kind")
         .distinct()
     )
@@ -234,7 +236,8 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.col("text_hash").alias("of_text"),
         F.struct("start", place.alias("place"), "end", "kind").alias("span"),
     )
-    found = cut(found.groupBy("of", "of_text").agg(F.collect_set("span").alias("found")), "pii-found")
+    found = found.groupBy("of", "of_text").agg(F.collect_set("span").alias("found"))
+    found = cut(found, "pii-found", spans.count())
     joined = spans.join(
         found,
         F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text")),

@@ -149,12 +149,13 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
         for i, m in enumerate(block_masks(2, radius))
     ]
     links = []
-    depth = 2
+    depth, n = 2, distinct.count()
     members = distinct.select("fingerprint", F.explode(F.array(*ways)).alias("s")).select(
         "s.way", "s.bits", "fingerprint"
     )
     while True:
-        sizes = cut(members.groupBy("way", "bits").count().filter("count > 1"), "shard-sizes")
+        sizes = members.groupBy("way", "bits").count().filter("count > 1")
+        sizes = cut(sizes, "shard-sizes", len(ways) * n)
         fits = sizes.filter(F.col("count") <= shard).select("way", "bits")
         held = members.join(fits, ["way", "bits"]).groupBy("way", "bits").agg(
             F.collect_list("fingerprint").alias("values")
@@ -188,21 +189,24 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
 
 def fingerprint_components(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """``fingerprint, root, component_id, n_docs`` for every distinct fingerprint."""
+    n = prints.count()
     distinct = cut(
         prints.groupBy("fingerprint").agg(
             F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_docs")
         ),
         "fingerprints",
+        n,
     )
     roots = components(near_links(distinct.select("fingerprint"), radius, shard))
     rooted = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     rooted = cut(
         rooted.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least", "n_docs"),
         "rooted",
+        n,
     )
-    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components", n)
     return cut(
-        rooted.join(named, "root").select("fingerprint", "root", "component_id", "n_docs"), "classes"
+        rooted.join(named, "root").select("fingerprint", "root", "component_id", "n_docs"), "classes", n
     )
 
 

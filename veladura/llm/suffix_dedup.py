@@ -213,19 +213,21 @@ def _edge_windows(keyed: DataFrame, edges: DataFrame) -> DataFrame:
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """``k1, k2, spans``: for rows with repeats, ranges of bytes that may overlap, unordered."""
     found = cut(find_runs(keyed), "runs")
-    shared = cut(found.groupBy("bucket").count().filter("count > 1").select("bucket"), "buckets")
-    pointers = cut(found.join(shared, "bucket"), "pointers")
+    n = found.count()
+    shared = cut(found.groupBy("bucket").count().filter("count > 1").select("bucket"), "buckets", n)
+    pointers = cut(found.join(shared, "bucket"), "pointers", n)
     place = ["bucket", "size", "refined"]
     refined = cut(
         pointers.groupBy(place).agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one")
         ),
         "refined",
+        n,
     )
     whole = pointers.join(refined.filter("n > 1").select(place), place)
     mixed = cut(
         refined.groupBy("bucket").agg(F.count_if(F.col("n") == 1).alias("edges")).filter("edges > 0")
-        .select("bucket"), "mixed",
+        .select("bucket"), "mixed", n,
     )
     edges = refined.join(mixed, "bucket").select("one.*", "size", "bucket", (F.col("n") == 1).alias("edge"))
     windows = cut(_edge_windows(keyed, edges), "windows")
