@@ -5,7 +5,7 @@ import os
 import pytest
 
 from suite.data import DEMO_KEYS
-from veladura.session import local_session
+from veladura.session import delete_scratch, local_session
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,6 +15,7 @@ def spark():
     session = local_session("8", partitions=8, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    delete_scratch(session)
     session.stop()
 
 

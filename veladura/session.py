@@ -45,5 +45,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[application]
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/veladura/{label}-{uuid.uuid4().hex[:12]}"
+    """A path for a table that later steps read; ``delete_scratch`` removes them all."""
+    _made.append(f"{shared_folder(spark)}/veladura/{label}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def delete_scratch(spark: SparkSession) -> None:
+    """Remove what was written under fresh paths so far.  Nothing may still read it.
+
+    Such tables may hold personal data in clear; call this when a job's result is stored.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _made:
+        path = hadoop.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
