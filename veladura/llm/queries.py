@@ -64,9 +64,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = given.unionByName(
-        spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(
+        F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text")
     )
+    rows = given.unionByName(more)
     formatted = chat.format_reply_trees(chat.chains(rows, "conv_id", "turn"))
     read = formatted.select(
         "tree_id",
