@@ -5,7 +5,7 @@ word pairs and triples of the templates' vocabulary; a multinomial logistic regr
 names the family, with ``none`` as a class of its own.  It is trained here: positives
 are the templates as they are, in part, and with words left out, changed or put around;
 negatives are ordinary sentences about licences and a bounded sample of the corpus's
-own paragraphs (``SAMPLE`` documents, first by a hash of their id).  On a separate part
+own paragraphs (``SAMPLE`` documents, first by a hash of id and text).  On a separate part
 of these the temperature of the probabilities is chosen by likelihood, and the
 threshold below which a family is called ``unknown`` so that at most ``FALSE_ALARMS`` of
 the held-out negatives would pass it.
@@ -201,9 +201,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def corpus_negatives(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """Paragraphs of a bounded sample of the corpus that speak of no licence."""
-    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
-    rows = short.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).collect()
+    """Paragraphs of a bounded sample of the corpus that speak of no licence.
+
+    The documents with the smallest hashes are chosen by these alone; texts are only
+    fetched for the chosen ones.
+    """
+    key = F.xxhash64("doc_id", "text").alias("key")
+    short = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select(key, "text")
+    least = -(1 << 63)
+    # hashes are evenly spread, so the smallest lie below a small multiple of their share
+    bound = least + (1 << 64) * min(1.0, 8 * sample / max(docs.count(), 1))
+    near = short.filter(F.col("key") <= F.lit(min(int(bound), (1 << 63) - 1)))
+    chosen = near.select("key").distinct().orderBy("key").limit(sample)
+    found = short.join(F.broadcast(chosen), "key").groupBy("key").agg(F.max("text").alias("text"))
+    rows = found.orderBy("key").collect()
     return [
         r["text"][a:b]
         for r in rows
