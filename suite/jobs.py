@@ -421,19 +421,25 @@ def reveal_one_customer(spark, sf_dir):
     )
 
 
+_TRAIL = (
+    "(SELECT id, unnest(['cpf', 'telefone', 'pan', 'endereco', 'conta']) AS f, "
+    "unnest([cpf, telefone, pan, endereco, conta]) AS v FROM people) WHERE v IS NOT NULL"
+)
+
+
 @query(
     "G7",
     X.people(
         "SELECT 'dpo' AS actor, 'core-role' AS role, 'decode' AS operation, f AS \"column\", "
-        "id AS key FROM (SELECT id, unnest(['cpf', 'pan', 'endereco']) AS f, "
-        "unnest([cpf, pan, endereco]) AS v FROM people) WHERE v IS NOT NULL"
+        f"id AS key FROM {_TRAIL}"
     ),
 )
 def reveal_audit_trail(spark, sf_dir):
-    shown = reveal_customers(stored(spark, sf_dir), DEMO_KEYS, stored_token_map(spark, sf_dir))
-    trail = audit.reveal_trail(shown, ["cpf", "pan", "endereco"], "dpo", "core-role")
+    """The reveal itself leaves the trail."""
     path = fresh_path(spark, "trail")
-    audit.append_trail(trail, path)
+    audit.reveal_logged(
+        stored(spark, sf_dir), DEMO_KEYS, stored_token_map(spark, sf_dir), "dpo", path
+    )
     return spark.read.parquet(path).drop("at")
 
 
@@ -441,16 +447,15 @@ def reveal_audit_trail(spark, sf_dir):
     "G7",
     X.people(
         "SELECT 'dpo' AS actor, 'core-role' AS role, 'decode' AS operation, f AS \"column\", "
-        "count(*) AS n_values, count(DISTINCT id) AS n_rows FROM (SELECT id, "
-        "unnest(['cpf', 'pan', 'endereco']) AS f, unnest([cpf, pan, endereco]) AS v FROM people) "
-        "WHERE v IS NOT NULL GROUP BY f"
+        f"count(*) AS n_values, count(DISTINCT id) AS n_rows FROM {_TRAIL} GROUP BY f"
     ),
 )
 def reveal_audit_summary(spark, sf_dir):
-    shown = reveal_customers(stored(spark, sf_dir), DEMO_KEYS, stored_token_map(spark, sf_dir))
-    return audit.trail_summary(
-        audit.reveal_trail(shown, ["cpf", "pan", "endereco"], "dpo", "core-role")
+    path = fresh_path(spark, "trail")
+    audit.reveal_logged(
+        stored(spark, sf_dir), DEMO_KEYS, stored_token_map(spark, sf_dir), "dpo", path
     )
+    return audit.trail_summary(spark.read.parquet(path))
 
 
 # ---- intake ----------------------------------------------------------------

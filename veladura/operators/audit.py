@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veladura import policy as P
-from veladura.operators.protect import has_value, named, protection_report
+from veladura.keys import Keyring
+from veladura.operators.protect import RAISE, has_value, named, protection_report
+from veladura.operators.reveal import STORED_REVERSIBLE, reveal_customers
 
 
 def reveal_trail(
@@ -42,6 +44,29 @@ def append_trail(trail: DataFrame, path: str) -> None:
     trail.write.mode("append").parquet(path)
 
 
+def reveal_logged(
+    protected: DataFrame,
+    keyring: Keyring,
+    token_map: DataFrame,
+    actor: str,
+    trail_path: str,
+    role: str = "core-role",
+    on_error: str = RAISE,
+    few: bool = False,
+) -> DataFrame:
+    """``reveal_customers`` that first writes down whose values are about to be shown.
+
+    The entries follow from the protected columns, so nothing is decoded for them: that
+    costs a narrow pass without any cipher or join.  A reveal that is refused leaves no
+    entry; one that is never read does, as it could have been.
+    """
+    shown = reveal_customers(protected, keyring, token_map, role, on_error, few)
+    fields = {p: f for f, p in P.STORED_NAMES.items() if p in STORED_REVERSIBLE}
+    cells = protected.select("id", *[named(p).alias(f) for p, f in fields.items()])
+    append_trail(reveal_trail(cells, fields.values(), actor, role), trail_path)
+    return shown
+
+
 def trail_summary(trail: DataFrame) -> DataFrame:
     return trail.groupBy("actor", "role", "operation", "column").agg(
         F.count(F.lit(1)).alias("n_values"), F.countDistinct("key").alias("n_rows")
