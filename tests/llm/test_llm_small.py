@@ -17,10 +17,11 @@ from veladura.llm.queries import ORACLE_SQL, QUERIES
 # URL filter
 
 
-def test_url_query_matches_sql(spark, sf_dir):
-    df = QUERIES["op6_url_filter"](spark, sf_dir)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_sql(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
     with connect(sf_dir) as connection:
-        cursor = connection.execute(ORACLE_SQL["op6_url_filter"])
+        cursor = connection.execute(ORACLE_SQL[name])
         names = [d[0] for d in cursor.description]
         assert rows_of(names, cursor.fetchall()) == rows_of(df.columns, [tuple(r) for r in df.collect()])
 

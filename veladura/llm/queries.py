@@ -170,4 +170,39 @@ QUERIES = {
         op10_simhash,
     )
 }
-ORACLE_SQL = {"op6_url_filter": _op6_sql()}
+_OP1_SQL = f"""
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS h,
+  CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT r, i, hash(h[i + 1 : i + {suffix_dedup.LENGTH}]) AS k
+  FROM (SELECT r, h, unnest(range(0, n - {suffix_dedup.LENGTH - 1})) AS i FROM n WHERE n >= {suffix_dedup.LENGTH})),
+twice AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hits AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {suffix_dedup.LENGTH}
+  THEN 0 ELSE 1 END AS fresh FROM w JOIN twice USING (k)),
+spans AS (SELECT r, min(i) AS a, max(i) + {suffix_dedup.LENGTH} AS b FROM (SELECT r, i, sum(fresh) OVER
+  (PARTITION BY r ORDER BY i) AS g FROM hits) GROUP BY r, g),
+cuts AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS done FROM spans),
+kept AS (SELECT r, string_agg(hex(h[done + 1 : a]), '' ORDER BY a) AS head, max(b) AS last,
+  count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM cuts JOIN n USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || hex(h[coalesce(last, 0) + 1 : n]))) AS kept_sha256
+FROM n LEFT JOIN kept USING (r)"""
+
+_OP5_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, length(text) + len(regexp_extract_all(text, '{chat.ESCAPE}')) AS body_chars,
+  replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C') AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text))
+    AS loss_sha256,
+  CAST(sum(length(shown) + body_chars + {len(chat.OPEN) + len(chat.CLOSE) + 2}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+ORACLE_SQL = {
+    "op1_suffix_dedup": _OP1_SQL,
+    "op5_chat": _OP5_SQL,
+    "op6_url_filter": _op6_sql(),
+}
