@@ -192,24 +192,42 @@ def _edge_windows(keyed: DataFrame, edges: DataFrame) -> DataFrame:
             out = {c: [] for c in ("bucket", "window", "k1", "k2", "at", "edge")}
             for k1, k2, text, asked in zip(*(columns[c] for c in ("k1", "k2", "text", "runs"))):
                 data = text.encode()
-                for r in asked:
-                    first, size = r["first"], r["size"]
+                for near in _adjoining(asked):
+                    first, size = near[0]["first"], sum(r["size"] for r in near)
+                    sizes = [r["size"] for r in near]
                     whole = bucket_ids(data[first : first + size + LENGTH - 1])[1]
-                    out["bucket"].append(np.full(size, r["bucket"], np.int64))
+                    out["bucket"].append(np.repeat([r["bucket"] for r in near], sizes))
                     out["window"].append(_signed(whole))
                     out["k1"].append(np.full(size, k1, np.int64))
                     out["k2"].append(np.full(size, k2, np.int64))
                     out["at"].append(np.arange(first, first + size))
-                    out["edge"].append(np.full(size, r["edge"], bool))
+                    out["edge"].append(np.repeat([r["edge"] for r in near], sizes))
             return {c: np.concatenate(v) if v else [] for c, v in out.items()}
 
         return run
 
     return map_batches(
-        joined, "bucket bigint, window bigint, k1 bigint, k2 bigint, at bigint, edge boolean", prepare
+        joined,
+        "bucket bigint, window bigint, k1 bigint, k2 bigint, at bigint, edge boolean",
+        prepare,
+        rows=16,  # each becomes up to a row per byte
     )
 
 
+def _adjoining(asked: list[dict]) -> Iterator[list[dict]]:
+    """Runs in order of place, in lists without gaps, of about a block at most."""
+    near: list[dict] = []
+    for r in sorted(asked, key=lambda r: r["first"]):
+        if near and (
+            r["first"] != near[-1]["first"] + near[-1]["size"] or r["first"] - near[0]["first"] > BLOCK
+        ):
+            yield near
+            near = []
+        near.append(r)
+    if near:
+        yield near
+
+
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """``k1, k2, spans``: for rows with repeats, ranges of bytes that may overlap, unordered."""
     found = cut(find_runs(keyed), "runs")
