@@ -223,3 +223,10 @@ def test_leaks_and_formats_are_found(spark, keys):
     same = df.withColumn("out", F.col("raw"))
     assert leak_report(same, ["raw"], ["out"]).first().n_leaks == 3
     assert format_report(df, {"raw": ("out", "ff-cpf")}).first().n_bad_format == 2
+
+
+def test_all_unicode_white_space_is_blank(texts):
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    df = texts(*blanks, "".join(blanks), "​", " x ")
+    got = [r.ok for r in df.select("id", M.has_value(F.col("v")).alias("ok")).orderBy("id").collect()]
+    assert got == [False] * (len(blanks) + 1) + [True, True]
