@@ -263,7 +263,8 @@ def encode_documents(
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, n_reused`` of every whole text.
 
-    ``with_ids`` adds the other columns of ``docs`` but ``text``, and ``input_ids``.
+    ``with_ids`` adds the other columns of ``docs`` but ``text``, and ``input_ids``; a column
+    of ``docs`` that is called like one of the new ones gives way to it.
     """
     dictionary = docs.sparkSession.sparkContext.broadcast(chunk_dictionary(docs, path, most))
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if with_ids else []

@@ -38,9 +38,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (``u, v``) that is not its own root."""
-    edges = cut(edges.select("u", "v").filter("u <> v").distinct(), "links")
+def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
+    """``node, root`` for every node of ``edges`` (``u, v``) that is not its own root.
+
+    ``at_most`` is a bound of the number of edges, if one is known.
+    """
+    edges = edges.select("u", "v").filter("u <> v").distinct()
+    edges = cut(edges, "links", at_most)
     state = _state(edges)
     rows = state[0]
     while state[0]:

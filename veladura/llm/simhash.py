@@ -197,7 +197,8 @@ def fingerprint_components(prints: DataFrame, radius: int = RADIUS, shard: int =
         "fingerprints",
         n,
     )
-    roots = components(near_links(distinct.select("fingerprint"), radius, shard))
+    links = near_links(distinct.select("fingerprint"), radius, shard)
+    roots = components(links, links.count())
     rooted = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     rooted = cut(
         rooted.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least", "n_docs"),
