@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the whole given tables."""
 
+from pathlib import Path
+
 import pytest
 from compare import connect, difference
 
@@ -27,3 +29,11 @@ def test_entry_returns_rows(spark):
 def test_every_query_has_sql():
     own = set(QUERIES)
     assert own <= set(__spark_entry__.oracle_sql()) and own <= set(__spark_entry__.queries())
+
+
+def test_nothing_else_imports_the_training_data_operators():
+    root = Path(__spark_entry__.__file__).parent
+    others = [*(root / "veladura").rglob("*.py"), *(root / "suite").rglob("*.py"), root / "bench.py"]
+    for path in others:
+        if "llm" not in path.relative_to(root).parts:
+            assert "llm" not in path.read_text(), path
