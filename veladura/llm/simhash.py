@@ -168,7 +168,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
 
             return run
 
-        links.append(cut(map_batches(held.select("values"), "u bigint, v bigint", prepare), "near"))
+        found = map_batches(held.select("values"), "u bigint, v bigint", prepare)
+        links.append(cut(found, "near", 8 * n))  # trees cost more than rows that are only moved
         large = sizes.filter(F.col("count") > shard).select("way", "bits")
         if large.isEmpty():
             break
@@ -187,9 +188,15 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     return out
 
 
-def fingerprint_components(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """``fingerprint, root, component_id, n_docs`` for every distinct fingerprint."""
-    n = prints.count()
+def fingerprint_components(
+    prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, n: int | None = None
+) -> DataFrame:
+    """``fingerprint, root, component_id, n_docs`` for every distinct fingerprint.
+
+    ``n`` is the number of documents, if that is known more cheaply than by counting
+    ``prints``, which are read once apart from that.
+    """
+    n = prints.count() if n is None else n
     distinct = cut(
         prints.groupBy("fingerprint").agg(
             F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_docs")
@@ -226,7 +233,7 @@ def drop_near_copies(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD
 ) -> DataFrame:
     """One document of each component: that with the component's id, with the columns it had."""
-    classes = fingerprint_components(cut(fingerprints(docs, shingle), "prints"), radius, shard)
+    classes = fingerprint_components(fingerprints(docs, shingle), radius, shard, docs.count())
     # the fingerprints follow from the texts again, so rows need no key of their own
     name = free_name(docs, "fingerprint")
     marked = with_text_value(docs, name, "bigint", lambda: lambda text: fingerprint(text, shingle))
