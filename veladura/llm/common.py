@@ -30,15 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_PER_FILE = 200_000
 
 
-def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, label: str, rows: int | None = None, gather: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: a lost executor costs no recomputing.
 
     ``rows`` says about how many narrow rows there are; then there are as many files as
-    they are worth, rather than one for each partition of the shuffle before.
+    they are worth, rather than one for each partition of the shuffle before.  ``gather``
+    sends them there by a shuffle, for rows that are costly to compute: as many tasks as
+    before compute them.
     """
     path = fresh_path(df.sparkSession, label)
     if rows is not None:
-        df = df.coalesce(rows // ROWS_PER_FILE + 1)
+        files = rows // ROWS_PER_FILE + 1
+        df = df.repartition(files) if gather else df.coalesce(files)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

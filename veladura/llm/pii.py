@@ -174,6 +174,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
             F.transform("others", told(False)).alias("others"),
         ),
         "pii-spans",
+        docs.count(),
+        gather=True,
     )
 
 

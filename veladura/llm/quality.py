@@ -236,7 +236,8 @@ def select_cutoffs(
 
 def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """Counts, signals, ``base_failed``, ``reasons`` and ``kept`` of every document."""
-    signals = with_signals(cut(quality_counts(docs, stratum), "quality-counts"))
+    counts = cut(quality_counts(docs, stratum), "quality-counts", docs.count(), gather=True)
+    signals = with_signals(counts)
     chosen = select_cutoffs(signals, labels)
     wide = cut(
         chosen.groupBy("stratum").agg(

@@ -222,7 +222,7 @@ def near_copies(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every document; fingerprints in hex."""
-    prints = cut(fingerprints(docs, shingle), "prints")
+    prints = cut(fingerprints(docs, shingle), "prints", docs.count(), gather=True)
     classes = fingerprint_components(prints, radius, shard)
     return prints.join(classes, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
