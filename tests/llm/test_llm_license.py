@@ -48,6 +48,47 @@ def test_notices(scanner):
     assert {f["family"] for f in scanner.scan(wrapped)} <= {"BSD-3-Clause", "unknown"}
 
 
+GNU = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as "
+    "published by the Free Software Foundation{3} either version {4} of the License, or any later version."
+)
+
+NEIGHBOURS = {
+    GNU.format("program", ":", "Affero General Public License", ",", "3"): "AGPL-3.0",
+    GNU.format("program", ":", "General Public License", ",", "3"): "GPL-3.0",
+    GNU.format("program", ";", "General Public License", ";", "2"): "GPL-2.0",
+    GNU.format("program", ";", "General Public License", ";", "1"): "unknown",
+    GNU.format("library", ";", "Lesser General Public License", ";", "2.1"): "LGPL-2.1",
+    GNU.format("library", ";", "Lesser General Public License", ";", "3"): "LGPL-3.0",
+    GNU.format("library", ";", "Library General Public License", ";", "2"): "unknown",
+    "This work is licensed under the GNU Free Documentation License, version 3.": "unknown",
+    "Licensed under the Apache License, Version 1.1.": "unknown",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Licensed under the Mozilla Public License, version 1.1.": "unknown",
+    "Licensed under the Eclipse Public License, version 1.0.": "EPL-1.0",
+    "Licensed under the Eclipse Public License, version 2.0.": "EPL-2.0",
+    "Licensed under CC BY-NC-SA 4.0.": "unknown",
+    "Licensed under CC BY 3.0.": "unknown",
+    "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+    "Licensed under the zlib License.": "Zlib",
+    "Licensed under the ISC License.": "ISC",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met": "unknown",
+}
+
+
+@pytest.mark.parametrize("notice", NEIGHBOURS)
+def test_neighbouring_licences_are_told_apart(scanner, notice):
+    judged = scanner.judge(notice)
+    assert judged is not None and judged[0] == NEIGHBOURS[notice]
+
+
+def test_every_template_bears_a_mark_of_its_family_alone(scanner):
+    for family, texts in ls.TEMPLATES.items():
+        for t in texts:
+            assert [f for f in ls.MARKS if scanner.distinct(f, ls.words_of(t))] == [family], t
+
+
 def test_odd_rows(spark, scanner):
     mit = "Released under the MIT License."
     rows = [(1, mit, "x"), (1, mit, "x"), (None, mit, "y"), (2, None, "z"), (3, "", "z"), (4, "w " * 90_000, "z")]

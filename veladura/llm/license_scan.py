@@ -12,8 +12,12 @@ the held-out negatives would pass it.
 
 A prediction above the threshold must then agree with a template of its family: the
 share of the paragraph's word triples that are the template's, or of the template's
-that are the paragraph's, whichever is larger, must reach ``CONFIRM``.  A paragraph that
-fails either test is ``unknown`` if the model finds some licence in it beyond the
+that are the paragraph's, whichever is larger, must reach ``CONFIRM``.  Notices of
+neighbouring licences share nearly all triples, so the words that tell the family apart
+must be there as well: its name and version (``MARKS``), or triples that no other
+licence's wording has.
+The wording that all BSD licences share is therefore no family.  A paragraph that fails
+any of these tests is ``unknown`` if the model finds some licence in it beyond the
 threshold, whichever it is; else it is ordinary text.
 
 Most paragraphs hold no feature at all; they are ``none`` at once, which is what the
@@ -80,11 +84,33 @@ TEMPLATES = {
         "the GNU Lesser General Public License as published by the Free Software Foundation; either "
         "version 3 of the License, or (at your option) any later version.",
     ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version.",
+    ),
     "BSD-3-Clause": (
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted "
-        "provided that the following conditions are met",
+        "provided that the following conditions are met: Redistributions must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. Neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission.",
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "This project is licensed under the terms of the BSD 2-Clause License, also known as the Simplified "
+        "BSD License.",
     ),
     "MPL-2.0": (
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -114,7 +140,81 @@ TEMPLATES = {
         "either in source code form or as a compiled binary, for any purpose, commercial or "
         "non-commercial, and by any means.",
     ),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+        "fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+        "in all copies.",
+    ),
+    "Zlib": (
+        "Licensed under the zlib License.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    "EPL-1.0": (
+        "Licensed under the Eclipse Public License, version 1.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License v1.0 which accompanies this distribution, and is available at",
+    ),
+    "EPL-2.0": (
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse "
+        "Public License 2.0 which is available at",
+    ),
+    "BSL-1.0": (
+        "Licensed under the Boost Software License, version 1.0.",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE or copy "
+        "at the address given there)",
+    ),
+}
+
+
+#: Wordings of several licences at once, by the family that they are trained as: they never confirm it.
+SHARED = {
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted "
+        "provided that the following conditions are met",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+        "fee is hereby granted.",
+    ),
+}
+
+
+def _version(number: str) -> str:
+    return rf"(?:version |v )?v?{number}"
+
+
+def _gnu(name: str, number: str) -> tuple[str, str]:
+    return rf"gnu {name}", rf"(?:version|v|license) (?:v )?v?{number}|v{number}"
+
+
+#: Name and version of a family, as patterns of whole words that must all be there.
+MARKS = {
+    "MIT": ("mit license|mit licensed",),
+    "Apache-2.0": (f"apache (?:software )?license {_version('2.0')}",),
+    "GPL-3.0": _gnu("general public license", r"3(?:.0)?"),
+    "GPL-2.0": _gnu("general public license", r"2(?:.0)?"),
+    "LGPL-3.0": _gnu("lesser general public license", r"3(?:.0)?"),
+    "LGPL-2.1": _gnu("lesser general public license", r"2.1"),
+    "AGPL-3.0": _gnu("affero general public license", r"3(?:.0)?"),
+    "BSD-3-Clause": ("bsd 3-clause|3-clause bsd|bsd-3-clause|bsd-style license",),
+    "BSD-2-Clause": ("bsd 2-clause|2-clause bsd|bsd-2-clause|simplified bsd license",),
+    "MPL-2.0": (f"mozilla public license {_version('2.0')}",),
+    "CC-BY-4.0": ("cc by 4.0|creative commons attribution(?: international)? 4.0",),
+    "CC-BY-SA-4.0": ("cc by-sa 4.0|creative commons attribution-sharealike(?: international)? 4.0",),
+    "CC-BY-NC-4.0": ("cc by-nc 4.0|creative commons attribution-noncommercial(?: international)? 4.0",),
+    "CC0-1.0": ("cc0 1.0",),
+    "Unlicense": ("the unlicense",),
+    "ISC": ("isc license",),
+    "Zlib": ("zlib license",),
+    "EPL-1.0": (f"eclipse public license {_version('1.0')}",),
+    "EPL-2.0": (f"eclipse public license {_version('2.0')}",),
+    "BSL-1.0": (f"boost software license {_version('1.0')}",),
 }
+#: Without the name, so many triples that only this family has.
+OWN_TRIPLES = 4
 
 NEGATIVES = (
     "The driving license must be renewed every five years at the town office.",
@@ -179,6 +279,15 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
 _FILLER = "the a of and in to for with this that author project file page site data work notes team".split()
 
 
+# words without meaning may stand between those of a name
+_GAP = rf" (?:(?:{'|'.join(_FILLER)}) )?"
+_MARKS = {
+    family: [re.compile(rf"(?<!\S)(?:{p.replace('.', r'[.]').replace(' ', _GAP)})(?!\S)") for p in all_of]
+    for family, all_of in MARKS.items()
+}
+_OTHER = re.compile(r"(?<!\S)(?:\S+ community|affero|lesser|library|\S+ public) license(?!\S)")
+
+
 def _variant(words: list[str], chance: random.Random) -> list[str]:
     out = list(words)
     if len(out) > 12 and chance.random() < 0.5:  # a part of it
@@ -228,15 +337,15 @@ def fit_licenses(negatives: list[str], seed: int = 13) -> LicenseModel:
     chance = random.Random(seed)
     families = (*TEMPLATES, "none")
     pairs, grams = set(), set()
-    for texts in TEMPLATES.values():
+    for texts in (*TEMPLATES.values(), *SHARED.values()):
         for t in texts:
             ws = words_of(t)
             pairs |= set(zip(ws, ws[1:]))
             grams |= set(zip(ws, ws[1:])) | set(zip(ws, ws[1:], ws[2:]))
     features = {g: i for i, g in enumerate(sorted(grams))}
     samples: list[tuple[list[str], int]] = []
-    for k, texts in enumerate(TEMPLATES.values()):
-        for t in texts:
+    for k, family in enumerate(TEMPLATES):
+        for t in (*TEMPLATES[family], *SHARED.get(family, ())):
             ws = words_of(t)
             samples += [(ws, k)] * 5 + [(_variant(ws, chance), k) for _ in range(VARIANTS)]
     none = len(families) - 1
@@ -298,6 +407,16 @@ class Scanner:
             family: [set(zip(ws, ws[1:], ws[2:])) for ws in map(words_of, texts)]
             for family, texts in TEMPLATES.items()
         }
+        shared = [set(zip(ws, ws[1:], ws[2:])) for texts in SHARED.values() for ws in map(words_of, texts)]
+        # of the templates that don't name their family, the triples that no other wording has
+        self.own = {
+            family: [
+                t.difference(*shared, *(o for f, others in self.templates.items() if f != family for o in others))
+                for t, text in zip(templates, TEMPLATES[family])
+                if not self.named(family, words_of(text))
+            ]
+            for family, templates in self.templates.items()
+        }
 
     def agreement(self, family: str, words: list[str]) -> float:
         """The larger share of common word triples, over the family's templates."""
@@ -306,6 +425,22 @@ class Scanner:
             return 0.0
         return max(len(own & t) / min(len(own), len(t)) for t in self.templates[family] if t)
 
+    def named(self, family: str, words: list[str]) -> bool:
+        said = " ".join(words)
+        return all(p.search(said) for p in _MARKS[family])
+
+    def distinct(self, family: str, words: list[str]) -> bool:
+        """Whether the words stand there that tell the family from its neighbours.
+
+        Without its name these are triples of its own, and then no other licence may be named.
+        """
+        if self.named(family, words):
+            return True
+        triples = set(zip(words, words[1:], words[2:]))
+        if not any(len(t & triples) >= OWN_TRIPLES for t in self.own[family]):
+            return False
+        return not _OTHER.search(" ".join(words)) and not any(self.named(f, words) for f in _MARKS)
+
     def judge(self, paragraph: str) -> tuple[str, float, float] | None:
         """Family or ``unknown``, probability, agreement; None for an ordinary paragraph."""
         words = words_of(paragraph)
@@ -319,7 +454,7 @@ class Scanner:
         if family == "none":
             return None
         agreement = self.agreement(family, words)
-        if p[best] >= self.model.threshold and agreement >= CONFIRM:
+        if p[best] >= self.model.threshold and agreement >= CONFIRM and self.distinct(family, words):
             return family, float(p[best]), agreement
         some = float(1 - p[-1])  # some licence, but not surely one of these
         return ("unknown", some, agreement) if some >= self.model.threshold else None
