@@ -1,6 +1,7 @@
 """License scan on held-out wordings and on the given lines."""
 
 import random
+import textwrap
 
 import pytest
 
@@ -89,6 +90,33 @@ def test_every_template_bears_a_mark_of_its_family_alone(scanner):
             assert [f for f in ls.MARKS if scanner.distinct(f, ls.words_of(t))] == [family], t
 
 
+def wrapped_notices():
+    for family, texts in ls.TEMPLATES.items():
+        for t in texts:
+            for width in (70, 75, 80):
+                lines = textwrap.wrap(t, width)
+                if len(lines) > 1:
+                    yield family, "\n".join(lines)
+                    yield family, "\n".join(f" * {line}" for line in lines)
+
+
+def test_wrapped_notices_are_confirmed(scanner):
+    notices = list(wrapped_notices())
+    assert {family for family, _ in notices} == set(ls.TEMPLATES)
+    for family, notice in notices:
+        found = scanner.scan(f"Some words.\n\n{notice}\n\nMore words.")
+        assert {f["family"] for f in found} - {"unknown"} == {family}, notice
+        named = any(scanner.named(family, ls.words_of(line)) for line in notice.split("\n"))
+        if not named:  # by one of its lines
+            assert [(f["family"], f["start"], f["end"]) for f in found] == [(family, 13, 13 + len(notice))]
+
+
+def test_confirmed_line_leaves_the_rest_of_its_block(scanner):
+    notice = "\n".join(textwrap.wrap(ls.TEMPLATES["GPL-3.0"][1], 75))
+    found = scanner.scan(f"Released under the MIT License.\n{notice}")
+    assert [(f["family"], f["start"]) for f in found] == [("MIT", 0), ("GPL-3.0", 32)]
+
+
 def test_odd_rows(spark, scanner):
     mit = "Released under the MIT License."
     rows = [(1, mit, "x"), (1, mit, "x"), (None, mit, "y"), (2, None, "z"), (3, "", "z"), (4, "w " * 90_000, "z")]

@@ -20,6 +20,10 @@ The wording that all BSD licences share is therefore no family.  A paragraph tha
 any of these tests is ``unknown`` if the model finds some licence in it beyond the
 threshold, whichever it is; else it is ordinary text.
 
+A line that is confirmed by name parts its block.  What is left of a block is judged as
+a whole, and if that is confirmed it replaces its lines that were ``unknown`` or of the
+same family: a notice wrapped over several lines is found.
+
 Most paragraphs hold no feature at all; they are ``none`` at once, which is what the
 model would say.  Scoring is one pass over whole texts without any exchange; the model
 is bounded by the templates.
@@ -235,6 +239,7 @@ NEGATIVES = (
 
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
 _BLOCK = re.compile(r"\n[ \t\r]*\n")
+_BROKEN = re.compile(r"(?<=\w)-[ \t\r]*\n[^\w\n]*(?=\w)")  # a line wrapped at a hyphen
 
 
 @dataclass(frozen=True)
@@ -248,7 +253,7 @@ class LicenseModel:
 
 
 def words_of(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
+    return _WORD.findall(_BROKEN.sub("-", paragraph.lower()))
 
 
 def _grams(words: list[str], pairs: set) -> list[tuple[str, ...]]:
@@ -460,29 +465,44 @@ class Scanner:
         return ("unknown", some, agreement) if some >= self.model.threshold else None
 
     def scan(self, text: str | None) -> list[dict]:
-        """What is found, by place; a block counts only if none of its lines does."""
-        found: list[dict] = []
-        blocks = []
-        for start, end in paragraphs(text or ""):
+        """What is found, by place: named lines part their block, what a block confirms replaces its lines."""
+        text = text or ""
+        found: dict[tuple[int, int], tuple[str, float, float]] = {}
+        lines, blocks = [], []
+        for start, end in paragraphs(text):
             if "\n" in text[start:end]:
                 blocks.append((start, end))
                 continue
+            lines.append((start, end))
             judged = self.judge(text[start:end])
             if judged is not None:
-                names = ("family", "probability", "agreement")
-                found.append(dict(zip(names, judged)) | {"start": start, "end": end})
-        lines = iter([(f["start"], f["end"]) for f in found])
-        line = next(lines, None)
+                found[start, end] = judged
+        at = 0
         for start, end in blocks:
-            while line and line[1] <= start:
-                line = next(lines, None)
-            if line and line[0] < end:
-                continue
-            judged = self.judge(text[start:end])
-            if judged is not None:
-                names = ("family", "probability", "agreement")
-                found.append(dict(zip(names, judged)) | {"start": start, "end": end})
-        return sorted(found, key=lambda f: f["start"])
+            while lines[at][0] < start:
+                at += 1
+            runs: list[list[tuple[int, int]]] = [[]]
+            while at < len(lines) and lines[at][0] < end:
+                place = lines[at]
+                family = found[place][0] if place in found else "unknown"
+                if family != "unknown" and self.named(family, words_of(text[place[0] : place[1]])):
+                    runs.append([])
+                else:
+                    runs[-1].append(place)
+                at += 1
+            for run in runs:
+                if len(run) < 2:
+                    continue
+                place = (start, end) if len(runs) == 1 else (run[0][0], run[-1][1])
+                judged = self.judge(text[place[0] : place[1]])
+                if judged is None or (judged[0] == "unknown" and any(r in found for r in run)):
+                    continue
+                for r in run:
+                    if r in found and found[r][0] in ("unknown", judged[0]):
+                        del found[r]
+                found[place] = judged
+        names = ("family", "probability", "agreement")
+        return [dict(zip(names, found[place])) | {"start": place[0], "end": place[1]} for place in sorted(found)]
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
