@@ -132,6 +132,39 @@ def test_reply_trees(spark):
     assert chat.format_reply_trees(df.limit(0)).isEmpty()
 
 
+def test_null_ids_are_kept(spark):
+    nodes = [
+        (None, 1, None, "user", "q", 0.0),
+        (None, 2, 1, "assistant", "good", 5.0),
+        (None, 3, 1, "assistant", "bad", -5.0),
+        (1, 1, None, "user", "other", 0.0),
+        (1, None, 1, "assistant", "no id", 0.0),
+        (None, None, None, "user", "neither", -9.0),
+    ]
+    df = spark.createDataFrame(
+        nodes, "tree_id bigint, node_id bigint, parent_id bigint, role string, text string, score double"
+    )
+    every = {(r.tree_id, r.leaf): r.n_messages for r in chat.format_reply_trees(df).collect()}
+    assert every == {(None, 2): 2, (None, 3): 2, (None, None): 1, (1, None): 2}
+    best = chat.format_reply_trees(df, branches=1).collect()
+    assert {(r.tree_id, r.leaf) for r in best} == {(None, 2), (1, None)}
+    hops = {(r.tree_id, r.leaf, r.node_id, r.hops) for r in chat.paths(df).collect()}
+    assert {(None, 2, 1, 1), (None, 2, 2, 0), (1, None, 1, 1), (1, None, None, 0)} <= hops and len(hops) == 7
+
+
+def test_chat_query_matches_sql_on_null_conversations(spark, sf_dir, tmp_path):
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    least = given.agg(F.min("conv_id")).first()[0]
+    lost = given.withColumn("conv_id", F.when(F.col("conv_id") != least, F.col("conv_id")))
+    lost.toPandas().astype({"conv_id": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    df = QUERIES["op5_chat"](spark, str(tmp_path))
+    with connect(str(tmp_path)) as connection:
+        cursor = connection.execute(ORACLE_SQL["op5_chat"])
+        names, want = [d[0] for d in cursor.description], cursor.fetchall()
+    assert any(r[0] is None for r in want)
+    assert rows_of(names, want) == rows_of(df.columns, [tuple(r) for r in df.collect()])
+
+
 def test_a_long_chain(spark):
     df = spark.range(3000).selectExpr("7L as c", "id as turn", "'user' as role", "cast(id as string) as text")
     row = chat.format_reply_trees(chat.chains(df, "c", "turn")).collect()
