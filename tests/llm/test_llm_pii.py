@@ -75,6 +75,36 @@ def test_context_finds_unseen_identifiers(spark):
     assert all(len(spans[i]) == 1 for i in range(30))
 
 
+FORMS = [
+    "DE89 3704 0044 0532 0130 00", "030 1234 5678", "1234 5678 9012 3456", "(555) 123-4567",
+    "jo at mail dot org", "A1B2C3", "AB-778812345",
+]
+
+
+def test_context_finds_identifiers_of_any_form(spark):
+    seeds = [f"please reach me at user{i}@mail.example.org or call" for i in range(120)]
+    far = "x " * 700
+    held = [f"please reach me at {v} or call" for v in FORMS]
+    long = [f"{far}please reach me at {v} or call {far}" for v in FORMS]
+    plain = ["a total of 030 1234 5678 bricks", "call jo at mail dot org", "", None]
+    texts = [*seeds, *held, *long, *plain]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    for k, v in enumerate(FORMS * 2, len(seeds)):
+        assert [(s.kind, texts[k][s.start : s.end]) for s in spans[k]] == [("email", v)], v
+    assert all(spans[i] == [] for i in range(len(texts) - len(plain), len(texts)))
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert all(out[len(seeds) + k] == "please reach me at [EMAIL] or call" for k in range(len(FORMS)))
+
+
+def test_a_pattern_that_holds_ordinary_words_is_not_trusted_with_them(spark):
+    texts = [f"please reach me at user{i}@mail.example.org or call" for i in range(30)]
+    texts += [f"please reach me at {w} or call" for w in "noon home work once lunch dusk dawn two ten six".split()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    assert all(len(spans[i]) == (i < 30) for i in range(len(texts)))
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     texts = ["mail a@b.cd now", None, "", "ip 1.2.3.4, 1.2.3.4", "mail a@b.cd now", "nothing"]
     df = spark.createDataFrame(

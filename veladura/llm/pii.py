@@ -8,6 +8,14 @@ are known or believed, an identifier as the noisy-or of its patterns.  Identifie
 reach ``ACCEPT`` in patterns that reach ``TRUST`` are added, with the kind of their
 patterns; the base spans stay as they are.
 
+Those tokens only decide which patterns to trust.  Where a pattern is trusted, the texts
+are read again and whatever stands in it is a candidate, digits or not: between the two
+words of a pattern with both sides (``WITHIN`` words and ``_CONTEXT`` characters at most,
+the nearest right word), or after a pattern's two words, a token and the groups of digits
+that follow it.  With these the patterns and candidates are scored in rounds as before,
+so a pattern that holds ordinary words as well loses its trust.  Of spans found one inside the
+other the outer one stays.  Without a trusted pattern the texts are not read again.
+
 Everything is DataFrame functions.  One projection over the texts finds matches with
 their places (places follow from the lengths of what stands between matches) and keeps
 small arrays; the graph has one edge per distinct pattern and identifier, however often
@@ -44,7 +52,10 @@ _TOKEN = r"(?<![A-Za-z0-9])[A-Za-z]{0,8}[-:#/_]?[0-9][A-Za-z0-9./:_-]{3,}+"
 _TOKEN_DIGITS = 5
 
 ROUNDS, SEEDS, SMOOTH, TRUST, ACCEPT = 3, 3, 1.0, 0.8, 0.9
-_CONTEXT = 60
+_CONTEXT, WITHIN = 60, 6
+_STEP = 1000  # texts are read again in parts that overlap
+_EDGE = r"[\s,;:.!?\"']"
+_AFTER = r"^[^\p{L}\p{N}(\[+]*((?:[(\[+]*[\p{L}\p{N}]\S*)(?:\s[(\[+]*[0-9]\S*)*)"
 
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
@@ -179,15 +190,141 @@ def find_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def learn(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, text_hash, start, end, kind`` of identifiers found by their context."""
+def learn(spans: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = None) -> DataFrame:
+    """``doc_id, text_hash, start, end, kind`` of identifiers found by their context.
+
+    Without ``docs`` these are tokens with several digits only.
+    """
     where = spans.select("doc_id", "text_hash", F.explode(F.concat("base", "others")).alias("s"))
     uses = where.select(
         "doc_id", "text_hash", "s.start", "s.end", "s.kind", "s.value",
         F.explode(F.array_compact("s.contexts")).alias("pattern"),
     )
-    rows = spans.count()
-    edges = cut(uses.select("pattern", "value", "kind").distinct(), "pii-edges", rows)
+    edges = cut(uses.select("pattern", "value", "kind").distinct(), "pii-edges", spans.count())
+    accepted, trusted = _score(edges, rounds, spans.count())
+    first = _accepted_uses(uses.filter("kind is null").drop("kind"), accepted, trusted)
+    if docs is None or trusted.isEmpty():
+        return first
+    patterns = trusted.select("pattern").distinct()
+    held = _held_by(docs, spans, patterns)
+    known = edges.filter("kind is not null").join(patterns, "pattern", "left_semi")
+    more = held.select("pattern", "value", F.lit(None).cast("string").alias("kind")).distinct()
+    edges = cut(known.select("pattern", "value", "kind").unionByName(more), "pii-edges", spans.count())
+    return _outermost(first.unionByName(_accepted_uses(held, *_score(edges, rounds, spans.count()))))
+
+
+def _accepted_uses(uses: DataFrame, accepted: DataFrame, trusted: DataFrame) -> DataFrame:
+    return (
+        uses.join(trusted, "pattern")
+        .join(accepted, ["value", "kind"])
+        .select("doc_id", "text_hash", "start", "end", "kind")
+        .distinct()
+    )
+
+
+def _outermost(found: DataFrame) -> DataFrame:
+    """Without the spans that lie within another one of the document."""
+    of = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end", "kind")).alias("all"))
+
+    def within(s, o):
+        wider = (o["end"] - o["start"]) > (s["end"] - s["start"])
+        return wider & (o["start"] <= s["start"]) & (s["end"] <= o["end"])
+
+    outer = F.filter("all", lambda s: ~F.exists("all", lambda o: within(s, o)))
+    return of.select("doc_id", "text_hash", F.explode(outer).alias("s")).select("doc_id", "text_hash", "s.*")
+
+
+def _held_by(docs: DataFrame, spans: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, pattern, value, start, end``: what stands in trusted patterns and is no base span."""
+    reach = 4 * _CONTEXT
+    text = F.coalesce("text", F.lit(""))
+    parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text")).dropDuplicates(
+        ["doc_id", "text_hash"]
+    )
+    parts = parts.select(
+        "doc_id",
+        "text_hash",
+        "text",
+        F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(_STEP))).alias("at"),
+    )
+    part = F.col("text").substr(F.col("at") + 1, F.lit(_STEP + reach))
+    words = parts.select("doc_id", "text_hash", "at", part.alias("part")).select(
+        "*",
+        F.regexp_extract_all("part", F.lit(r"\p{L}+"), 0).alias("w"),
+        F.split("part", r"\p{L}+", -1).alias("g"),
+    )
+    n = F.size("w")
+    size = lambda a, x: a + F.length(x)
+    ends = words.filter(n > 0).select(
+        "*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
+    ).select(
+        "*",
+        (
+            F.aggregate(F.slice("w", F.lit(1), F.col("i") + 1), F.lit(0), size)
+            + F.aggregate(F.slice("g", F.lit(1), F.col("i") + 1), F.lit(0), size)
+        ).alias("left"),  # where word i ends
+    )
+
+    def word(place: Column) -> Column:
+        return F.lower(F.try_element_at("w", place + 1))
+
+    def raw(k: Column) -> Column:
+        """What stands between word i and word i + k."""
+        inner = F.zip_with(
+            F.slice("g", F.col("i") + 2, k),
+            F.slice("w", F.col("i") + 2, k - 1),
+            lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))),
+        )
+        return F.array_join(inner, "")
+
+    ks = F.filter(F.sequence(F.lit(1), F.lit(WITHIN + 1)), lambda k: F.col("i") + k < n)
+    around = F.transform(
+        ks,
+        lambda k: F.struct(
+            F.concat(F.lit("around:"), word(F.col("i")), F.lit(" "), word(F.col("i") + k)).alias("pattern"),
+            k.alias("k"),
+        ),
+    )
+    i = F.col("i")
+    before = F.when(i > 0, F.concat(F.lit("before:"), word(i - 1), F.lit(" "), word(i)))
+    sides = F.array_compact(
+        F.concat(around, F.array(F.when(before.isNotNull(), F.struct(before.alias("pattern"), F.lit(0).alias("k")))))
+    )
+    met = ends.select("*", F.explode(sides).alias("s")).select("*", "s.pattern", "s.k").drop("s")
+    # a part's first and last words may be cut off: its neighbours hold them whole
+    inner = (F.col("at") == 0) | (F.col("left") > 2 * _CONTEXT)
+    met = met.filter(inner & (F.col("left") <= 2 * _CONTEXT + _STEP)).join(patterns, "pattern", "left_semi")
+    following = F.col("part").substr(F.col("left") + 1, F.lit(2 * _CONTEXT))
+    after = F.regexp_extract(following, _AFTER, 1)
+    got = met.withColumn("raw", F.when(F.col("k") > 0, raw(F.col("k"))).otherwise(after))
+    lead = F.length(F.regexp_extract("raw", f"^{_EDGE}*", 0))
+    value = F.regexp_replace("raw", f"^{_EDGE}+|{_EDGE}+$", "")
+    skip = F.when(F.col("k") > 0, F.lit(0)).otherwise(F.position(after, following) - 1)
+    start = F.col("at") + F.col("left") + skip + lead
+    got = got.select(
+        "doc_id", "text_hash", "pattern", (F.col("at") + F.col("left")).alias("left"), "k",
+        start.alias("start"), value.alias("value"),
+    ).withColumn("end", F.col("start") + F.length("value"))
+    got = got.filter(F.col("value").rlike(r"[\p{L}\p{N}]") & (F.length("value") <= _CONTEXT))
+    # the nearest right word; of several left words the farthest; parts overlap
+    near = got.groupBy("doc_id", "text_hash", "pattern", "left").agg(
+        F.min_by(F.struct("start", "end", "value"), "k").alias("s")
+    )
+    far = near.groupBy("doc_id", "text_hash", "pattern", F.col("s.end").alias("end")).agg(
+        F.min_by("s", "s.start").alias("s")
+    )
+    base = spans.select(
+        F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"),
+        F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("base"),
+    ).dropDuplicates(["of", "of_text"])
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("of_text"))
+    touched = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
+    free = far.join(base, same).filter(~touched)
+    return cut(free.select("doc_id", "text_hash", "pattern", "s.value", "s.start", "s.end"), "pii-held")
+
+
+def _score(edges: DataFrame, rounds: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Accepted ``value, kind`` and trusted ``pattern, kind`` of a graph of ``pattern, value, kind``."""
     # patterns without enough seeds can never be trusted, nor can what only they hold
     held = edges.groupBy("pattern").agg(
         F.countDistinct("value").alias("n"), F.count("kind").alias("seeds")
@@ -201,7 +338,8 @@ def learn(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         known = seeds
         if believed is not None:
             known = known.unionByName(
-                unknown.join(believed, "value").select("pattern", "n", "kind", "score")
+                # words without digits are judged, but make no pattern surer
+                unknown.filter(F.col("value").rlike("[0-9]")).join(believed, "value").select("pattern", "n", "kind", "score")
             )
         # the share of a pattern's instances that are of a kind, smoothed towards none
         share = (F.sum("score") / (F.max("n") + SMOOTH)).alias("trust")
@@ -220,20 +358,14 @@ def learn(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .select("value", "kind")
     )
     trusted = trust.filter(F.col("trust") >= TRUST).select("pattern", "kind")
-    others = uses.filter("kind is null").drop("kind")
-    return (
-        others.join(trusted, "pattern")
-        .join(cut(accepted, "pii-accepted", rows), ["value", "kind"])
-        .select("doc_id", "text_hash", "start", "end", "kind")
-        .distinct()
-    )
+    return cut(accepted, "pii-accepted", rows), trusted
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, text_hash, base, spans``: arrays of ``start, place, end, kind``, in order."""
     spans = find_spans(docs)
     place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    found = learn(spans, rounds).select(
+    found = learn(spans, rounds, docs).select(
         F.col("doc_id").alias("of"),
         F.col("text_hash").alias("of_text"),
         F.struct("start", place.alias("place"), "end", "kind").alias("span"),
