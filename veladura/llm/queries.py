@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from veladura.llm import (
     bpe,
+    centroids,
     chat,
+    codes,
     decontaminate,
     license_scan,
+    mixing,
     pii,
     quality,
     simhash,
@@ -155,6 +158,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.by_position(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.size("copies").cast("bigint").alias("n_copies"), "first_position",
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -168,6 +187,9 @@ QUERIES = {
         op8_toxicity,
         op9_quality,
         op10_simhash,
+        op11_codes,
+        op12_clusters,
+        op13_mix,
     )
 }
 _OP1_SQL = f"""
@@ -201,8 +223,94 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(shown) + body_chars + {len(chat.OPEN) + len(chat.CLOSE) + 2}) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
+_WHOLE = """list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))"""
+_FINITE = """embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"""
+_APART = "list_inner_product({0}, {0}) + list_inner_product({1}, {1}) - 2 * list_inner_product({0}, {1})"
+
+
+def _op11_sql() -> str:
+    n, rounds = codes.PARTS, codes.ROUNDS
+    steps = [f"""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+  {_WHOLE} AS v FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {n}) + 1 : (p + 1) * (len(v) // {n})] AS x
+  FROM kept, range({n}) AS t(p)),
+books0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS y FROM parts WHERE r <= {codes.ENTRIES})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (SELECT r, p, any_value(x) AS x,
+  min({{'d': CAST({_APART.format("x", "y")} AS BIGINT), 'e': e}}) AS best
+  FROM parts JOIN books{i} USING (p) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""books{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM books{i} b LEFT JOIN
+  (SELECT p, e, list(f ORDER BY i) AS y FROM (SELECT p, e, i, floor(sum(c) / count(*)) AS f FROM
+    (SELECT p, best.e AS e, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM near{i}) GROUP BY p, e, i)
+   GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)""")
+    steps.append(f"""coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code,
+  CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY p, e))
+   FROM books{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (r)"""
+
+
+def _op12_sql() -> str:
+    rounds = centroids.ROUNDS
+    steps = [f"""kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id) NULLS LAST, embedding) AS r,
+  vec_id, {_WHOLE} AS x FROM embeddings WHERE {_FINITE} AND len(embedding) = {centroids.DIM}),
+c0 AS MATERIALIZED (SELECT r - 1 AS c, x AS y FROM kept WHERE r <= {centroids.CLUSTERS})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (SELECT r, any_value(x) AS x,
+  min({{'d': CAST({_APART.format("x", "y")} AS BIGINT), 'c': c}}) AS best FROM kept, c{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT b.c, coalesce(m.y, b.y) AS y FROM c{i} b LEFT JOIN
+  (SELECT c, list(f ORDER BY i) AS y FROM (SELECT c, i, floor(sum(v) / count(*)) AS f FROM
+    (SELECT best.c AS c, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM near{i}) GROUP BY c, i)
+   GROUP BY c) m USING (c))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, best.d AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(y, lambda v: CAST(v AS BIGINT)), ',')) AS centroid_sha256
+FROM near{rounds} JOIN kept USING (r) JOIN c{rounds} ON c = best.c"""
+
+
+def _op13_sql() -> str:
+    when = " ".join(
+        f"WHEN {k} THEN CASE WHEN {a} > 0 THEN 2 * ({a}) / ({v} + sqrt(greatest({v * v} + {2 * (w - v)} * ({a}), 0))) ELSE 0 END"
+        for k, v, w, a in (
+            (k, float(s.knots[0][1]), float(s.knots[1][1]), f"share * {float(s.weight)}")
+            for k, s in enumerate(mixing.SCHEDULES)
+        )
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, source,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS HUGEINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, sum(n) OVER () AS all_n, sum(w) OVER () AS all_w,
+  coalesce(sum(n) OVER up, 0) AS n_before, coalesce(sum(w) OVER up, 0) AS w_before FROM s
+  WINDOW up AS (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, {mixing.EPOCHS} * n * (all_w - w_before) < w * (all_n - {mixing.EPOCHS} * n_before) AS is_full FROM o),
+g AS (SELECT *, sum(n) OVER () - coalesce(sum({mixing.EPOCHS} * n) FILTER (is_full) OVER (), 0) AS left_n,
+  sum(w) FILTER (NOT is_full) OVER () AS left_w FROM f),
+t AS (SELECT source, n, w, CASE WHEN is_full THEN {mixing.EPOCHS} * n ELSE CAST(w * left_n AS HUGEINT) // CAST(left_w AS HUGEINT) END AS want,
+  CASE WHEN is_full THEN CAST({mixing.EPOCHS} * n AS DOUBLE) ELSE CAST(w * left_n AS DOUBLE) / CAST(left_w AS DOUBLE) END AS target FROM g),
+p AS (SELECT doc_id, size, n, w, want, target, coalesce(sum(size) OVER (PARTITION BY d.source
+  ORDER BY md5('{mixing.SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CAST(b AS DOUBLE) / CAST(want AS DOUBLE) AS share FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN n > 0 THEN CAST(want AS HUGEINT) // CAST(n AS HUGEINT) * size
+    + least(greatest(CAST(want AS HUGEINT) % CAST(n AS HUGEINT) - b, 0), size) ELSE 0 END AS BIGINT) AS taken,
+  CAST(len(list_filter(range({mixing.EPOCHS}), lambda e: size > 0 AND e * n + b < want)) AS BIGINT) AS n_copies,
+  CASE WHEN size > 0 AND b < want THEN least(CASE w - 1 {when} END, 1) END AS first_position
+FROM q"""
+
+
 ORACLE_SQL = {
     "op1_suffix_dedup": _OP1_SQL,
     "op5_chat": _OP5_SQL,
     "op6_url_filter": _op6_sql(),
+    "op11_codes": _op11_sql(),
+    "op12_clusters": _op12_sql(),
+    "op13_mix": _op13_sql(),
 }
