@@ -14,7 +14,9 @@ words of a pattern with both sides (``WITHIN`` words and ``_CONTEXT`` characters
 the nearest right word), or after a pattern's two words, a token and the groups of digits
 that follow it.  With these the patterns and candidates are scored in rounds as before,
 so a pattern that holds ordinary words as well loses its trust.  Of spans found one inside the
-other the outer one stays.  Without a trusted pattern the texts are not read again.
+other the outer one stays.  Without a trusted pattern the texts are not read again.  The
+second reading is one projection: ``PATTERNS_AT_ONCE`` patterns travel in it as a set, more of
+them take one reading each, and only parts of texts that hold a left word are looked at.
 
 Everything is DataFrame functions.  One projection over the texts finds matches with
 their places (places follow from the lengths of what stands between matches) and keeps
@@ -31,7 +33,7 @@ texts null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veladura.llm.common import cut
@@ -200,8 +202,9 @@ def learn(spans: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = None)
         "doc_id", "text_hash", "s.start", "s.end", "s.kind", "s.value",
         F.explode(F.array_compact("s.contexts")).alias("pattern"),
     )
-    edges = cut(uses.select("pattern", "value", "kind").distinct(), "pii-edges", spans.count())
-    accepted, trusted = _score(edges, rounds, spans.count())
+    n_uses = spans.agg(F.sum(2 * (F.size("base") + F.size("others")))).first()[0] or 0
+    edges = cut(uses.select("pattern", "value", "kind").distinct(), "pii-edges", n_uses)
+    accepted, trusted = _score(edges, rounds, edges.count())
     first = _accepted_uses(uses.filter("kind is null").drop("kind"), accepted, trusted)
     if docs is None or trusted.isEmpty():
         return first
@@ -209,8 +212,10 @@ def learn(spans: DataFrame, rounds: int = ROUNDS, docs: DataFrame | None = None)
     held = _held_by(docs, spans, patterns)
     known = edges.filter("kind is not null").join(patterns, "pattern", "left_semi")
     more = held.select("pattern", "value", F.lit(None).cast("string").alias("kind")).distinct()
-    edges = cut(known.select("pattern", "value", "kind").unionByName(more), "pii-edges", spans.count())
-    return _outermost(first.unionByName(_accepted_uses(held, *_score(edges, rounds, spans.count()))))
+    edges = known.select("pattern", "value", "kind").unionByName(more)
+    edges = cut(edges, "pii-edges", edges.count())
+    found = _accepted_uses(held, *_score(edges, rounds, edges.count()))
+    return _outermost(first.unionByName(found))
 
 
 def _accepted_uses(uses: DataFrame, accepted: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -223,104 +228,118 @@ def _accepted_uses(uses: DataFrame, accepted: DataFrame, trusted: DataFrame) ->
 
 
 def _outermost(found: DataFrame) -> DataFrame:
-    """Without the spans that lie within another one of the document."""
-    of = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end", "kind")).alias("all"))
+    """Without the spans that lie within a wider one of the same text, in one pass by start."""
+    places = found.groupBy("doc_id", "text_hash", "start", "end").agg(F.collect_set("kind").alias("kinds"))
+    earlier = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("end"))
+    reach = F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    outer = places.withColumn("reach", reach).filter("reach is null or reach < end")
+    return outer.select("doc_id", "text_hash", "start", "end", F.explode("kinds").alias("kind"))
 
-    def within(s, o):
-        wider = (o["end"] - o["start"]) > (s["end"] - s["start"])
-        return wider & (o["start"] <= s["start"]) & (s["end"] <= o["end"])
 
-    outer = F.filter("all", lambda s: ~F.exists("all", lambda o: within(s, o)))
-    return of.select("doc_id", "text_hash", F.explode(outer).alias("s")).select("doc_id", "text_hash", "s.*")
+#: So many trusted patterns are looked for in one reading of the texts.
+PATTERNS_AT_ONCE = 20_000
 
 
 def _held_by(docs: DataFrame, spans: DataFrame, patterns: DataFrame) -> DataFrame:
     """``doc_id, text_hash, pattern, value, start, end``: what stands in trusted patterns and is no base span."""
+    patterns = cut(patterns, "pii-trusted")
+    blocks = patterns.count() // PATTERNS_AT_ONCE + 1
+    block = F.pmod(F.xxhash64("pattern"), F.lit(blocks))
+    found = None
+    for b in range(blocks):
+        some = [r[0] for r in patterns.filter(block == b).collect()]
+        if some:
+            got = cut(_standing_in(docs, some), "pii-standing")
+            found = got if found is None else found.unionByName(got)
+    # repeated rows and, of several left words, the farthest
+    far = found.groupBy("doc_id", "text_hash", "pattern", "end").agg(
+        F.min_by(F.struct("start", "end", "value"), "start").alias("s")
+    )
+    base = spans.filter(F.size("base") > 0).select(
+        F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"),
+        F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("base"),
+    ).dropDuplicates(["of", "of_text"])
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("of_text"))
+    touched = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
+    free = far.join(base, same, "left").filter(~F.coalesce(touched, F.lit(False)))
+    return cut(free.select("doc_id", "text_hash", "pattern", "s.value", "s.start", "s.end"), "pii-held")
+
+
+def _standing_in(docs: DataFrame, patterns: list[str]) -> DataFrame:
+    """``doc_id, text_hash, pattern, start, end, value`` of what stands in these patterns.
+
+    One projection over the texts, without exchange or join.  A part of a text goes on only
+    if it holds a left word; only left words are looked at, and of what follows them only the
+    words that complete a pattern.
+    """
+    pairs = [p.split(":", 1)[1].split(" ") for p in patterns]
+    lefts = sorted({l if p.startswith("around:") else r for p, (l, r) in zip(patterns, pairs)})
     reach = 4 * _CONTEXT
     text = F.coalesce("text", F.lit(""))
-    parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text")).dropDuplicates(
-        ["doc_id", "text_hash"]
-    )
-    parts = parts.select(
+    parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text")).select(
         "doc_id",
         "text_hash",
         "text",
         F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(_STEP))).alias("at"),
     )
     part = F.col("text").substr(F.col("at") + 1, F.lit(_STEP + reach))
-    words = parts.select("doc_id", "text_hash", "at", part.alias("part")).select(
-        "*",
-        F.regexp_extract_all("part", F.lit(r"\p{L}+"), 0).alias("w"),
-        F.split("part", r"\p{L}+", -1).alias("g"),
+    parts = parts.select("doc_id", "text_hash", "at", part.alias("part"))
+    words = parts.withColumn("w", F.regexp_extract_all("part", F.lit(r"\p{L}+"), 0))
+    words = words.filter(F.exists("w", lambda x: F.lower(x).isin(lefts)))
+    words = words.withColumn("g", F.split("part", r"\p{L}+", -1)).withColumn("n", F.size("w"))
+    step = F.zip_with("g", "w", lambda g, w: F.length(g) + F.length(w))
+    ends = F.aggregate(  # where each word ends
+        F.slice(step, F.lit(1), F.col("n")),
+        F.array().cast("array<int>"),
+        lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)),
     )
-    n = F.size("w")
-    size = lambda a, x: a + F.length(x)
-    ends = words.filter(n > 0).select(
-        "*", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
-    ).select(
-        "*",
-        (
-            F.aggregate(F.slice("w", F.lit(1), F.col("i") + 1), F.lit(0), size)
-            + F.aggregate(F.slice("g", F.lit(1), F.col("i") + 1), F.lit(0), size)
-        ).alias("left"),  # where word i ends
+    at_left = F.filter(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        # a part's first and last words may be cut off: its neighbours hold them whole
+        lambda i: F.lower(F.get("w", i)).isin(lefts)
+        & ((F.col("at") == 0) | (F.get("ends", i) > 2 * _CONTEXT))
+        & (F.get("ends", i) <= 2 * _CONTEXT + _STEP),
     )
+    met = words.withColumn("ends", ends).withColumn("i", F.explode(at_left))
+    i, left = F.col("i"), F.get("ends", F.col("i"))
 
     def word(place: Column) -> Column:
-        return F.lower(F.try_element_at("w", place + 1))
-
-    def raw(k: Column) -> Column:
-        """What stands between word i and word i + k."""
-        inner = F.zip_with(
-            F.slice("g", F.col("i") + 2, k),
-            F.slice("w", F.col("i") + 2, k - 1),
-            lambda g, w: F.concat(g, F.coalesce(w, F.lit(""))),
+        return F.lower(F.get("w", place))
+
+    def stands(pattern: Column, k: Column, raw: Column, skip: Column) -> Column:
+        lead = F.length(F.regexp_extract(raw, f"^{_EDGE}*", 0))
+        return F.struct(
+            pattern.alias("pattern"), k.alias("k"), (F.col("at") + left + skip + lead).alias("start"),
+            F.regexp_replace(raw, f"^{_EDGE}+|{_EDGE}+$", "").alias("value"),
+        )
+
+    def around(k: Column) -> Column:
+        pattern = F.concat(F.lit("around:"), word(i), F.lit(" "), word(i + k))
+        between = F.get("ends", i + k) - F.length(F.get("w", i + k)) - left
+        return F.when(
+            pattern.isin(patterns), stands(pattern, k, F.substr("part", left + 1, between), F.lit(0))
         )
-        return F.array_join(inner, "")
-
-    ks = F.filter(F.sequence(F.lit(1), F.lit(WITHIN + 1)), lambda k: F.col("i") + k < n)
-    around = F.transform(
-        ks,
-        lambda k: F.struct(
-            F.concat(F.lit("around:"), word(F.col("i")), F.lit(" "), word(F.col("i") + k)).alias("pattern"),
-            k.alias("k"),
-        ),
+
+    ks = F.filter(F.sequence(F.lit(1), F.lit(WITHIN + 1)), lambda k: i + k < F.col("n"))
+    two = F.when(i > 0, F.concat(F.lit("before:"), word(i - 1), F.lit(" "), word(i)))
+    following = F.substr("part", left + 1, F.lit(2 * _CONTEXT))
+    after = F.regexp_extract(following, _AFTER, 1)
+    behind = F.when(
+        two.isin(patterns), stands(two, F.lit(0), after, F.position(after, following) - 1)
     )
-    i = F.col("i")
-    before = F.when(i > 0, F.concat(F.lit("before:"), word(i - 1), F.lit(" "), word(i)))
-    sides = F.array_compact(
-        F.concat(around, F.array(F.when(before.isNotNull(), F.struct(before.alias("pattern"), F.lit(0).alias("k")))))
+    shown = F.array_compact(F.concat(F.transform(ks, around), F.array(behind)))
+    valid = F.filter(
+        shown, lambda s: s["value"].rlike(r"[\p{L}\p{N}]") & (F.length(s["value"]) <= _CONTEXT)
     )
-    met = ends.select("*", F.explode(sides).alias("s")).select("*", "s.pattern", "s.k").drop("s")
-    # a part's first and last words may be cut off: its neighbours hold them whole
-    inner = (F.col("at") == 0) | (F.col("left") > 2 * _CONTEXT)
-    met = met.filter(inner & (F.col("left") <= 2 * _CONTEXT + _STEP)).join(patterns, "pattern", "left_semi")
-    following = F.col("part").substr(F.col("left") + 1, F.lit(2 * _CONTEXT))
-    after = F.regexp_extract(following, _AFTER, 1)
-    got = met.withColumn("raw", F.when(F.col("k") > 0, raw(F.col("k"))).otherwise(after))
-    lead = F.length(F.regexp_extract("raw", f"^{_EDGE}*", 0))
-    value = F.regexp_replace("raw", f"^{_EDGE}+|{_EDGE}+$", "")
-    skip = F.when(F.col("k") > 0, F.lit(0)).otherwise(F.position(after, following) - 1)
-    start = F.col("at") + F.col("left") + skip + lead
-    got = got.select(
-        "doc_id", "text_hash", "pattern", (F.col("at") + F.col("left")).alias("left"), "k",
-        start.alias("start"), value.alias("value"),
-    ).withColumn("end", F.col("start") + F.length("value"))
-    got = got.filter(F.col("value").rlike(r"[\p{L}\p{N}]") & (F.length("value") <= _CONTEXT))
-    # the nearest right word; of several left words the farthest; parts overlap
-    near = got.groupBy("doc_id", "text_hash", "pattern", "left").agg(
-        F.min_by(F.struct("start", "end", "value"), "k").alias("s")
+    # of several right words of a pattern the nearest
+    nearest = F.filter(
+        "valid", lambda s: ~F.exists("valid", lambda o: (o["pattern"] == s["pattern"]) & (o["k"] < s["k"]))
     )
-    far = near.groupBy("doc_id", "text_hash", "pattern", F.col("s.end").alias("end")).agg(
-        F.min_by("s", "s.start").alias("s")
+    got = met.withColumn("valid", valid).filter(F.size("valid") > 0)
+    got = got.select("doc_id", "text_hash", F.explode(nearest).alias("s"))
+    return got.select(
+        "doc_id", "text_hash", "s.pattern", "s.start", (F.col("s.start") + F.length("s.value")).alias("end"), "s.value"
     )
-    base = spans.select(
-        F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"),
-        F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("base"),
-    ).dropDuplicates(["of", "of_text"])
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & F.col("text_hash").eqNullSafe(F.col("of_text"))
-    touched = F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
-    free = far.join(base, same).filter(~touched)
-    return cut(free.select("doc_id", "text_hash", "pattern", "s.value", "s.start", "s.end"), "pii-held")
 
 
 def _score(edges: DataFrame, rounds: int, rows: int) -> tuple[DataFrame, DataFrame]:
