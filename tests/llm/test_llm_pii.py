@@ -5,6 +5,8 @@ import random
 import re
 
 import pytest
+import regex
+from collections import defaultdict
 from pyspark.sql import functions as F
 
 from veladura.llm import pii
@@ -145,3 +147,140 @@ def test_query_against_brute_force(spark, sf_dir):
             sum(k == kind for k, _, _ in want) for kind in BASE
         ]
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+# learned spans, by a plain version of the whole method
+
+
+def score(edges, rounds=3):
+    of, n_seeds = defaultdict(set), defaultdict(int)
+    for pattern, value, kind in edges:
+        of[pattern].add(value)
+        n_seeds[pattern] += kind is not None
+    links = [e for e in edges if n_seeds[e[0]] >= 3]
+    trust, believed = {}, {}
+    for _ in range(rounds):
+        sums = defaultdict(float)
+        for pattern, value, kind in links:
+            if kind is not None:
+                sums[pattern, kind] += 1
+            elif re.search("[0-9]", value):
+                for (v, k), b in believed.items():
+                    if v == value:
+                        sums[pattern, k] += b
+        trust = {(p, k): s / (len(of[p]) + 1) for (p, k), s in sums.items()}
+        doubt = defaultdict(lambda: 1.0)
+        for pattern, value, kind in links:
+            for (p, k), t in trust.items():
+                if kind is None and p == pattern:
+                    doubt[value, k] *= 1 - min(t, 0.999999)
+        believed = {vk: 1 - d for vk, d in doubt.items()}
+    best = {}
+    for (v, k), b in believed.items():
+        best[v] = max(best.get(v, (0, "")), (b, k))
+    return {(v, k) for v, (b, k) in best.items() if b >= 0.9}, {pk for pk, t in trust.items() if t >= 0.8}
+
+
+def contexts(text, start, end):
+    left, right = text[max(0, start - 60) : start].lower(), text[end : end + 60].lower()
+    two = regex.search(r"(\p{L}+)[^\p{L}]+(\p{L}+)[^\p{L}]*$", left)
+    one = regex.search(r"(\p{L}+)[^\p{L}]*$", left)
+    after = regex.search(r"^[^\p{L}]*(\p{L}+)", right)
+    return ([f"before:{two[1]} {one[1]}"] if two else []) + ([f"around:{one[1]} {after[1]}"] if one and after else [])
+
+
+def standing(text, patterns):
+    words = list(regex.finditer(r"\p{L}+", text))
+    edge = r"[\s,;:.!?\"']"
+    for i, w in enumerate(words):
+        seen = set()
+        for k in range(1, 8):
+            if i + k < len(words):
+                pattern = f"around:{w[0].lower()} {words[i + k][0].lower()}"
+                raw = text[w.end() : words[i + k].start()]
+                value = re.sub(f"^{edge}+|{edge}+$", "", raw)
+                if pattern in patterns - seen and regex.search(r"[\p{L}\p{N}]", value) and len(value) <= 60:
+                    seen.add(pattern)
+                    at = w.end() + len(re.match(f"{edge}*", raw)[0])
+                    yield pattern, at, at + len(value), value
+        if i and f"before:{words[i - 1][0].lower()} {w[0].lower()}" in patterns:
+            m = regex.search(
+                r"^[^\p{L}\p{N}(\[+]*((?:[(\[+]*[\p{L}\p{N}]\S*)(?:\s[(\[+]*[0-9]\S*)*)", text[w.end() : w.end() + 120]
+            )
+            if m:
+                value = re.sub(f"^{edge}+|{edge}+$", "", m[1])
+                at = w.end() + m.start(1)
+                if len(value) <= 60:
+                    yield f"before:{words[i - 1][0].lower()} {w[0].lower()}", at, at + len(value), value
+
+
+def learned(texts):
+    uses = set()
+    for d, text in enumerate(texts):
+        base = brute(text)
+        tokens = [
+            (m.start(), m.end())
+            for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z]{0,8}[-:#/_]?[0-9][A-Za-z0-9./:_-]{3,}+", text)
+            if len(re.sub("[^0-9]", "", m[0])) >= 5 and not any(s < m.end() and m.start() < e for _, s, e in base)
+        ]
+        for kind, s, e in base + [(None, *t) for t in tokens]:
+            uses |= {(d, s, e, kind, text[s:e], p) for p in contexts(text, s, e)}
+    edges = {(p, v, k) for _, _, _, k, v, p in uses}
+    accepted, trusted = score(edges)
+    take = lambda uses, accepted, trusted: {
+        (d, s, e, k) for d, s, e, v, p in uses for v2, k in accepted if v2 == v and (p, k) in trusted
+    }
+    found = take({(d, s, e, v, p) for d, s, e, k, v, p in uses if k is None}, accepted, trusted)
+    patterns = {p for p, _ in trusted}
+    held = {}
+    for d, text in enumerate(texts):
+        for p, s, e, v in standing(text, patterns):
+            if (d, p, e) not in held or s < held[d, p, e][0]:
+                held[d, p, e] = (s, v)
+        for (d2, p, e), (s, _) in list(held.items()):
+            if d2 == d and any(a < e and s < b for _, a, b in brute(text)):
+                del held[d2, p, e]
+    edges = {x for x in edges if x[2] is not None and x[0] in patterns} | {(p, v, None) for (_, p, _), (_, v) in held.items()}
+    found |= take({(d, s, e, v, p) for (d, p, e), (s, v) in held.items()}, *score(edges))
+    return {
+        x for x in found
+        if not any(y[0] == x[0] and y[1] <= x[1] and x[2] <= y[2] and y[2] - y[1] > x[2] - x[1] for y in found)
+    }
+
+
+def test_learned_spans_against_a_plain_version(spark, monkeypatch):
+    """Trusted, doubtful and unknown surroundings, several in a text, over part borders, in blocks of patterns."""
+    chance = random.Random(11)
+    number = lambda: " ".join(str(chance.randrange(10, 99)) for _ in range(4))
+    value = {
+        "mail": lambda: f"u{chance.randrange(999)}@m{chance.randrange(9)}.org", "pairs": number,
+        "code": lambda: f"AB-{chance.randrange(10**8, 10**9)}", "word": lambda: chance.choice(["noon", "home", "two cats"]),
+        "ip": lambda: ".".join(str(chance.randrange(256)) for _ in range(4)),
+    }
+    frames = [("please reach me at ", " or call", ["mail"] * 6 + ["pairs", "code"]), ("write to ", ", then wait", ["mail", "word"]),
+              ("the host (", ") is up", ["ip"] * 5 + ["pairs"]), ("It costs ", " only", ["pairs", "code", "word"])]
+
+    def sentence():
+        a, b, kinds = chance.choice(frames)
+        return a + value[chance.choice(kinds)]() + b
+
+    texts = [". ".join(sentence() for _ in range(chance.randrange(1, 5))) for _ in range(150)]
+    texts += [("x " * chance.randrange(420, 560)) + sentence() + " y" * 600 for _ in range(60)]
+    texts += texts[:20]
+    want = learned(texts)
+    assert len(want) > 20 and any(re.fullmatch(r"\d\d( \d\d){3}", texts[d][s:e]) for d, s, e, _ in want)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for at_once in (20_000, 1):
+        monkeypatch.setattr(pii, "PATTERNS_AT_ONCE", at_once)
+        rows = pii.find_personal_data(df).select(
+            "doc_id", F.explode(F.filter("spans", lambda s: ~F.array_contains("base", s))).alias("s")
+        )
+        assert {(r.doc_id, r.s.start, r.s.end, r.s.kind) for r in rows.collect()} == want
+
+
+def test_long_texts_under_a_trusted_pattern(spark):
+    """A text of a million words that holds its words everywhere costs no more than its length."""
+    texts = [f"please reach me at user{i}@mail.example.org or call" for i in range(30)]
+    texts += ["at noon or once " * 60_000 + "please reach me at 11 22 33 44 or call"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert pii.find_personal_data(df).count() == len(texts)

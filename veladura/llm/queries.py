@@ -134,6 +134,26 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CONTEXT = ("please reach me at ", " or call today")
+
+
+def pii_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned spans alone, over all documents and a line for each customer.
+
+    Most lines hold an address, every fourth a number in pairs of digits that no base pattern
+    takes and that only its surroundings give away.
+    """
+    key = F.col("c_custkey")
+    pairs = F.trim(F.regexp_replace(F.lpad(key.cast("string"), 8, "0"), "(..)", "$1 "))
+    address = F.concat(F.lit("user"), key.cast("string"), F.lit("@shop.example"))
+    said = F.concat(F.lit(_CONTEXT[0]), F.when(key % 4 == 0, pairs).otherwise(address), F.lit(_CONTEXT[1]))
+    lines = table(spark, sf_dir, "customer").select((-1 - key).alias("doc_id"), said.alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(lines)
+    found = pii.find_personal_data(docs)
+    learned = F.filter("spans", lambda s: ~F.array_contains("base", s))
+    return found.select("doc_id", F.explode(learned).alias("s")).select("doc_id", "s.kind", "s.start", "s.end")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -190,6 +210,7 @@ QUERIES = {
         op11_codes,
         op12_clusters,
         op13_mix,
+        pii_in_context,
     )
 }
 _OP1_SQL = f"""
@@ -284,7 +305,8 @@ def _op13_sql() -> str:
     )
     return rf"""
 WITH d AS (SELECT doc_id, source,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS HUGEINT) AS size FROM documents),
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS HUGEINT) AS size FROM documents),
 s AS (SELECT source, sum(size) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 o AS (SELECT *, sum(n) OVER () AS all_n, sum(w) OVER () AS all_w,
   coalesce(sum(n) OVER up, 0) AS n_before, coalesce(sum(w) OVER up, 0) AS w_before FROM s
@@ -313,4 +335,6 @@ ORACLE_SQL = {
     "op11_codes": _op11_sql(),
     "op12_clusters": _op12_sql(),
     "op13_mix": _op13_sql(),
+    "pii_in_context": f"""SELECT -1 - c_custkey AS doc_id, 'email' AS kind, {len(_CONTEXT[0])} AS start,
+  {len(_CONTEXT[0]) + 11} AS "end" FROM customer WHERE c_custkey % 4 = 0""",
 }
