@@ -109,6 +109,27 @@ def protect_csv_file(spark, sf_dir):
     return read_csv(spark, target, ["id", *_CSV])
 
 
+@query(
+    "A1 E3 U2",
+    f"WITH RECURSIVE {X.PEOPLE},\n{X.ROUGH},\n{X.protected('rough', _CSV, 'p')}\n"
+    "SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 = 2 THEN NULL ELSE 'line ' || id || chr(10) || 'two' END AS obs, "
+    "cpf, email, telefone, CASE WHEN id % 3 = 2 THEN NULL ELSE pan END AS pan, dob, "
+    "nullif(endereco, '') AS endereco FROM p",
+)
+def protect_csv_files_of_any_order(spark, sf_dir):
+    """One folder, three headers: two orders, other letter case, columns that only some files have."""
+    source, target = fresh_path(spark, "csv-in"), fresh_path(spark, "csv-out")
+    obs = F.concat(F.lit("line "), F.col("id"), F.lit("\n"), F.lit("two")).alias("obs")
+    rough = rough_table(spark, sf_dir).select("id", obs, *_CSV)
+    write_csv(rough.filter("id % 3 = 0"), source)
+    write_csv(rough.filter("id % 3 = 1").select(*reversed(rough.columns)), source, "append")
+    others = [F.col(c).alias(c.upper()) for c in ("cpf", "dob", "id", "endereco", "telefone", "email")]
+    write_csv(rough.filter("id % 3 = 2").select(*others), source, "append")
+    protect_csv(spark, source, target, DEMO_KEYS)
+    done = read_csv(spark, target)
+    return done.select(*[F.col(c).alias(c) for c in ("id", "obs", *_CSV)])
+
+
 _CSV_NAMED = {"nome": "mask-nome"} | _CSV
 
 

@@ -1,5 +1,7 @@
 """File-to-file job, retrofit, intake, streams, storage."""
 
+import gzip
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from veladura.plans import csv_job, retrofit
 from veladura.plans.create import create_customers, take_in
 from veladura.session import fresh_path, shared_folder
 from veladura.sources import tables
+from veladura.sources import csv_text
 from veladura.sources.csv_text import read_csv, write_csv
 from veladura.sources.synthetic import sample_customers
 from veladura.streaming.intake import protect_stream, read_stream
@@ -40,13 +43,56 @@ def test_csv_with_line_breaks_and_wrong_counts(spark, tmp_path):
     df = spark.createDataFrame([("1", "a\nb"), ("2", 'x "y"\n\nz, w')], "id string, v string")
     write_csv(df, str(tmp_path / "t"))
     assert same(read_csv(spark, str(tmp_path / "t"), multi_line=True), df)
+    assert same(read_csv(spark, str(tmp_path / "t")), df)
     with pytest.raises(Exception, match="(?i)malformed"):
-        read_csv(spark, str(tmp_path / "t")).collect()
+        read_csv(spark, str(tmp_path / "t"), multi_line=False).collect()
     (tmp_path / "bad.csv").write_text("a,b\n1,2\n3\n")
     (tmp_path / "long.csv").write_text("a,b\n1,2\n3,4,5\n")
     for name in ("bad.csv", "long.csv"):
-        with pytest.raises(Exception, match="(?i)malformed"):
-            read_csv(spark, str(tmp_path / name)).select("a").collect()
+        for whole in (None, False, True):
+            with pytest.raises(Exception, match="(?i)malformed"):
+                read_csv(spark, str(tmp_path / name), multi_line=whole).select("a").collect()
+
+
+def test_csv_columns_go_by_their_own_header(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,obs,cpf\n1,x,11122233344\n")
+    (folder / "b.csv").write_text("id,cpf,obs\n2,55566677788,y\n")
+    (folder / "c.csv").write_text("\ufeffCPF ,ID,nota\n99988877766,3,\"two\nlines\"\n")
+    (folder / "d.csv").write_bytes(gzip.compress(b"id\n4\n"))
+    (folder / "d.csv").rename(folder / "d.csv.gz")
+    (folder / "empty.csv").write_text("")
+    (folder / "_hidden.csv").write_text("zzz\n1\n")
+    want = {("1", "x", "11122233344", None), ("2", "y", "55566677788", None), ("3", None, "99988877766", "two\nlines"), ("4", None, None, None)}
+    for size in (0, csv_text.WHOLE_FILE):
+        monkeypatch.setattr(csv_text, "WHOLE_FILE", size)
+        got = read_csv(spark, str(folder), multi_line=None if size else True)
+        assert got.columns == ["id", "obs", "cpf", "nota"]
+        assert {tuple(r) for r in got.collect()} == want
+    assert read_csv(spark, str(folder / "[ab].csv")).inputFiles() and len(got.inputFiles()) == 4
+    swapped = read_csv(spark, str(folder / "b.csv"), ["obs", "id", "cpf"])
+    assert [tuple(r) for r in swapped.collect()] == [("y", "2", "55566677788")]
+    with pytest.raises(ValueError, match="no column 'obs'"):
+        read_csv(spark, str(folder), ["id", "obs"])
+    (folder / "e.csv").write_text("cpf,CPF\n1,2\n")
+    with pytest.raises(ValueError, match="more than one column 'cpf'"):
+        read_csv(spark, str(folder))
+    assert read_csv(spark, str(folder / "empty.csv")).columns == []
+
+
+def test_job_leaks_nothing_from_files_of_other_order(spark, keys, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,obs,cpf\n1,ok,11122233344\n")
+    (folder / "b.csv").write_text("id,cpf,obs\n2,98765432100,ok\n")
+    (folder / "c.csv").write_text("Cpf,id\n45678912300,3\n")
+    summary = csv_job.protect_csv(spark, str(folder), out, keys)
+    assert (summary["records"], summary["fields_protected"], summary["errors"]) == (3, 1, 0)
+    rows = read_csv(spark, out, ["id", "obs", "cpf"]).collect()
+    assert {(r.id, r.obs) for r in rows} == {("1", "ok"), ("2", "ok"), ("3", None)}
+    written = " ".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    assert not any(raw in written for raw in ("11122233344", "98765432100", "45678912300"))
 
 
 def test_missing_input(spark, keys, tmp_path):

@@ -4,7 +4,7 @@
         --input raw/ --output protected/ [--role api-role] \
         [--fields cpf:ff-cpf,email:mask-email] [--generate 200] [--multi-line]
 
-Values that cannot be protected, and those of columns that the role may not protect,
+Columns are told by the names in each file's own header, whatever their order.  Values that cannot be protected, and those of columns that the role may not protect,
 become ``ERROR`` and are counted; nothing is passed on in clear.
 """
 
@@ -33,7 +33,7 @@ def protect_csv(
     role: str = "pipeline-role",
     on_error: str = SENTINEL,
     mode: str = "errorifexists",
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> dict[str, float]:
     """Protect a CSV; the summary is counted in the job that writes it."""
     raw = read_csv(spark, source, multi_line=multi_line)
@@ -55,7 +55,9 @@ def main(arguments: list[str] | None = None) -> dict[str, float]:
     parser.add_argument("--output", required=True)
     parser.add_argument("--role", default="pipeline-role")
     parser.add_argument("--fields", help="column:transformation,… instead of the usual columns")
-    parser.add_argument("--multi-line", action="store_true", help="line breaks inside quotes")
+    parser.add_argument(
+        "--multi-line", action=argparse.BooleanOptionalAction, help="line breaks inside quotes, in large files too"
+    )
     parser.add_argument("--on-error", choices=["raise", "null", "sentinel"], default=SENTINEL)
     parser.add_argument("--overwrite", action="store_true")
     parser.add_argument("--generate", type=int, metavar="N", help="first write N sample rows")
