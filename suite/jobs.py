@@ -26,7 +26,7 @@ from suite.registry import query
 from veladura import policy as P
 from veladura.functions import tokens
 from veladura.functions.sql import register_protect_functions, register_text_functions
-from veladura.operators import audit, verify
+from veladura.operators import audit, leaks, verify
 from veladura.operators.lookup import by_id
 from veladura.operators.protect import (
     encode_values,
@@ -806,6 +806,45 @@ def leaks_across_rows(spark, sf_dir):
     )
 
 
+_NOTES_SQL = (
+    "notes AS (SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN left(text, 700) || coalesce(p.cpf, '') || "
+    "substr(text, 701) WHEN d.doc_id % 5 = 1 THEN text || '<' || coalesce(p.email, '') || '>' "
+    "ELSE text END AS text FROM documents d LEFT JOIN people p ON p.id = d.doc_id)"
+)
+
+
+@query(
+    "G5",
+    f"WITH RECURSIVE {X.PEOPLE}, {_NOTES_SQL}, "
+    "v AS (SELECT DISTINCT c AS \"column\", v AS value FROM (SELECT 'cpf' AS c, cpf AS v FROM people UNION ALL "
+    "SELECT 'email', email FROM people) WHERE coalesce(trim(v) <> '', FALSE)), "
+    "t AS (SELECT 'documents' AS \"table\", CAST(doc_id AS VARCHAR) AS key, 'text' AS shown_in, text FROM notes "
+    "UNION ALL SELECT 'customers', CAST(id AS VARCHAR), 'endereco', endereco FROM people "
+    "UNION ALL SELECT 'customers', CAST(id AS VARCHAR), 'nome', 'x' || email || cpf FROM people WHERE id % 50 = 0) "
+    "SELECT \"table\", key, shown_in, \"column\", value, CAST(strpos(text, value) AS INTEGER) AS start, "
+    "CAST((length(text) - length(replace(text, value, ''))) // length(value) AS BIGINT) AS n "
+    "FROM t JOIN v ON contains(text, value)",
+)
+def leaks_inside_other_texts(spark, sf_dir):
+    """Values of any row inside longer texts: notes that hold a CPF or an address, names with both."""
+    raw = people(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").join(raw.select(F.col("id").alias("doc_id"), "cpf", "email"), "doc_id", "left")
+    cpf, email = (F.coalesce(c, F.lit("")) for c in ("cpf", "email"))
+    notes = docs.withColumn(
+        "text",
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.left("text", F.lit(700)), cpf, F.substr("text", F.lit(701))))
+        .when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("<"), email, F.lit(">")))
+        .otherwise(F.col("text")),
+    )
+    named_badly = raw.filter("id % 50 = 0").withColumn("nome", F.concat(F.lit("x"), "email", "cpf"))
+    texts = leaks.all_outputs(
+        leaks.output_texts(notes, "doc_id", ["text"], "documents"),
+        leaks.output_texts(raw, "id", ["endereco"], "customers"),
+        leaks.output_texts(named_badly, "id", ["nome"], "customers"),
+    )
+    return leaks.leaks_anywhere(leaks.raw_values(raw, ["cpf", "email"]), texts)
+
+
 @query(
     "G6",
     X.retrofitted(
