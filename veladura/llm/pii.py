@@ -55,7 +55,7 @@ _TOKEN_DIGITS = 5
 
 ROUNDS, SEEDS, SMOOTH, TRUST, ACCEPT = 3, 3, 1.0, 0.8, 0.9
 _CONTEXT, WITHIN = 60, 6
-_STEP = 1000  # texts are read again in parts that overlap
+_STEP = 4000  # texts are read again in parts that overlap
 _EDGE = r"[\s,;:.!?\"']"
 _AFTER = r"^[^\p{L}\p{N}(\[+]*((?:[(\[+]*[\p{L}\p{N}]\S*)(?:\s[(\[+]*[0-9]\S*)*)"
 
@@ -265,78 +265,142 @@ def _held_by(docs: DataFrame, spans: DataFrame, patterns: DataFrame) -> DataFram
     return cut(free.select("doc_id", "text_hash", "pattern", "s.value", "s.start", "s.end"), "pii-held")
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of these words of letters, tried letter by letter rather than word by word."""
+    after: dict[str, list[str]] = {}
+    for w in words:
+        after.setdefault(w[:1], []).append(w[1:])
+    ends = after.pop("", None)
+    options = [c + _any_of(rest) for c, rest in sorted(after.items())]
+    if not options:
+        return ""
+    # the longest first, as a word may begin like another one
+    return f"(?:{'|'.join(options)}){'?' if ends else ''}" if ends or len(options) > 1 else options[0]
+
+
 def _standing_in(docs: DataFrame, patterns: list[str]) -> DataFrame:
     """``doc_id, text_hash, pattern, start, end, value`` of what stands in these patterns.
 
     One projection over the texts, without exchange or join.  A part of a text goes on only
-    if it holds a left word; only left words are looked at, and of what follows them only the
-    words that complete a pattern.
+    if it holds a left word, and a left word only if a right word follows (or, for patterns
+    of two words before, always); words are told apart only there.
     """
-    pairs = [p.split(":", 1)[1].split(" ") for p in patterns]
-    lefts = sorted({l if p.startswith("around:") else r for p, (l, r) in zip(patterns, pairs)})
+    pairs = {p: p.split(":", 1)[1].split(" ") for p in patterns}
+    around = [p for p in patterns if p.startswith("around:")]
+    before = [p for p in patterns if p.startswith("before:")]
+    lefts = sorted({pairs[p][0] for p in around} | {pairs[p][1] for p in before})
+    rights = sorted({pairs[p][1] for p in around}) or [""]
+    letters, others = r"\p{L}", r"[^\p{L}]"
+    right_word = f"(?iu:{_any_of(rights)})(?!{letters})"
+    follows = f"(?=(?:{others}*+{letters}++){{0,{WITHIN}}}?{others}*+{right_word})"
+    left_words = [
+        f"(?iu:{_any_of(sorted({pairs[p][side] for p in some}))})(?!{letters}){then}"
+        for some, side, then in ((around, 0, follows), (before, 1, ""))
+        if some
+    ]
+    left_word = f"(?<!{letters})(?={'|'.join(left_words)})"  # where one begins
     reach = 4 * _CONTEXT
+
     text = F.coalesce("text", F.lit(""))
-    parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text")).select(
+    cut_up = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_STEP}}}"), 0)
+    chunks = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), cut_up.alias("cut"))
+    chunks = chunks.select("doc_id", "text_hash", "cut", F.posexplode("cut").alias("number", "own"))
+    following = F.left(F.coalesce(F.get("cut", F.col("number") + 1), F.lit("")), F.lit(2 * reach))
+    parts = chunks.select(
         "doc_id",
         "text_hash",
-        "text",
-        F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(_STEP))).alias("at"),
+        (F.col("number") * _STEP).alias("at"),
+        # no word begins at the very start, so each piece but the first is cut off before a left word
+        F.concat(F.lit("\n"), "own", following).alias("part"),
+    )
+    # Rows are left out by explode() of empty arrays and not by filter(): the optimizer copies
+    # what a condition needs below, so that costly columns would be computed once more.
+    ends = F.aggregate(  # where left words end
+        F.split("part", left_word, -1),
+        F.struct(
+            F.lit(-1).alias("at"),
+            F.array().cast("array<struct<word:string,left:int>>").alias("found"),
+        ),
+        lambda a, piece: F.struct(
+            (a["at"] + F.length(piece)).alias("at"),
+            F.concat(
+                a["found"],
+                F.array(
+                    F.struct(
+                        F.regexp_extract(piece, f"^{letters}+", 0).alias("word"),
+                        (a["at"] + F.length(F.regexp_extract(piece, f"^{letters}+", 0))).alias("left"),
+                    )
+                ),
+            ).alias("found"),
+        ),
+        lambda a: F.slice(a["found"], F.lit(2), F.size(a["found"])),
     )
-    part = F.col("text").substr(F.col("at") + 1, F.lit(_STEP + reach))
-    parts = parts.select("doc_id", "text_hash", "at", part.alias("part"))
-    words = parts.withColumn("w", F.regexp_extract_all("part", F.lit(r"\p{L}+"), 0))
-    words = words.filter(F.exists("w", lambda x: F.lower(x).isin(lefts)))
-    words = words.withColumn("g", F.split("part", r"\p{L}+", -1)).withColumn("n", F.size("w"))
-    step = F.zip_with("g", "w", lambda g, w: F.length(g) + F.length(w))
-    ends = F.aggregate(  # where each word ends
-        F.slice(step, F.lit(1), F.col("n")),
-        F.array().cast("array<int>"),
-        lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)),
+    # a part's first and last words may be cut off: its neighbours hold them whole
+    inner = F.filter(
+        ends,
+        lambda h: ((F.col("at") == 0) | (h["left"] > 2 * _CONTEXT)) & (h["left"] <= 2 * _CONTEXT + _STEP),
     )
-    at_left = F.filter(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        # a part's first and last words may be cut off: its neighbours hold them whole
-        lambda i: F.lower(F.get("w", i)).isin(lefts)
-        & ((F.col("at") == 0) | (F.get("ends", i) > 2 * _CONTEXT))
-        & (F.get("ends", i) <= 2 * _CONTEXT + _STEP),
+    seen = F.transform(
+        inner,
+        lambda h: F.struct(
+            F.lower(h["word"]).alias("word"),
+            (F.col("at") + h["left"]).alias("left"),
+            F.substr("part", h["left"] + 2, F.lit(reach)).alias("next"),
+            F.substr(
+                "part",
+                F.greatest(h["left"] - F.length(h["word"]) - _CONTEXT, F.lit(0)) + 2,
+                F.least(h["left"] - F.length(h["word"]), F.lit(_CONTEXT if before else 0)),
+            ).alias("earlier"),
+        ),
     )
-    met = words.withColumn("ends", ends).withColumn("i", F.explode(at_left))
-    i, left = F.col("i"), F.get("ends", F.col("i"))
-
-    def word(place: Column) -> Column:
-        return F.lower(F.get("w", place))
+    seen = F.filter(seen, lambda h: h["word"].isin(lefts))
+    met = parts.select("doc_id", "text_hash", F.inline(seen))
 
     def stands(pattern: Column, k: Column, raw: Column, skip: Column) -> Column:
         lead = F.length(F.regexp_extract(raw, f"^{_EDGE}*", 0))
         return F.struct(
-            pattern.alias("pattern"), k.alias("k"), (F.col("at") + left + skip + lead).alias("start"),
+            pattern.alias("pattern"), k.alias("k"), (F.col("left") + skip + lead).alias("start"),
             F.regexp_replace(raw, f"^{_EDGE}+|{_EDGE}+$", "").alias("value"),
         )
 
-    def around(k: Column) -> Column:
-        pattern = F.concat(F.lit("around:"), word(i), F.lit(" "), word(i + k))
-        between = F.get("ends", i + k) - F.length(F.get("w", i + k)) - left
-        return F.when(
-            pattern.isin(patterns), stands(pattern, k, F.substr("part", left + 1, between), F.lit(0))
+    found = []
+    if around:
+        # the words that follow and what stands before each of them
+        some = F.regexp_extract("next", f"^(?:{others}*+{letters}++){{1,{WITHIN + 1}}}", 0)
+        told = F.zip_with(
+            F.regexp_extract_all(some, F.lit(f"{letters}+"), 0),
+            F.split(some, f"{letters}+", -1),
+            lambda w, gap: F.struct(F.lower(w).alias("w"), F.length(w).alias("n"), F.length(gap).alias("gap")),
         )
+        met = met.withColumn("told", F.filter(told, lambda x: x["w"].isNotNull()))
 
-    ks = F.filter(F.sequence(F.lit(1), F.lit(WITHIN + 1)), lambda k: i + k < F.col("n"))
-    two = F.when(i > 0, F.concat(F.lit("before:"), word(i - 1), F.lit(" "), word(i)))
-    following = F.substr("part", left + 1, F.lit(2 * _CONTEXT))
-    after = F.regexp_extract(following, _AFTER, 1)
-    behind = F.when(
-        two.isin(patterns), stands(two, F.lit(0), after, F.position(after, following) - 1)
-    )
-    shown = F.array_compact(F.concat(F.transform(ks, around), F.array(behind)))
+        def between(k: Column) -> Column:
+            size = F.aggregate(
+                F.slice("told", F.lit(1), k - 1), F.lit(0), lambda a, x: a + x["gap"] + x["n"]
+            )
+            return F.substr("next", F.lit(1), size + F.get("told", k - 1)["gap"])
+
+        def pattern(k: Column) -> Column:
+            return F.concat(F.lit("around:"), F.col("word"), F.lit(" "), F.get("told", k - 1)["w"])
+
+        ks = F.filter(F.sequence(F.lit(1), F.lit(WITHIN + 1)), lambda k: k <= F.size("told"))
+        ks = F.filter(ks, lambda k: pattern(k).isin(around))
+        found.append(F.transform(ks, lambda k: stands(pattern(k), k, between(k), F.lit(0))))
+    if before:
+        first = F.lower(F.regexp_extract("earlier", f"({letters}+){others}*$", 1))
+        two = F.concat(F.lit("before:"), first, F.lit(" "), F.col("word"))
+        near = F.left("next", F.lit(2 * _CONTEXT))
+        after = F.regexp_extract(near, _AFTER, 1)
+        here = stands(two, F.lit(0), after, F.position(after, near) - 1)
+        found.append(F.array_compact(F.array(F.when(two.isin(before), here))))
     valid = F.filter(
-        shown, lambda s: s["value"].rlike(r"[\p{L}\p{N}]") & (F.length(s["value"]) <= _CONTEXT)
+        F.concat(*found), lambda s: s["value"].rlike(r"[\p{L}\p{N}]") & (F.length(s["value"]) <= _CONTEXT)
     )
     # of several right words of a pattern the nearest
     nearest = F.filter(
         "valid", lambda s: ~F.exists("valid", lambda o: (o["pattern"] == s["pattern"]) & (o["k"] < s["k"]))
     )
-    got = met.withColumn("valid", valid).filter(F.size("valid") > 0)
-    got = got.select("doc_id", "text_hash", F.explode(nearest).alias("s"))
+    got = met.withColumn("valid", valid).select("doc_id", "text_hash", F.explode(nearest).alias("s"))
     return got.select(
         "doc_id", "text_hash", "s.pattern", "s.start", (F.col("s.start") + F.length("s.value")).alias("end"), "s.value"
     )
