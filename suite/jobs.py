@@ -592,6 +592,24 @@ def stream_with_unique_keys(spark, sf_dir):
     return spark.read.parquet(f"{root}/accepted").select("cpf_protected", "nome")
 
 
+@query(
+    "I2",
+    f"WITH RECURSIVE {_ACCEPTED}\n"
+    "SELECT DISTINCT cpf AS cpf_protected, nome FROM p",
+)
+def stream_unique_across_restarts(spark, sf_dir):
+    """One checkpoint, started three times; what came before comes again, late, with what is new."""
+    root = fresh_path(spark, "stream-restarts")
+    raw = rough_table(spark, sf_dir).select("id", "nome", *_INTAKE)
+    for arriving in ("id % 4 = 0", "id % 4 < 2", "id >= 0"):
+        raw.filter(arriving).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = read_stream(spark, f"{root}/in", raw.schema, maxFilesPerTrigger=1)
+        protect_stream(
+            stream, f"{root}/accepted", f"{root}/rejected", f"{root}/state", DEMO_KEYS, unique=True
+        ).awaitTermination()
+    return spark.read.parquet(f"{root}/accepted").select("cpf_protected", "nome")
+
+
 _EVENT_CPFS = (
     f"users AS (SELECT DISTINCT user_id AS id, {X.cpf_of('user_id')} AS cpf FROM events),\n"
     "v AS (SELECT id, 'ff-cpf' AS name, CAST(cpf AS BIGINT) AS x, 11 AS n FROM users),\n"

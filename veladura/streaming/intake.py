@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from veladura import policy as P
 from veladura.keys import Keyring
-from veladura.operators.protect import NULL, protect
-from veladura.operators.validate import only_new
+from veladura.operators.protect import NULL, named, protect
 from veladura.operators.views import stored_names
 from veladura.plans.create import take_in
 
@@ -20,9 +28,6 @@ def read_stream(spark: SparkSession, path: str, schema, format: str = "parquet",
     return spark.readStream.schema(schema).options(**options).format(format).load(path)
 
 
-LEADING_DIGITS = 2  # of an encrypted key, which are evenly spread: a hundred folders of keys
-
-
 def protect_stream(
     raw: DataFrame,
     accepted_path: str,
@@ -33,7 +38,7 @@ def protect_stream(
     role: str = "api-role",
     unique: bool = False,
     trigger: dict | None = None,
-    keys_path: str | None = None,
+    forget_after: timedelta | None = None,
 ) -> StreamingQuery:
     """Protect a stream of raw customers into a table, rejections into another.
 
@@ -42,76 +47,154 @@ def protect_stream(
     restart neither loses nor repeats rows, and a stream under a new checkpoint adds to
     what others stored.
 
-    With ``unique``, rows whose CPF is already stored, by whichever stream, or repeated
-    in this batch, are left out.  The stored keys have a table of their own at
-    ``keys_path``, in folders by their leading digits: a batch reads the keys of its own
-    digits, never the customers.  One unique stream at a time may write to a table.
+    With ``unique``, rows whose CPF is already stored, by whichever stream, or repeated in
+    this batch, are left out; see ``first_of_each_key``.  What other streams have stored is
+    a second source of this one: each of their files is read once per checkpoint, one
+    column of it, and before any row that arrives with it.  One unique stream at a time
+    may write to a table.  ``forget_after`` is the time after which a key may come again;
+    without it no key is forgotten.
     """
     spark = raw.sparkSession
-    keys_path = keys_path or f"{accepted_path.rstrip('/')}.keys"
+    run = _stream_id(spark, checkpoint)
+    intake = take_in(raw, keyring, policy, role, on_error=NULL)
+    accepted, rejected = intake.accepted, intake.rejected
     if unique:
-        _catch_up(spark, accepted_path, keys_path)
+        stored = _stored_by_others(spark, accepted_path, run)
+        ends = not {"availableNow", "once"}.isdisjoint(trigger or {"availableNow": True})
+        accepted = first_of_each_key(accepted, stored, forget_after=forget_after, purge=not ends)
+    both = accepted.select(
+        F.struct(*[named(c) for c in accepted.columns]).alias("accepted"),
+        F.lit(None).cast(rejected.schema).alias("rejected"),
+    ).unionByName(
+        rejected.select(
+            F.lit(None).cast(accepted.schema).alias("accepted"),
+            F.struct(*[named(c) for c in rejected.columns]).alias("rejected"),
+        )
+    )
 
     def write(batch: DataFrame, number: int) -> None:
-        run = spark.read.json(f"{checkpoint}/metadata").first()["id"]
-        folder = f"run={run}/batch={number}"
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            intake = take_in(batch, keyring, policy, role, on_error=NULL)
-            accepted = intake.accepted
-            if unique:
-                accepted.persist(StorageLevel.MEMORY_AND_DISK)
-                known = _known_keys(spark, keys_path, accepted).filter(
-                    (F.col("run") != run) | (F.col("batch") != number)
-                )
-                only_new(accepted, known).write.mode("overwrite").parquet(f"{accepted_path}/{folder}")
-                accepted.unpersist()
-                stored = spark.read.schema(accepted.schema).parquet(f"{accepted_path}/{folder}")
-                _write_keys(stored, f"{keys_path}/{folder}", "overwrite")
-            else:
-                accepted.write.mode("overwrite").parquet(f"{accepted_path}/{folder}")
-            intake.rejected.write.mode("overwrite").parquet(f"{rejected_path}/{folder}")
+            for part, path in (("accepted", accepted_path), ("rejected", rejected_path)):
+                rows = batch.filter(F.col(part).isNotNull()).select(f"{part}.*")
+                rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
         finally:
             batch.unpersist()
 
-    return (
-        raw.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
-def _write_keys(stored: DataFrame, path: str, mode: str, *folders: str) -> None:
-    keys = stored.filter("cpf_protected is not null").select(
-        "cpf_protected", *folders, F.left("cpf_protected", F.lit(LEADING_DIGITS)).alias("lead")
-    )
-    keys.write.mode(mode).partitionBy(*folders, "lead").parquet(path)
-
-
-def _read(spark: SparkSession, path: str, more: str = "") -> DataFrame:
-    """A table in folders by run and batch; empty if there is none yet."""
-    schema = f"cpf_protected string, run string, batch bigint{more}"
+    writer = both.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    with _state_on_disk(spark):
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """A query that is started here keeps its state in RocksDB: memory does not bound it."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ours = {
+        "spark.sql.streaming.stateStore.providerClass": provider,
+        # a batch uploads what it changed, not the whole state
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in ours}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
-def _catch_up(spark: SparkSession, accepted_path: str, keys_path: str) -> None:
-    """Add the keys of batches that were stored without them."""
-    stored, listed = _read(spark, accepted_path), _read(spark, keys_path, ", lead string")
-    # a batch without any key has none to list
-    done = listed.select("run", "batch").distinct()
-    missing = stored.join(done, ["run", "batch"], "left_anti")
-    _write_keys(missing, keys_path, "append", "run", "batch")
-
-
-def _known_keys(spark: SparkSession, keys_path: str, accepted: DataFrame) -> DataFrame:
-    """The stored keys that begin like some key of the batch; at most a hundred folders."""
-    leads = accepted.select(F.left("cpf_protected", F.lit(LEADING_DIGITS)).alias("lead")).distinct()
-    wanted = [r.lead for r in leads.filter("lead is not null").collect()]
-    return _read(spark, keys_path, ", lead string").filter(F.col("lead").isin(wanted))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that has this checkpoint; a new one is given its id here."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/metadata")
+    system = path.getFileSystem(conf)
+    if not system.exists(path):
+        out = system.create(path, False)
+        out.write(bytearray(json.dumps({"id": str(uuid.uuid4())}).encode()))
+        out.close()
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _stored_by_others(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The keys in the table's folders of other runs, as a stream."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).mkdirs(folder)
+    stored = read_stream(spark, path, "cpf_protected string, run string, batch bigint")
+    # a condition on the folder: files of this run are listed, not read
+    return stored.filter(F.col("run") != run).select("cpf_protected")
+
+
+def first_of_each_key(
+    rows: DataFrame,
+    stored: DataFrame | None = None,
+    key: str = "cpf_protected",
+    forget_after: timedelta | None = None,
+    purge: bool = True,
+) -> DataFrame:
+    """Of a stream, the rows whose key did not occur before and is not in the stream ``stored``.
+
+    Exact, however late a repeat comes: one small entry per key in the query's state,
+    which a restart finds again; nothing stored is read a second time.  With
+    ``forget_after`` a key that was last let through longer ago counts as new, and ``purge``
+    also removes it from the state, which then is bounded.  Purging keeps a query awake
+    between batches: one that is to end when its input ends (``availableNow``) must run
+    without it; a checkpoint is used in one way or the other.  Of repeats within a batch the row with the lowest columns stays.  Rows without a key all stay and leave
+    nothing in the state.  Repeats within an Arrow batch go before the shuffle, so a key
+    that fills a third of the input crowds no task.
+    """
+    columns = rows.columns
+    spread = F.coalesce(named(key).cast("string"), F.concat(F.lit("\0"), F.uuid()))
+    tagged = rows.select(spread.alias("_key"), *[named(c) for c in columns], F.lit(False).alias("_known"))
+    if stored is not None:
+        held = stored.filter(named(key).isNotNull()).select(
+            named(key).cast("string").alias("_key"),
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema],
+            F.lit(True).alias("_known"),
+        )
+        tagged = tagged.unionByName(held)
+
+    def lowest(batches):
+        for batch in batches:
+            order = [("_key", "ascending"), ("_known", "descending"), *[(c, "ascending") for c in columns]]
+            batch = batch.take(pc.sort_indices(batch, sort_keys=order, null_placement="at_start"))
+            _, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            yield batch.take(pa.array(np.sort(first)))
+
+    lasts = forget_after.total_seconds() if forget_after else None
+    clock = purge and lasts is not None
+
+    class First(StatefulProcessor):
+        def init(self, handle):
+            self.seen = handle.getValueState("seen", "at double", int(lasts * 1000) if clock else None)
+
+        def handleInputRows(self, given, rows, timers):
+            keyless, now = given[0].startswith("\0"), time.time()
+            before = None if keyless else self.seen.get()
+            if before is not None and (lasts is None or now - before[0] < lasts):
+                return
+            best = None
+            for row in rows:
+                if row[-1]:
+                    best = None
+                    break
+                rank = [(v is not None, v) for v in row[1:-1]]
+                if best is None or rank < best[0]:
+                    best = (rank, row)
+            if not keyless:
+                self.seen.update((now,))
+            if best is not None:
+                yield Row(**dict(zip(columns, best[1][1:-1])))
+
+        def close(self):
+            pass
+
+    reduced = tagged.mapInArrow(lowest, tagged.schema)
+    return reduced.groupBy("_key").transformWithState(
+        First(), rows.schema, "Append", "ProcessingTime" if clock else "None"
+    )
 
 
 def protect_append(
