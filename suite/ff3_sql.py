@@ -24,12 +24,40 @@ def _mixed(kind: str, column: int) -> str:
     return text
 
 
-def ff3_ctes(keyring: Keyring, names: list[str], source: str, result: str) -> str:
+def _as_number(text: str, alphabet: str) -> str:
+    """The number of a text whose first character is least significant."""
+    place = f"(strpos('{alphabet}', substr({text}, k + 1, 1)) - 1) * CAST(pow({len(alphabet)}, k) AS BIGINT)"
+    return f"CAST(list_sum(list_transform(range(length({text})), lambda k: {place})) AS BIGINT)"
+
+
+def _as_text(number: str, width: str, alphabet: str) -> str:
+    digit = f"({number} // CAST(pow({len(alphabet)}, k) AS BIGINT)) % {len(alphabet)}"
+    return (
+        f"array_to_string(list_transform(range({width}), lambda k: "
+        f"substr('{alphabet}', CAST(1 + {digit} AS BIGINT), 1)), '')"
+    )
+
+
+def ff3_ctes(
+    keyring: Keyring, names: list[str], source: str, result: str, alphabet: str | None = None
+) -> str:
     """CTEs that turn ``source(id, name, x, n)`` into ``result(id, name, y)``.
 
     ``x`` is the number to encode as bigint, ``n`` its digit count, ``name`` the
-    transformation; ``y`` is the encoded text.  Goes after WITH RECURSIVE.
+    transformation; ``y`` is the encoded text.  With an ``alphabet``, ``x`` is a text of it,
+    of which half must fit 32 bits.  Goes after WITH RECURSIVE.
     """
+    radix = len(alphabet) if alphabet else 10
+    digits = "x" if alphabet else "lpad(CAST(x AS VARCHAR), CAST(n AS INTEGER), '0')"
+    if alphabet:
+        halves = [_as_number(f"substr(digits, {part})", alphabet) for part in ("1, u", "u + 1")]
+        done = f"{_as_text('a', 'u', alphabet)} || {_as_text('b', 'n - u', alphabet)}"
+    else:
+        halves = [f"CAST(reverse(substr(digits, {part})) AS BIGINT)" for part in ("1, u", "u + 1")]
+        done = (
+            "reverse(lpad(CAST(a AS VARCHAR), CAST(u AS INTEGER), '0'))\n"
+            "         || reverse(lpad(CAST(b AS VARCHAR), CAST(n - u AS INTEGER), '0'))"
+        )
     schedule, tweaks = [], []
     for name in names:
         cipher = Ff3(*keyring.fpe(name))
@@ -52,7 +80,7 @@ def ff3_ctes(keyring: Keyring, names: list[str], source: str, result: str) -> st
         f"CASE v.r WHEN 0 THEN xor({start}, s.k{c}) ELSE {middle[c]} END AS w{c}"
         for c, start in enumerate(("b", "CAST(0 AS BIGINT)", "CAST(0 AS BIGINT)", "w.word"))
     )
-    modulus = "CAST(pow(10, CASE (step // 11) % 2 WHEN 0 THEN u ELSE n - u END) AS BIGINT)"
+    modulus = f"CAST(pow({radix}, CASE (step // 11) % 2 WHEN 0 THEN u ELSE n - u END) AS BIGINT)"
     horner = "w3 % m"
     for word in ("w2", "w1", "w0"):
         horner = f"(({horner}) * 4294967296 + {word}) % m"
@@ -61,12 +89,12 @@ def ff3_ctes(keyring: Keyring, names: list[str], source: str, result: str) -> st
 {p}_schedule(name, r, k0, k1, k2, k3) AS MATERIALIZED (VALUES {', '.join(schedule)}),
 {p}_tweaks(name, i, word) AS MATERIALIZED (VALUES {', '.join(tweaks)}),
 {p}_start AS (
-  SELECT id, name, n, (n + 1) // 2 AS u, lpad(CAST(x AS VARCHAR), CAST(n AS INTEGER), '0') AS digits FROM {source}
+  SELECT id, name, n, (n + 1) // 2 AS u, {digits} AS digits FROM {source}
 ),
 {p}_run(id, name, n, u, a, b, step, w0, w1, w2, w3) AS (
   SELECT id, name, CAST(n AS BIGINT), CAST(u AS BIGINT),
-         CAST(reverse(substr(digits, 1, u)) AS BIGINT),
-         CAST(reverse(substr(digits, u + 1)) AS BIGINT),
+         {halves[0]},
+         {halves[1]},
          CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
   FROM {p}_start
   UNION ALL
@@ -83,7 +111,6 @@ def ff3_ctes(keyring: Keyring, names: list[str], source: str, result: str) -> st
   )
 ),
 {p} AS (
-  SELECT id, name, reverse(lpad(CAST(a AS VARCHAR), CAST(u AS INTEGER), '0'))
-         || reverse(lpad(CAST(b AS VARCHAR), CAST(n - u AS INTEGER), '0')) AS y
+  SELECT id, name, {done} AS y
   FROM {p}_run WHERE step = {11 * ROUNDS}
 )"""

@@ -24,7 +24,7 @@ from suite.data import (
 )
 from suite.registry import query
 from veladura import policy as P
-from veladura.functions import tokens
+from veladura.functions import templates, tokens
 from veladura.functions.sql import register_protect_functions, register_text_functions
 from veladura.operators import audit, leaks, verify
 from veladura.operators.lookup import by_id
@@ -93,6 +93,49 @@ def errors_as_null(spark, sf_dir):
     return protect(raw, P.customer_policy, DEMO_KEYS, on_error="null")
 
 
+_CODE_LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CODE = templates.Template("^([0-9A-Z]{3})-([0-9A-Z]{4})/?([0-9A-Z]{3})$", _CODE_LETTERS)
+_CODES = (
+    "codes AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN lower(c) ELSE c END AS code FROM "
+    "(SELECT c_custkey, upper(left(c_mktsegment, 3)) || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || "
+    "CASE WHEN c_custkey % 2 = 0 THEN '/' ELSE '' END || upper(substr(c_mktsegment, 4, 3)) AS c FROM customer)),\n"
+    "v AS (SELECT id, 'codes' AS name, replace(replace(code, '-', ''), '/', '') AS x, 10 AS n FROM codes "
+    "WHERE id % 11 <> 0),\n"
+)
+
+
+@query(
+    "M1 M2 C12 H21",
+    f"WITH RECURSIVE {_CODES}{X.ff3_ctes(DEMO_KEYS, ['codes'], 'v', 'e', _CODE_LETTERS)}\n"
+    "SELECT c.id, code, left(y, 3) || '-' || substr(y, 4, 4) || CASE WHEN c.id % 2 = 0 THEN '/' ELSE '' END || "
+    "substr(y, 8) AS coded, CASE WHEN y IS NOT NULL THEN code END AS back FROM codes c LEFT JOIN e ON e.id = c.id",
+)
+def encode_by_own_template(spark, sf_dir):
+    """Customer codes of letters and digits, in an alphabet and a template of their own."""
+    key = F.col("c_custkey")
+    code = F.concat(
+        F.upper(F.left("c_mktsegment", F.lit(3))), F.lit("-"), F.lpad((key % 10000).cast("string"), 4, "0"),
+        F.when(key % 2 == 0, "/").otherwise(""), F.upper(F.substring("c_mktsegment", 4, 3)),
+    )
+    rows = table(spark, sf_dir, "customer").select(
+        key.alias("id"), F.when(key % 11 == 0, F.lower(code)).otherwise(code).alias("code")
+    )
+    coded = rows.withColumn("coded", templates.code_by_template(F.col("code"), _CODE, "codes", DEMO_KEYS))
+    back = templates.code_by_template(F.col("coded"), _CODE, "codes", DEMO_KEYS, decode=True)
+    return coded.withColumn("back", back)
+
+
+@query(
+    "H20 C12",
+    "SELECT c_custkey AS id, '********#' || '*****' || right(c_name, 4) AS masked FROM customer",
+)
+def mask_by_own_template(spark, sf_dir):
+    """Names like Customer#000000012: only the separator and the last four digits are shown."""
+    shown = templates.Template("(.{8})#([0-9]{5})[0-9]{4}")
+    masked = templates.mask_by_template(F.col("c_name"), shown)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), masked.alias("masked"))
+
+
 _CSV = X.columns("cpf", "email", "telefone", "pan", "dob", "endereco")
 
 
