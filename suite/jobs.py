@@ -51,6 +51,7 @@ from veladura.schemas import STORED_CUSTOMER
 from veladura.session import fresh_path
 from veladura.sources.csv_text import read_csv, write_csv
 from veladura.sources.synthetic import customer_cpf, customers
+from veladura.sources.versions import VersionedTable
 from veladura.streaming.intake import first_per_key, protect_append, protect_stream, read_stream
 
 # ---- protect ---------------------------------------------------------------
@@ -446,6 +447,24 @@ def update_by_key(spark, sf_dir):
     return retrofit.apply_updates(before, changes).select("id", "nome", "email_masked")
 
 
+@query(
+    "D4 F13",
+    f"WITH {X.PEOPLE},\nh AS (SELECT id, nome, {X.mask_email('email')} AS email_masked FROM people)\n"
+    "SELECT id, CASE WHEN id % 97 = 5 THEN upper(nome) ELSE nome END AS nome, email_masked, "
+    "id % 97 = 5 AS updated FROM h",
+)
+def update_files_by_key(spark, sf_dir):
+    """The same by file: a table in key order, of which few files hold a changed customer."""
+    before = stored(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp"))
+    customers_table = VersionedTable(spark, fresh_path(spark, "versioned"))
+    customers_table.create(before.repartitionByRange(20, "id"))
+    changes = before.filter("id % 97 = 5").withColumn("nome", F.upper("nome"))
+    unknown = before.filter("id % 97 = 6").withColumn("id", -1 - F.col("id"))
+    customers_table.update(changes.unionByName(unknown))
+    updated = F.col("updated_at").isNotNull().alias("updated")
+    return customers_table.read().select("id", "nome", "email_masked", updated)
+
+
 # ---- reveal ----------------------------------------------------------------
 
 
@@ -751,6 +770,19 @@ def retrofit_table(spark, sf_dir):
     return retrofit.retrofit(stored_staging(spark, sf_dir), version, DEMO_KEYS).select(*_STAGED)
 
 
+@query("E8", X.retrofitted(f"SELECT {', '.join(_STAGED)} FROM retrofitted"))
+def retrofit_by_file(spark, sf_dir):
+    """A stored table whose files are protected in part; only files with unprotected rows are written."""
+    staged = stored_staging(spark, sf_dir)
+    done = retrofit.protect_in_place(staged, DEMO_KEYS)
+    early = (F.col("id") % 3 == 0).alias("early")
+    mixed = done.filter(early).unionByName(staged.filter(~early))
+    customers_table = VersionedTable(spark, fresh_path(spark, "versioned"))
+    customers_table.create(mixed)
+    retrofit.retrofit_files(customers_table, DEMO_KEYS)
+    return customers_table.read().select(*_STAGED)
+
+
 @query(
     "E8",
     "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM customer",

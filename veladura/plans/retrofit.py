@@ -12,6 +12,8 @@ from veladura.operators.protect import RAISE, named, protect, protect_column
 from veladura.operators.validate import duplicate_keys
 from veladura.operators.verify import Pairs, format_report, round_trip_report
 from veladura.policy import FIELD_TRANSFORMATIONS, RETROFIT_FIELDS, STORED_NAMES
+from veladura.session import kept
+from veladura.sources.versions import Version, VersionedTable
 
 RAW_TO_PROTECTED = {f"{f}_raw": STORED_NAMES[f] for f in RETROFIT_FIELDS}
 PAIRS: Pairs = {
@@ -65,19 +67,33 @@ def retrofit(
     return staging.sparkSession.read.parquet(path)
 
 
+def retrofit_files(
+    table: VersionedTable, keyring: Keyring, role: str = "api-role", on_error: str = RAISE
+) -> Version:
+    """Protect what is not protected yet; files without such rows stay as they are.
+
+    One column is read to find those files.  Where nothing is to be done no version is made.
+    """
+    version = table.version()
+    files = table.files_with(version, lambda rows: unprotected(rows.select("protected", "_file")))
+    return table.rewrite(version, files, lambda rows: protect_in_place(rows, keyring, role, on_error))
+
+
 def apply_updates(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Replace the rows of ``table`` whose key is in ``changes``.
 
     Changed rows get a new ``updated_at``.  Changes for keys that the table does not have
     are left out: this updates and never inserts.  Two changes for one key are refused.
+    The result is the whole table; ``VersionedTable.update`` rewrites hit files only.
     """
+    changes = kept(changes, "changes")  # its plan may hold a cipher, and it is needed three times
     if not duplicate_keys(changes, key).isEmpty():
         raise ValueError(f"several changes for the same {key}")
-    kept = table.join(changes.select(key), key, "left_anti")
+    others = table.join(changes.select(key), key, "left_anti")
     stamped = changes.join(table.select(key), key, "left_semi")
     if "updated_at" in table.columns:
         stamped = stamped.withColumn("updated_at", F.current_timestamp())
-    return kept.unionByName(stamped.select(*table.columns))
+    return others.unionByName(stamped.select(*table.columns))
 
 
 def verified(table: DataFrame, keyring: Keyring, token_map: DataFrame) -> bool:
