@@ -45,10 +45,20 @@ def test_every_item_within_budget_is_found():
             i: d
             for i, x in items
             if (d := slow_distance(x, clean)) <= int(len(x) * dc.ERRORS)
+            and (len(x) * dc.ERRORS >= 1 or f" {x} " in f" {clean} ")
         }
         assert {i: d for i, d, _, _ in matcher.search(text)} == want
 
 
+def test_short_items_are_words_of_their_own():
+    matcher = dc.ItemMatcher([(1, "art"), (2, "a"), (3, "Yes, 42"), (4, "the art of war")], dc.ERRORS)
+    held = lambda text: [i for i, _, _, _ in matcher.search(text)]
+    assert held("we went to the party") == [] and held("start") == [] and held("arts") == []
+    assert held("yes 421") == [] and held("yesyes 42") == []
+    assert held("Art.") == [1] and held("the party: art, a") == [1, 2] and held("he said: yes! 42") == [3]
+    assert held("party art") == [1] and held("the art af war") == [1, 4]
+
+
 def test_case_punctuation_and_odd_rows(spark):
     item = "Whoever reads this line, has seen the test before it was given."
     docs = spark.createDataFrame(
@@ -74,6 +84,10 @@ def test_case_punctuation_and_odd_rows(spark):
         left = dc.drop_contaminated(docs, bench, block_chars=block)
         assert left.columns == docs.columns
         assert sorted(r.item_id for r in left.collect()) == ["b", "c", "f"]
+    few = dc.contaminated(docs, bench, block_chars=10).collect()  # several blocks, the same rows
+    assert sorted(map(str, few)) == sorted(map(str, rows))
+    blocks = list(dc.item_blocks(bench.unionByName(bench), 10))
+    assert sum(len(items) for _, items in blocks) == 2 and all(several for several, _ in blocks)
     none = bench.limit(0)
     assert dc.contaminated(docs, none).isEmpty() and dc.drop_contaminated(docs, none).count() == 7
     assert dc.contaminated(docs.limit(0), bench).isEmpty()

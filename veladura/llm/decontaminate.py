@@ -11,12 +11,14 @@ hold with its neighbours: halving the pieces again and again, of j pieces togeth
 with j - 1 edits or fewer at least one half again has fewer edits than pieces, so some
 hit passes at every step up to the whole item, and chance hits end at the first one.
 
-The items are not part of the corpus that grows: they go to all tasks in blocks of at
-most ``BLOCK_CHARS`` characters, one pass over the documents per block, so their size is
-bounded whatever the table holds.  Documents are never shuffled for finding.
+The items are not part of the corpus that grows: their distinct texts go to all tasks in
+blocks of about ``BLOCK_CHARS`` characters, one pass over the documents per block, and with
+several blocks a pass is written before the next one begins: driver and tasks hold one block
+at a time, whatever the table holds.  Documents are never shuffled for finding.
 
 Edge cases: null and empty texts hold nothing; items without words are never held;
-an item too short for one edit must be held as it is; equal items are found each; null
+an item too short for one edit must be held as it is, and not inside a longer word; equal
+items are found each; null
 ids of documents give rows like any other; empty tables give empty results (and drop
 nothing); other columns are ignored, and kept by ``drop_contaminated``.
 """
@@ -25,11 +27,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veladura.llm.common import free_name, map_batches, ship, with_text_value
+from veladura.llm.common import cut, free_name, map_batches, ship, with_text_value
 
 ship(__name__)
 
@@ -153,6 +156,8 @@ class ItemMatcher:
                     continue
                 if at in best and best[at][0] == 0:
                     continue
+                if not budget and (words[start - 1 : start].strip() or words[last + 1 : last + 2].strip()):
+                    continue  # inside a longer word
                 if not all(_near(words, start, step) for step in steps):
                     continue
                 tried[at] = start
@@ -173,26 +178,33 @@ def _near(words: str, start: int, step: tuple) -> bool:
     return best_distance(masks, size, words[low : start + offset + size + edits])[0] <= edits
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple]]:
-    """The items in blocks of bounded size, taken to the driver one block at a time."""
-    items = benchmark.select("item_id", "text").filter(F.length("text") > 0)
+def item_key(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[bool, list[tuple]]]:
+    """The distinct items with their keys, in blocks taken to the driver one at a time.
+
+    Equal texts count once, so a text that fills the benchmark fills no block.  A block is
+    a share of the texts' hashes; whether there are several is told with each.
+    """
+    items = benchmark.select("text").filter(F.length("text") > 0).distinct()
     total = items.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     n = max(1, math.ceil(total / block_chars))
     part = F.pmod(F.xxhash64("text"), F.lit(n))
     for i in range(n if total else 0):
-        yield [(r["item_id"], r["text"]) for r in items.filter(part == i).collect()]
+        block = items.filter(part == i).select(item_key(F.col("text")), "text")
+        yield n > 1, sorted(tuple(r) for r in block.collect())
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """``doc_id, item_id, distance, start, end`` for each item that a document holds."""
-    ids = [df.select(c).schema[0].dataType.simpleString() for df, c in
-           ((docs, "doc_id"), (benchmark, "item_id"))]
-    schema = f"doc_id {ids[0]}, item_id {ids[1]}, distance int, start bigint, end bigint"
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    schema = f"doc_id {kind}, item_key string, distance int, start bigint, end bigint"
     found = docs.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(benchmark, block_chars):
-        items = sorted(block, key=str)
+    for several, items in item_blocks(benchmark, block_chars):
 
         def prepare(items=items):
             matcher = ItemMatcher(items, errors)
@@ -203,13 +215,18 @@ def contaminated(
                     for doc, text in zip(columns["doc_id"], columns["text"])
                     for hit in matcher.search(text)
                 ]
-                names = ("doc_id", "item_id", "distance", "start", "end")
+                names = ("doc_id", "item_key", "distance", "start", "end")
                 return dict(zip(names, zip(*rows) if rows else [[]] * 5))
 
             return run
 
-        found = found.unionByName(map_batches(docs.select("doc_id", "text"), schema, prepare))
-    return found
+        hits = map_batches(docs.select("doc_id", "text"), schema, prepare)
+        # of several blocks each is done with before the next one is taken
+        found = found.unionByName(cut(hits, "item-hits") if several else hits)
+    items = benchmark.filter(F.length("text") > 0)
+    items = items.select("item_id", item_key(F.col("text")).alias("of_key"))
+    joined = found.join(items, F.col("item_key") == F.col("of_key"))
+    return joined.select("doc_id", "item_id", "distance", "start", "end")
 
 
 def drop_contaminated(
@@ -217,8 +234,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents that hold no item, with the columns they had."""
     columns = docs.columns
-    for block in item_blocks(benchmark, block_chars):
-        items = sorted(block, key=str)
+    for several, items in item_blocks(benchmark, block_chars):
         name = free_name(docs, "n_items")
 
         def prepare(items=items):
@@ -226,4 +242,6 @@ def drop_contaminated(
             return lambda text: len(matcher.search(text))
 
         docs = with_text_value(docs, name, "bigint", prepare).filter(F.col(name) == 0).select(*columns)
+        if several:
+            docs = cut(docs, "without-items")
     return docs
