@@ -2,6 +2,7 @@
 
 import random
 import textwrap
+import time
 
 import pytest
 
@@ -84,6 +85,56 @@ def test_neighbouring_licences_are_told_apart(scanner, notice):
     assert judged is not None and judged[0] == NEIGHBOURS[notice]
 
 
+FORMS = {
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+    "SPDX-License-Identifier: (Apache-2.0 OR MIT)": "Apache-2.0 OR MIT",
+    "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */": "GPL-2.0",
+    "SPDX-License-Identifier: LicenseRef-Own": "unknown",
+    "MIT License": "MIT",
+    "The MIT License (MIT)": "MIT",
+    "License: MIT": "MIT",
+    "License: BSD-3-Clause": "BSD-3-Clause",
+    "Apache License\nVersion 2.0, January 2004": "Apache-2.0",
+    "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0",
+    "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": "LGPL-2.1",
+    "This tool is licensed under GPLv3.": "GPL-3.0",
+    "licensed under GPLv3": "GPL-3.0",
+    "The Artistic License 2.0": "Artistic-2.0",
+    "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0 OR MIT",
+    "This code is not licensed under the MIT License.": "unknown",
+    "The tool is no longer released under the MIT License.": "unknown",
+    "It isn't licensed under the Apache License, Version 2.0.": "unknown",
+}
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_short_several_and_negated_forms(scanner, text):
+    found = scanner.scan(f"Some words.\n\n{text}\n\nMore words.")
+    sure = {f["family"] for f in found} - ({"unknown"} if FORMS[text] != "unknown" else set())
+    assert sure == {FORMS[text]}
+
+
+def test_mentions_are_no_notices(scanner):
+    for text in ("We compared the MIT License with all the others in class today.", "MIT is in Cambridge.",
+                 "Version 2.0 was released under the new name.", "The license: it is long."):
+        assert not {f["family"] for f in scanner.scan(text)} - {"unknown"}, text
+
+
+def test_several_families_of_a_document(spark, scanner):
+    rows = [(1, "x\nSPDX-License-Identifier: Apache-2.0 OR MIT\ny"), (2, "This is not licensed under the MIT License.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: (r.license, r.families) for r in ls.scan_licenses(df, scanner.model).collect()}
+    assert out == {1: ("MIT", ["Apache-2.0", "MIT"]), 2: ("unknown", [])}
+
+
+def test_very_long_paragraph(scanner):
+    began = time.time()
+    scanner.scan("licensed under the terms of the word " * 60_000)
+    assert time.time() - began < 20
+
+
 def test_every_template_bears_a_mark_of_its_family_alone(scanner):
     for family, texts in ls.TEMPLATES.items():
         for t in texts:

@@ -16,7 +16,11 @@ that are the paragraph's, whichever is larger, must reach ``CONFIRM``.  Notices
 neighbouring licences share nearly all triples, so the words that tell the family apart
 must be there as well: its name and version (``MARKS``), or triples that no other
 licence's wording has.
-The wording that all BSD licences share is therefore no family.  A paragraph that fails
+Short forms (``FORMS`` with ``SHORT_NAMES``, ``TITLES``: an SPDX line, a title, "License: MIT") are
+training paragraphs too, and are confirmed by standing there word for word in a paragraph that
+has little else.  A paragraph that offers several families, by an SPDX expression or by their
+names, gets them joined by OR, whichever word joins them there; one that says that something is
+*not* licensed so is ``unknown``.  The wording that all BSD licences share is no family.  A paragraph that fails
 any of these tests is ``unknown`` if the model finds some licence in it beyond the
 threshold, whichever it is; else it is ordinary text.
 
@@ -220,6 +224,47 @@ MARKS = {
 #: Without the name, so many triples that only this family has.
 OWN_TRIPLES = 4
 
+# How the families are called in short, and titles of whole texts.
+SHORT_NAMES = {
+    "MIT": ("MIT",),
+    "Apache-2.0": ("Apache-2.0", "Apache 2.0", "Apache License 2.0"),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPLv3", "GPL v3"),
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPLv2", "GPL v2"),
+    "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "LGPLv3"),
+    "LGPL-2.1": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPLv2.1"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPLv3"),
+    "BSD-3-Clause": ("BSD-3-Clause", "BSD 3-Clause"),
+    "BSD-2-Clause": ("BSD-2-Clause", "BSD 2-Clause"),
+    "MPL-2.0": ("MPL-2.0", "MPL 2.0"),
+    "CC-BY-4.0": ("CC-BY-4.0", "CC BY 4.0"),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    "CC0-1.0": ("CC0-1.0", "CC0 1.0"),
+    "Unlicense": ("Unlicense",),
+    "ISC": ("ISC",),
+    "Zlib": ("Zlib",),
+    "EPL-1.0": ("EPL-1.0", "EPL 1.0"),
+    "EPL-2.0": ("EPL-2.0", "EPL 2.0"),
+    "BSL-1.0": ("BSL-1.0",),
+    "Artistic-2.0": ("Artistic-2.0", "Artistic License 2.0"),
+}
+TITLES = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004",),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3",),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2",),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3",),
+    "LGPL-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1",),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "Artistic-2.0": ("The Artistic License 2.0",),
+}
+#: Ways to name a licence in short, and how many other words the paragraph may have.
+FORMS = (
+    ("SPDX-License-Identifier: {}", 6), ("License: {}", 2), ("{} License", 1), ("Licensed under {}", 6),
+    ("Licensed under the {} License", 6), ("Released under {}", 6), ("Released under the {} License", 6),
+)
+TITLE_EXTRA, SHORT_VARIANTS = 6, 16
+
 NEGATIVES = (
     "The driving license must be renewed every five years at the town office.",
     "Poets take license with grammar, and readers forgive them for it.",
@@ -235,6 +280,8 @@ NEGATIVES = (
     "License plate numbers are issued under the terms of state law.",
     "Our terms of service may change at any time without notice.",
     "The foundation published a report on free software in schools.",
+    "The MIT press released a book on law.",
+    "Section 2.0 of the general plan was licensed to a public body.",
 )
 
 _WORD = re.compile(r"\w+(?:[.-]\w+)*")
@@ -290,9 +337,25 @@ _MARKS = {
     family: [re.compile(rf"(?<!\S)(?:{p.replace('.', r'[.]').replace(' ', _GAP)})(?!\S)") for p in all_of]
     for family, all_of in MARKS.items()
 }
+_SPDX = "spdx-license-identifier"
+_NOT = re.compile(
+    r"(?<!\S)(?:not|never|neither|nor|no longer|isn t|aren t|wasn t)(?: \S+){0,3} "
+    r"(?:licensed|released|offered|available|covered)(?!\S)"
+)
+_EITHER = re.compile(r"(?<!\S)(?:or|either|dual|dual-licensed|both|and)(?!\S)")
 _OTHER = re.compile(r"(?<!\S)(?:\S+ community|affero|lesser|library|\S+ public) license(?!\S)")
 
 
+def _short_forms() -> list[tuple[str, list[str], int]]:
+    """Family, words, and how many other words a paragraph may have beside them."""
+    out = []
+    for family, names in SHORT_NAMES.items():
+        out += [(family, words_of(form.format(n)), extra) for n in names for form, extra in FORMS]
+        out += [(family, words_of(t), TITLE_EXTRA) for t in TITLES.get(family, ())]
+    # the longest first: of two that stand there the one that says more counts
+    return sorted(out, key=lambda f: (-len(f[1]), f))
+
+
 def _variant(words: list[str], chance: random.Random) -> list[str]:
     out = list(words)
     if len(out) > 12 and chance.random() < 0.5:  # a part of it
@@ -340,19 +403,27 @@ def corpus_negatives(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
 def fit_licenses(negatives: list[str], seed: int = 13) -> LicenseModel:
     """Train, calibrate and set the threshold."""
     chance = random.Random(seed)
-    families = (*TEMPLATES, "none")
+    families = (*sorted({*TEMPLATES, *SHORT_NAMES}), "none")
     pairs, grams = set(), set()
     for texts in (*TEMPLATES.values(), *SHARED.values()):
         for t in texts:
             ws = words_of(t)
             pairs |= set(zip(ws, ws[1:]))
             grams |= set(zip(ws, ws[1:])) | set(zip(ws, ws[1:], ws[2:]))
+    short = _short_forms()
+    for _, ws, _ in short:
+        pairs |= set(zip(ws, ws[1:]))
+        grams |= set(zip(ws, ws[1:])) | set(zip(ws, ws[1:], ws[2:]))
     features = {g: i for i, g in enumerate(sorted(grams))}
     samples: list[tuple[list[str], int]] = []
-    for k, family in enumerate(TEMPLATES):
+    for family in TEMPLATES:
+        k = families.index(family)
         for t in (*TEMPLATES[family], *SHARED.get(family, ())):
             ws = words_of(t)
             samples += [(ws, k)] * 5 + [(_variant(ws, chance), k) for _ in range(VARIANTS)]
+    for family, ws, _ in short:
+        k = families.index(family)
+        samples += [(ws, k)] * 2 + [(chance.choices(_FILLER, k=2) + ws, k) for _ in range(SHORT_VARIANTS)]
     none = len(families) - 1
     ordinary = [words_of(t) for t in (*NEGATIVES, *negatives)]
     samples += [(_variant(ws, chance), none) for ws in ordinary[: len(NEGATIVES)] for _ in range(20)]
@@ -412,6 +483,10 @@ class Scanner:
             family: [set(zip(ws, ws[1:], ws[2:])) for ws in map(words_of, texts)]
             for family, texts in TEMPLATES.items()
         }
+        self.short: dict[str, list[tuple[str, list[str], int]]] = {}
+        for form in _short_forms():
+            self.short.setdefault(form[1][0], []).append(form)
+        self.ids = {n.lower(): f for f, names in SHORT_NAMES.items() for n in names if " " not in n}
         shared = [set(zip(ws, ws[1:], ws[2:])) for texts in SHARED.values() for ws in map(words_of, texts)]
         # of the templates that don't name their family, the triples that no other wording has
         self.own = {
@@ -428,11 +503,35 @@ class Scanner:
         own = set(zip(words, words[1:], words[2:]))
         if not own:
             return 0.0
-        return max(len(own & t) / min(len(own), len(t)) for t in self.templates[family] if t)
+        return max((len(own & t) / min(len(own), len(t)) for t in self.templates.get(family, ()) if t), default=0.0)
 
     def named(self, family: str, words: list[str]) -> bool:
+        """Whether a family, or one of several joined by OR, is called by its name."""
         said = " ".join(words)
-        return all(p.search(said) for p in _MARKS[family])
+        return all(
+            any(f in _MARKS and all(p.search(said) for p in _MARKS[f]) for f in (part,)) or self.in_short(words) == family
+            for part in family.split(" OR ")
+        )
+
+    def in_short(self, words: list[str]) -> str | None:
+        """The family that a short paragraph names, several joined by OR; ``unknown`` if it names another one."""
+        if _SPDX in words:
+            told = words[words.index(_SPDX) + 1 :]
+            told = told[: next((i for i, w in enumerate(told) if w not in self.ids and w not in ("or", "and", "with")), None)]
+            families = sorted({self.ids[w] for w in told if w in self.ids})
+            return " OR ".join(families) or "unknown"
+        for i, word in enumerate(words):
+            for family, form, extra in self.short.get(word, ()):
+                if words[i : i + len(form)] == form and len(words) <= len(form) + extra:
+                    return family
+        return None
+
+    def several(self, words: list[str]) -> list[str]:
+        """The families that a paragraph offers side by side; less than two are none."""
+        if not _EITHER.search(" ".join(words)):
+            return []
+        held = [f for f in sorted(_MARKS) if self.named(f, words)]
+        return held if len(held) > 1 else []
 
     def distinct(self, family: str, words: list[str]) -> bool:
         """Whether the words stand there that tell the family from its neighbours.
@@ -451,17 +550,25 @@ class Scanner:
         words = words_of(paragraph)
         rows = [self.model.features[g] for g in _grams(words, self.pairs) if g in self.model.features]
         if not rows:
-            return None
+            return ("unknown", 1.0, 0.0) if _SPDX in words else None
         z = self.model.weights[sorted(set(rows))].sum(axis=0) + self.model.bias
         p = _softmax(z[None] / self.model.temperature)[0]
         best = int(p.argmax())
         family = self.model.families[best]
         if family == "none":
             return None
-        agreement = self.agreement(family, words)
+        agreement, some = self.agreement(family, words), float(1 - p[-1])
+        if some >= self.model.threshold:
+            if _NOT.search(" ".join(words)):
+                return "unknown", some, agreement
+            short, several = self.in_short(words), self.several(words)
+            if several and (short is None or " OR " not in short):
+                return " OR ".join(several), some, max(self.agreement(f, words) for f in several)
+            if short is not None:
+                return short, some, 1.0
         if p[best] >= self.model.threshold and agreement >= CONFIRM and self.distinct(family, words):
             return family, float(p[best]), agreement
-        some = float(1 - p[-1])  # some licence, but not surely one of these
+        # some licence, but not surely one of these
         return ("unknown", some, agreement) if some >= self.model.threshold else None
 
     def scan(self, text: str | None) -> list[dict]:
@@ -526,8 +633,9 @@ def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
                 found = scanner.scan(text)
                 sure: dict[str, list[float]] = {}
                 for f in found:
-                    if f["family"] != "unknown":
-                        sure.setdefault(f["family"], []).append(f["probability"])
+                    for family in f["family"].split(" OR "):
+                        if family != "unknown":
+                            sure.setdefault(family, []).append(f["probability"])
                 top = max(sure, key=lambda k: (len(sure[k]), max(sure[k]), k), default=None)
                 out["doc_id"].append(doc_id)
                 out["license"].append(top or ("unknown" if found else None))
