@@ -38,6 +38,7 @@ from veladura.operators.reveal import decode_values, reveal, reveal_customers
 from veladura.operators.token_map import (
     build_token_map,
     detokenize,
+    detokenize_by_address,
     new_entries,
     token_collisions,
 )
@@ -432,6 +433,16 @@ def detokenize_large_map(spark, sf_dir):
     )
 
 
+@query("D2 M5", X.people("SELECT id, endereco, conta, saude, raca, religiao FROM people"))
+def detokenize_columns_by_address(spark, sf_dir):
+    """All token columns in one join with a shuffled map, the wide rows shuffled once."""
+    raw = people(spark, sf_dir).select("id", *TOKEN_FIELDS)
+    safe = protect(raw, P.ProtectionPolicy(TOKEN_FIELDS), DEMO_KEYS)
+    return detokenize_by_address(
+        safe, TOKEN_FIELDS, stored_token_map(spark, sf_dir), DEMO_KEYS, hint="merge"
+    )
+
+
 @query(
     "D4",
     f"WITH {X.PEOPLE}\nSELECT id, CASE WHEN nome = 'Olívia dos Reis Tavares' THEN upper(nome) ELSE nome END "

@@ -12,7 +12,12 @@ from suite import QUERIES
 from suite.data import TOKEN_FIELDS, people, stored, stored_token_map
 from veladura.operators.lookup import find_many
 from veladura.operators.skew import lookup_join
-from veladura.operators.token_map import build_token_map, detokenize, only_tokens_of
+from veladura.operators.token_map import (
+    build_token_map,
+    detokenize,
+    detokenize_by_address,
+    only_tokens_of,
+)
 from veladura.operators.validate import duplicate_keys, only_new
 from veladura.operators.verify import convergence_report
 from veladura.policy import ProtectionPolicy
@@ -180,3 +185,20 @@ def test_convergence_of_a_hot_value(facts, keys):
     assert row.n_pairs == facts.filter("key is not null").select("key").distinct().count()
     broken = safe.withColumn("out", F.when(F.col("id") == 3, F.lit("x")).otherwise(F.col("out")))
     assert not convergence_report(broken, {"key": "out"}).first().deterministic
+
+
+def test_detokenize_by_address_shuffles_wide_rows_once(spark, facts, keys, small_parts):
+    """Five columns, a hot token, blanks and nulls: the result of column by column, in one join with the map."""
+    names = list(TOKEN_FIELDS)
+    raw = facts.select("id", *[F.when(F.col("id") % 7 == i, F.lit("")).otherwise(F.col("key")).alias(c) for i, c in enumerate(names)])
+    raw = raw.filter("id < 6000")
+    safe = protect(raw, ProtectionPolicy(TOKEN_FIELDS), keys)
+    token_map = build_token_map(raw, TOKEN_FIELDS, keys)
+    got = detokenize_by_address(safe, TOKEN_FIELDS, token_map, keys)
+    want = detokenize(safe, TOKEN_FIELDS, token_map, keys)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 6000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    wide = re.findall(r"Exchange hashpartitioning\(of#", plan)
+    by_token = re.findall(r"Exchange hashpartitioning\(_probe#", plan)
+    assert (len(wide), len(by_token)) == (1, 1), re.findall("Exchange hash.*", plan)

@@ -25,7 +25,9 @@ def token_udf(transformation: str, keyring: Keyring):
         return prefix + hashlib.sha256(outer + within).hexdigest()[:size]
 
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else one(v) for v in values.to_pylist()], pa.string())
+        held = values.dictionary_encode()  # repeats within the batch are hashed once
+        made = pa.array([one(v) for v in held.dictionary.to_pylist()], pa.string())
+        return made.take(held.indices)
 
     run.__name__ = f"encode_{transformation.replace('-', '_')}"
     run.__annotations__ = {"values": pa.Array, "return": pa.Array}

@@ -12,6 +12,7 @@ from veladura.functions import tokens
 from veladura.keys import Keyring
 from veladura.operators.protect import RAISE, failure, has_value, named
 from veladura.operators.skew import lookup_join
+from veladura.session import kept
 
 FEW_TOKENS = 1000  # that many may stand in a filter
 
@@ -122,6 +123,47 @@ def detokenize(
     return df
 
 
+def detokenize_by_address(
+    df: DataFrame,
+    columns: Mapping[str, str],
+    token_map: DataFrame,
+    keyring: Keyring,
+    role: str = "core-role",
+    on_error: str = RAISE,
+    hint: str | None = None,
+) -> DataFrame:
+    """Like ``detokenize``, for wide rows with several token columns and a map too large to broadcast.
+
+    The rows are stored once.  What meets the map is narrow: where a row stands (file and
+    place in it), which column, and the token; all columns together in one join.  The originals
+    come back to their rows by address, so the wide rows are shuffled once, whatever the
+    number of columns, and by a key that no two rows share.
+    """
+    P.check_grants(role, "decode", sorted(set(columns.values())))
+    stored = kept(df, "token-rows")
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.lit(name).alias("transformation"), named(c).alias("value"))
+        for i, (c, name) in enumerate(columns.items())
+    ]
+    long = stored.select(place.alias("place"), F.inline(F.array(*entries))).filter(has_value(F.col("value")))
+    opened = detokenize_mixed(long, "original", set(columns.values()), token_map, keyring, on_error, hint)
+    found = opened.groupBy("place").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", "original"))).alias("originals")
+    )
+    rows = stored.select(F.struct(*[named(c) for c in df.columns]).alias("row"), place.alias("of"))
+    met = rows.join(found, F.col("of") == F.col("place"), "left")
+
+    def shown(i: int, c: str) -> Column:
+        own = F.col("row")[c]
+        return F.when(has_value(own), F.col("originals")[F.lit(i)]).otherwise(own)
+
+    place_of = {c: i for i, c in enumerate(columns)}
+    return met.select(
+        *[(shown(place_of[c], c) if c in place_of else F.col("row")[c]).alias(c) for c in df.columns]
+    )
+
+
 def detokenize_mixed(
     df: DataFrame,
     target: str,
