@@ -134,7 +134,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CONTEXT = ("please reach me at ", " or call today")
+#: Words that no document holds, so that the lines alone teach and use the pattern.
+_CONTEXT = ("the holder answers by contactway ", " otherwiseclosed today")
 
 
 def pii_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
