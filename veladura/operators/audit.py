@@ -11,6 +11,7 @@ from veladura import policy as P
 from veladura.keys import Keyring
 from veladura.operators.protect import RAISE, has_value, named, protection_report
 from veladura.operators.reveal import STORED_REVERSIBLE, reveal_customers
+from veladura.operators.sealed_trail import SealedTrail
 
 
 def reveal_trail(
@@ -40,8 +41,12 @@ def reveal_trail(
     )
 
 
-def append_trail(trail: DataFrame, path: str) -> None:
-    trail.write.mode("append").parquet(path)
+def append_trail(trail: DataFrame, where: str | SealedTrail) -> None:
+    """Add entries to plain files at a path, or to a trail that shows tampering."""
+    if isinstance(where, SealedTrail):
+        where.append(trail)
+    else:
+        trail.write.mode("append").parquet(where)
 
 
 def reveal_logged(
@@ -49,7 +54,7 @@ def reveal_logged(
     keyring: Keyring,
     token_map: DataFrame,
     actor: str,
-    trail_path: str,
+    trail: str | SealedTrail,
     role: str = "core-role",
     on_error: str = RAISE,
     few: bool = False,
@@ -63,7 +68,7 @@ def reveal_logged(
     shown = reveal_customers(protected, keyring, token_map, role, on_error, few)
     fields = {p: f for f, p in P.STORED_NAMES.items() if p in STORED_REVERSIBLE}
     cells = protected.select("id", *[named(p).alias(f) for p, f in fields.items()])
-    append_trail(reveal_trail(cells, fields.values(), actor, role), trail_path)
+    append_trail(reveal_trail(cells, fields.values(), actor, role), trail)
     return shown
 
 
