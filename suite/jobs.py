@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -53,7 +54,8 @@ from veladura.session import fresh_path
 from veladura.sources.csv_text import read_csv, write_csv
 from veladura.sources.synthetic import customer_cpf, customers
 from veladura.sources.versions import VersionedTable
-from veladura.streaming.intake import first_per_key, protect_append, protect_stream, read_stream
+from veladura.streaming.intake import first_per_key, protect_append, protect_stream, read_stream, state_on_disk
+from veladura.streaming.joins import join_streams
 
 # ---- protect ---------------------------------------------------------------
 
@@ -732,6 +734,53 @@ def protect_event_stream(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
+_WITHIN = timedelta(hours=6)
+
+
+def _event_pairs_sql() -> str:
+    met = "abs(date_diff('microsecond', v.ts, p.ts)) <= 6 * 3600 * 1000000::BIGINT"
+    return (
+        f"WITH u AS (SELECT *, {X.cpf_of('user_id')} AS cpf FROM events),\n"
+        f"w AS (SELECT *, {X.token('cpf', 'tok-conta')} AS token FROM u)\n"
+        "SELECT v.token AS token, v.event_id AS view_id, p.event_id AS purchase_id FROM "
+        f"(SELECT * FROM w WHERE event_type = 'view') v JOIN "
+        f"(SELECT * FROM w WHERE event_type = 'purchase') p ON v.token = p.token AND {met}"
+    )
+
+
+@query("D1 I1", _event_pairs_sql())
+def join_event_streams(spark, sf_dir):
+    """Views and purchases of the same customer at most six hours apart, as two streams of files."""
+    root = fresh_path(spark, "stream-pairs")
+    sides = {}
+    for kind, key, time in (("view", "view_id", "viewed"), ("purchase", "purchase_id", "bought")):
+        rows = table(spark, sf_dir, "events").filter(F.col("event_type") == kind).select(
+            F.col("event_id").alias(key), F.col("ts").cast("timestamp").alias(time), customer_cpf("user_id").alias("conta")
+        )
+        # files of ten days each, oldest first, as they would arrive
+        for part in range(3):
+            day = F.dayofmonth(time)
+            arriving = rows.filter((day > 10 * part) & ((day <= 10 * part + 10) | F.lit(part == 2)))
+            arriving.coalesce(1).write.mode("append").parquet(f"{root}/{kind}")
+        arrived = read_stream(spark, f"{root}/{kind}", rows.schema, maxFilesPerTrigger=1)
+        safe = protect(arrived, P.ProtectionPolicy.of("conta"), DEMO_KEYS)
+        sides[kind] = safe.withColumnRenamed("conta", "token")
+    pairs = join_streams(
+        sides["view"], sides["purchase"], "token", "viewed", "bought", _WITHIN, timedelta(days=11)
+    )
+    run = (
+        pairs.select("token", "view_id", "purchase_id")
+        .writeStream.format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+    )
+    with state_on_disk(spark):
+        run = run.start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 @query(
     "I2",
     f"WITH RECURSIVE {_EVENT_CPFS}\n"

@@ -82,12 +82,12 @@ def protect_stream(
             batch.unpersist()
 
     writer = both.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    with _state_on_disk(spark):
+    with state_on_disk(spark):
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 @contextmanager
-def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
     """A query that is started here keeps its state in RocksDB: memory does not bound it."""
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ours = {
