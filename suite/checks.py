@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite import expected as X
-from suite.data import DEMO_KEYS, stored, stored_token_map
+from suite.data import DEMO_KEYS, retrofitted, stored, stored_token_map
 from suite.registry import query
-from veladura.operators import audit
+from veladura.operators import audit, sketches, verify
 from veladura.operators.difference import Ranges, differences, differing_nodes, leaf_hashes, tree
 from veladura.operators.sealed_trail import SealedTrail
+from veladura.plans import retrofit
 from veladura.session import fresh_path, kept
 
 # ---- two versions of a table -------------------------------------------------
@@ -133,3 +134,40 @@ def tampered_trail(spark, sf_dir):
     changed = found.filter("finding = 'changed'").join(named_by, place).select("block", "finding", "key", "n")
     other = found.filter("finding <> 'changed'").groupBy("block", "finding").agg(F.sum("n").alias("n"))
     return changed.unionByName(other.withColumn("key", F.lit(None).cast("bigint")))
+
+
+# ---- sketches ----------------------------------------------------------------
+
+
+def _sketched_sql() -> str:
+    rows = [
+        f"SELECT '{raw}' AS \"column\", count(DISTINCT id % 7) AS n_parts, count(*) AS n_values, "
+        f"count(DISTINCT {raw}) AS n_raw, count(DISTINCT {p}) AS n_protected, "
+        f"count(DISTINCT ({raw}, {p})) AS n_pairs, TRUE AS within_bounds, "
+        f"count(DISTINCT ({raw}, {p})) = count(DISTINCT {raw}) AS deterministic "
+        f"FROM retrofitted WHERE {X.has_value(raw)}"
+        for raw, p in retrofit.RAW_TO_PROTECTED.items()
+    ]
+    return X.retrofitted(" UNION ALL ".join(rows))
+
+
+@query("G4 F7", _sketched_sql())
+def convergence_by_sketches(spark, sf_dir):
+    """Seven parts arrive one by one and are sketched; bounds from the sketches against exact counts."""
+    rows, path = retrofitted(spark, sf_dir).withColumn("part", F.col("id") % 7), fresh_path(spark, "sketches")
+    for part in range(7):
+        sketches.add_parts(rows.filter(F.col("part") == part), retrofit.RAW_TO_PROTECTED, "part", path)
+    bounds = sketches.convergence_bounds(spark.read.parquet(path))
+    exact = verify.convergence_report(rows, retrofit.RAW_TO_PROTECTED)
+    kinds = ("n_raw", "n_protected", "n_pairs")
+    near = [
+        F.abs(F.col(f"s.{k}") - F.col(f"e.{k}")) <= sketches.bound(F.col(f"s.{k}").cast("double")) for k in kinds
+    ]
+    return bounds.alias("s").join(exact.alias("e"), "column").select(
+        "column",
+        "n_parts",
+        "n_values",
+        *[F.col(f"e.{k}").alias(k) for k in kinds],
+        (near[0] & near[1] & near[2]).alias("within_bounds"),
+        F.col("s.deterministic").alias("deterministic"),
+    )
