@@ -15,6 +15,7 @@ from veladura.operators.views import stored_names
 from veladura.plans.create import stored_projection
 from veladura.plans.retrofit import protect_in_place, protect_rows
 from veladura.session import fresh_path
+from veladura.sources.layout import write_for_lookups
 from veladura.sources.synthetic import customer_cpf, customers
 from veladura.sources.tables import (
     staging_rows,
@@ -109,6 +110,14 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_for_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table laid out for searches by encrypted CPF, id and time."""
+    held, by = stored(spark, sf_dir), ("cpf_protected", "id", "created_at")
+    return _once(
+        spark, sf_dir, "laid-out", lambda path: write_for_lookups(held, path, by, exact=by[:2], files=8)
+    )
+
+
 def stored_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         spark,

@@ -14,6 +14,7 @@ from suite.data import (
     rough_people,
     rough_table,
     stored,
+    stored_for_lookups,
     stored_staging,
     table,
     to_store,
@@ -350,6 +351,26 @@ def find_by_cpf(spark, sf_dir):
     return _epoch(views.display(found))
 
 
+@query(
+    "C4 C5 F8",
+    X.stored(
+        f"(SELECT 'id' AS found_by, {_DISPLAY} FROM stored WHERE id = 42) UNION ALL "
+        f"(SELECT 'cpf', {_DISPLAY} FROM stored WHERE id = 1) UNION ALL "
+        f"(SELECT 'time', {_DISPLAY} FROM stored s ORDER BY s.created_at DESC, id LIMIT 20)"
+    ),
+)
+def lookups_on_one_layout(spark, sf_dir):
+    """By id, by encrypted key and by time, each reading few row groups of the same table."""
+    held = stored_for_lookups(spark, sf_dir)
+    found = {
+        "id": lookup.by_id(held, 42),
+        "cpf": lookup.find_by_cpf(held, "123.464.708-72", DEMO_KEYS),
+        "time": lookup.newest(held),
+    }
+    parts = [views.display(df).select(F.lit(by).alias("found_by"), "*") for by, df in found.items()]
+    return _epoch(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 @query(
     "C6",
     X.stored(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veladura.functions.tokens import PREFIX
 from veladura.operators.protect import named
 from veladura.schemas import STAGING, STORED_CUSTOMER
-from veladura.session import fresh_path
+from veladura.session import TIMES_WITH_STATISTICS, fresh_path, settings
 
 ROWS_PER_BUCKET, MOST_BUCKETS = 1_000_000, 10_000
 ROWS_PER_FILE = 2_000_000
@@ -39,7 +39,8 @@ def read_jdbc(
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
+    with settings(df.sparkSession, TIMES_WITH_STATISTICS):
+        df.write.mode(mode).parquet(path)
 
 
 def _write_ranges(
@@ -53,7 +54,8 @@ def _write_ranges(
     sought = [c for c in (key, "id") if c in df.columns]
     blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in sought}
     placed = df.repartitionById(files, place).sortWithinPartitions(named(key))
-    placed.write.mode("overwrite").options(**blooms).parquet(path)
+    with settings(df.sparkSession, TIMES_WITH_STATISTICS):
+        placed.write.mode("overwrite").options(**blooms).parquet(path)
 
 
 def write_clustered(
@@ -137,7 +139,7 @@ def prepare_append(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    write_parquet(rows, path, "append")
 
 
 def create_staging(spark: SparkSession, path: str) -> None:

@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 from datetime import timedelta
 
 import numpy as np
@@ -22,6 +21,7 @@ from veladura.keys import Keyring
 from veladura.operators.protect import NULL, named, protect
 from veladura.operators.views import stored_names
 from veladura.plans.create import take_in
+from veladura.session import settings
 
 
 def read_stream(spark: SparkSession, path: str, schema, format: str = "parquet", **options):
@@ -86,8 +86,7 @@ def protect_stream(
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-@contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
+def state_on_disk(spark: SparkSession) -> AbstractContextManager[None]:
     """A query that is started here keeps its state in RocksDB: memory does not bound it."""
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ours = {
@@ -95,14 +94,7 @@ def state_on_disk(spark: SparkSession) -> Iterator[None]:
         # a batch uploads what it changed, not the whole state
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
-    before = {name: spark.conf.get(name, None) for name in ours}
-    for name, value in ours.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return settings(spark, ours)
 
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
