@@ -71,7 +71,7 @@ def _nodes_sql() -> str:
 
 @query("G3 G8", _nodes_sql())
 def ranges_that_differ(spark, sf_dir):
-    """Two stored trees compared from the top down."""
+    """Two stored trees, compared level by level."""
     before, after = _two_versions(spark, sf_dir)
     ranges = Ranges("id", 0, _WIDTH, _LEAVES)
     trees = [kept(tree(leaf_hashes(df, ranges), ranges), "tree") for df in (before, after)]

@@ -2,8 +2,7 @@
 
 Rows are summed up by ranges of their key into hashes that do not depend on the order of
 the rows.  These leaves add up to a tree: the hash of a range is the sum of its children's.
-Two versions are compared from the top down, and only rows in leaves whose hashes differ
-are ever shuffled.  A tree can be stored with its version, so that the old version need not
+Only rows in leaves whose hashes differ are ever shuffled.  A tree can be stored with its version, so that the old version need not
 be read again to learn where a copy differs.
 
 Leaves and what is broadcast of them are bounded by ``LEAVES``, whatever the size of the
@@ -115,28 +114,12 @@ def tree(leaves: DataFrame, ranges: Ranges) -> DataFrame:
 def differing_nodes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Nodes of two trees over the same ranges that differ: ``level, node, n_before, n_after``.
 
-    Descends: children are compared only below nodes that differ, so two stored trees of equal
-    tables are told equal by their top level.
+    Trees are bounded, so one join compares all levels; a filter on ``level`` reaches stored ones.
     """
-    names = ("n_rows", *_SUMS)
-    sides = [t.select("level", "node", F.struct(*names).alias(side)) for t, side in ((before, "b"), (after, "a"))]
-
-    def compared(level: int, below: DataFrame | None) -> DataFrame:
-        left, right = (s.filter(F.col("level") == level) for s in sides)
-        if below is not None:
-            parents = F.broadcast(below.select(F.col("node").alias("_parent")))
-            up = F.when(F.col("node") == _OUTSIDE, _OUTSIDE).otherwise(F.call_function("div", F.col("node"), F.lit(FANOUT)))
-            left, right = (s.join(parents, up.cast("int") == F.col("_parent"), "left_semi") for s in (left, right))
-        met = left.join(right, ["level", "node"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
-        return met.select(
-            "level", "node", *[F.coalesce(F.col(f"{s}.n_rows"), F.lit(0)).alias(n) for s, n in (("b", "n_before"), ("a", "n_after"))]
-        )
-
-    top = before.unionByName(after).agg(F.max("level")).first()[0] or 0
-    found = [compared(top, None)]
-    for level in range(top - 1, -1, -1):
-        found.append(compared(level, found[-1]))
-    return reduce(DataFrame.unionByName, found)
+    sides = [t.select("level", "node", F.struct("n_rows", *_SUMS).alias(side)) for t, side in ((before, "b"), (after, "a"))]
+    met = sides[0].join(sides[1], ["level", "node"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+    counts = [F.coalesce(F.col(f"{s}.n_rows"), F.lit(0)).alias(n) for s, n in (("b", "n_before"), ("a", "n_after"))]
+    return met.select("level", "node", *counts)
 
 
 def differing_leaves(before: DataFrame, after: DataFrame) -> list[int]:
