@@ -61,3 +61,24 @@ def test_report(spark):
     df = spark.createDataFrame([(1, "11122233344", "x"), (2, "55566677788", "re 11122233344!")], "id int, cpf string, note string")
     hits = leaks.leaks_anywhere(leaks.raw_values(df, ["cpf"]), leaks.output_texts(df, "id", ["note"], "t"))
     assert [tuple(r) for r in leaks.tables_with_leaks(hits).collect()] == [("t", "note", "cpf", 1, 1)]
+
+
+def test_long_values_are_verified_whole(spark, monkeypatch):
+    """Values longer than a window, complete, broken off, and cut by a border of pieces."""
+    monkeypatch.setattr(leaks, "PIECE", 64)
+    monkeypatch.setattr(leaks, "REACH", 16)
+    r = random.Random(3)
+    long = ["".join(r.choices("abcdefé😀", k=n)) for n in (16, 17, 40, 90, 300)]
+    texts = [(i, "".join(r.choice([v, v[:-1], v[1:], "#" * r.randrange(9)]) for v in r.choices(long, k=6))) for i in range(60)]
+    values = [("c", v) for v in long] + [("d", "abc")]
+    assert found(spark, values, texts)[1] == plain(values, texts)
+
+
+def test_shuffled_places_grow_with_findings(spark):
+    """Only places that a value's gram leads to leave the pass over the texts; the bitmap stays bounded."""
+    values = spark.createDataFrame([("c", f"customer-number-{i:06d}") for i in range(2000)], "column string, value string")
+    r = random.Random(5)
+    texts = [(i, "".join(r.choices("abcdefgh -0123", k=3000)) + "customer-number-000007") for i in range(40)]
+    given = spark.createDataFrame(texts, "place bigint, text string")
+    met = leaks._met(leaks._pieces(given, 22), [8], 22, *leaks._bitmap(leaks._anchors(values)))
+    assert 40 <= met.count() < 40 + 0.01 * 40 * 3000
