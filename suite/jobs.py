@@ -647,6 +647,18 @@ def stream_under_two_checkpoints(spark, sf_dir):
     return spark.read.parquet(f"{root}/accepted").drop("run", "batch")
 
 
+_ROWS_PER_ARRIVING_FILE = 100_000
+
+
+def _files_per_arrival(raw):
+    """One file of a small table; of a large one so many that a batch is read by many tasks."""
+    return raw.count() // _ROWS_PER_ARRIVING_FILE + 1
+
+
+def _arrive(rows, path, files):
+    rows.repartition(files).write.mode("append").parquet(path)
+
+
 @query(
     "I2",
     f"WITH RECURSIVE {_ACCEPTED}\n"
@@ -656,11 +668,12 @@ def stream_with_unique_keys(spark, sf_dir):
     """Every customer arrives three times: twice in one stream, then in one with a new checkpoint."""
     root = fresh_path(spark, "stream-keys")
     raw = rough_table(spark, sf_dir).select("id", "nome", *_INTAKE)
+    files = _files_per_arrival(raw)
     for part in range(3):
-        raw.filter(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    raw.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        _arrive(raw.filter(F.col("id") % 3 == part), f"{root}/in", files)
+    _arrive(raw, f"{root}/in", files)
     for state in ("state", "state-again"):
-        stream = read_stream(spark, f"{root}/in", raw.schema, maxFilesPerTrigger=1)
+        stream = read_stream(spark, f"{root}/in", raw.schema, maxFilesPerTrigger=files)
         protect_stream(
             stream, f"{root}/accepted", f"{root}/rejected", f"{root}/{state}", DEMO_KEYS, unique=True
         ).awaitTermination()
@@ -676,9 +689,10 @@ def stream_unique_across_restarts(spark, sf_dir):
     """One checkpoint, started three times; what came before comes again, late, with what is new."""
     root = fresh_path(spark, "stream-restarts")
     raw = rough_table(spark, sf_dir).select("id", "nome", *_INTAKE)
+    files = _files_per_arrival(raw)
     for arriving in ("id % 4 = 0", "id % 4 < 2", "id >= 0"):
-        raw.filter(arriving).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        stream = read_stream(spark, f"{root}/in", raw.schema, maxFilesPerTrigger=1)
+        _arrive(raw.filter(arriving), f"{root}/in", files)
+        stream = read_stream(spark, f"{root}/in", raw.schema, maxFilesPerTrigger=files)
         protect_stream(
             stream, f"{root}/accepted", f"{root}/rejected", f"{root}/state", DEMO_KEYS, unique=True
         ).awaitTermination()

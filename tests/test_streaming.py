@@ -76,3 +76,29 @@ def test_lowest_row_stays_and_rows_without_key_all_do(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {r for r in rows if r[1] is None} | {(1, "hot", None), (0, "k", "a")}
     assert spark.read.parquet(f"{tmp_path}/out").filter(F.col("k").isNull()).count() == 13
+
+
+def test_keys_without_expiry_need_no_python_state(spark, incoming, keys, tmp_path):
+    """State is kept by Spark's own operator; rows without a key leave nothing in it."""
+    schema = "id bigint, k string"
+    rows = [(i, f"k{i % 50}" if i % 4 else None) for i in range(400)]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/in")
+    stored = spark.createDataFrame([("k1",), ("k2",), (None,)], "k string").coalesce(1)
+    stored.write.parquet(f"{tmp_path}/stored")
+    first = first_of_each_key(
+        read_stream(spark, f"{tmp_path}/in", schema), read_stream(spark, f"{tmp_path}/stored", "k string"), key="k"
+    )
+    query = first.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/state"
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    operators = [o for p in query.recentProgress for o in p.stateOperators]
+    assert {o.operatorName for o in operators} == {"dedupe"}
+    assert max(o.numRowsTotal for o in operators) == 50
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.k)
+    lowest = {}
+    for i, k in rows:
+        if k and k not in ("k1", "k2"):
+            lowest.setdefault(k, i)
+    assert got == sorted((i, k) for k, i in lowest.items())
+    assert spark.read.parquet(f"{tmp_path}/out").filter("k IS NULL").count() == 100

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from contextlib import AbstractContextManager
 from datetime import timedelta
 
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -23,6 +24,8 @@ from veladura.operators.views import stored_names
 from veladura.plans.create import take_in
 from veladura.session import settings
 
+KEY_BUCKETS = 4096
+
 
 def read_stream(spark: SparkSession, path: str, schema, format: str = "parquet", **options):
     return spark.readStream.schema(schema).options(**options).format(format).load(path)
@@ -119,6 +122,47 @@ def _stored_by_others(spark: SparkSession, path: str, run: str) -> DataFrame:
     return stored.filter(F.col("run") != run).select("cpf_protected")
 
 
+def _tagged(rows: DataFrame, own_key: Column, stored: DataFrame | None, key: str) -> DataFrame:
+    """``_key``, the columns of ``rows``, ``_known``: rows that arrive, and keys that are stored."""
+    tagged = rows.select(own_key.alias("_key"), *[named(c) for c in rows.columns], F.lit(False).alias("_known"))
+    if stored is None:
+        return tagged
+    held = stored.filter(named(key).isNotNull()).select(
+        named(key).cast("string").alias("_key"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema],
+        F.lit(True).alias("_known"),
+    )
+    return tagged.unionByName(held)
+
+
+def _lowest(rows: pa.Table) -> pa.Table:
+    """One row per ``_key``, the first column: a known one, else the one with the lowest columns."""
+    *columns, known = rows.column_names
+    order = [(columns[0], "ascending"), (known, "descending"), *[(c, "ascending") for c in columns[1:]]]
+    rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+    keys = rows.column(0).combine_chunks()
+    new = np.ones(len(keys), bool)
+    new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+    return rows.filter(pa.array(new))
+
+
+def _lowest_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _lowest(pa.Table.from_batches([batch])).to_batches()
+
+
+def _first_ever(rows: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
+    keyed = rows.filter(named(key).isNotNull())
+    reduced = _tagged(keyed, named(key).cast("string"), stored, key).mapInArrow(
+        _lowest_of_batches, _tagged(keyed, named(key).cast("string"), None, key).schema
+    )
+    # a bucket holds all rows of its keys in this batch, so one of each key is left
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(KEY_BUCKETS))
+    once = reduced.groupBy(bucket).applyInArrow(_lowest, reduced.schema)
+    new = once.dropDuplicates(["_key"]).filter(~F.col("_known"))
+    return new.select(*[named(c) for c in rows.columns]).unionByName(rows.filter(named(key).isNull()))
+
+
 def first_of_each_key(
     rows: DataFrame,
     stored: DataFrame | None = None,
@@ -136,27 +180,17 @@ def first_of_each_key(
     without it; a checkpoint is used in one way or the other.  Of repeats within a batch the row with the lowest columns stays.  Rows without a key all stay and leave
     nothing in the state.  Repeats within an Arrow batch go before the shuffle, so a key
     that fills a third of the input crowds no task.
+
+    Without ``forget_after`` a batch is reduced to one row per key, in buckets of keys, and
+    Spark's own ``dropDuplicates`` keeps the keys.  Expiry needs a time per key, which a
+    stateful processor keeps: that costs a call to Python and two to the state per key.
     """
+    if forget_after is None:
+        return _first_ever(rows, stored, key)
     columns = rows.columns
     spread = F.coalesce(named(key).cast("string"), F.concat(F.lit("\0"), F.uuid()))
-    tagged = rows.select(spread.alias("_key"), *[named(c) for c in columns], F.lit(False).alias("_known"))
-    if stored is not None:
-        held = stored.filter(named(key).isNotNull()).select(
-            named(key).cast("string").alias("_key"),
-            *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema],
-            F.lit(True).alias("_known"),
-        )
-        tagged = tagged.unionByName(held)
-
-    def lowest(batches):
-        for batch in batches:
-            order = [("_key", "ascending"), ("_known", "descending"), *[(c, "ascending") for c in columns]]
-            batch = batch.take(pc.sort_indices(batch, sort_keys=order, null_placement="at_start"))
-            _, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
-            yield batch.take(pa.array(np.sort(first)))
-
-    lasts = forget_after.total_seconds() if forget_after else None
-    clock = purge and lasts is not None
+    tagged = _tagged(rows, spread, stored, key)
+    lasts, clock = forget_after.total_seconds(), purge
 
     class First(StatefulProcessor):
         def init(self, handle):
@@ -165,7 +199,7 @@ def first_of_each_key(
         def handleInputRows(self, given, rows, timers):
             keyless, now = given[0].startswith("\0"), time.time()
             before = None if keyless else self.seen.get()
-            if before is not None and (lasts is None or now - before[0] < lasts):
+            if before is not None and now - before[0] < lasts:
                 return
             best = None
             for row in rows:
@@ -183,7 +217,7 @@ def first_of_each_key(
         def close(self):
             pass
 
-    reduced = tagged.mapInArrow(lowest, tagged.schema)
+    reduced = tagged.mapInArrow(_lowest_of_batches, tagged.schema)
     return reduced.groupBy("_key").transformWithState(
         First(), rows.schema, "Append", "ProcessingTime" if clock else "None"
     )
