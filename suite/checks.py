@@ -122,13 +122,14 @@ def tampered_trail(spark, sf_dir):
     trail = _sealed(spark, sf_dir, fresh_path(spark, "sealed"))
     end, copy = trail.last_seal(), SealedTrail(spark, fresh_path(spark, "tampered"), DEMO_KEYS)
     hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    for part in ("blocks", "heads", "entries"):
+    for part in ("blocks", "heads"):
         hadoop.FileUtil.copy(trail._system(), trail._path(part), copy._system(), copy._path(part), False, conf)
-    folder = trail._block(0)["folder"]
+    folder, whole = (trail._block(n)["folder"] for n in (0, 1))
+    spark.read.parquet(f"{trail.root}/entries/{whole}").write.parquet(f"{copy.root}/entries/{whole}")
     entries = spark.read.parquet(f"{trail.root}/entries/{folder}")
     role = F.when(F.expr(_ROLE_CHANGED.replace('"', "`")), "api-role").otherwise(F.col("role"))
     kept_entries = entries.withColumn("role", role).filter(f"NOT ({_ENTRY_GONE.replace(chr(34), '`')})")
-    kept_entries.write.mode("overwrite").parquet(f"{copy.root}/entries/{folder}")
+    kept_entries.write.parquet(f"{copy.root}/entries/{folder}")
     found, place = kept(copy.verify(end), "findings"), ["block", "part", "pos"]
     named_by = copy.read().select(*place, "key")
     changed = found.filter("finding = 'changed'").join(named_by, place).select("block", "finding", "key", "n")

@@ -7,7 +7,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 from veladura.keys import Keyring
+from veladura.operators import audit, sealed_trail
 from veladura.operators.sealed_trail import ConflictError, SealedTrail
 
 SCHEMA = "actor string, key bigint, at timestamp"
@@ -167,3 +170,42 @@ def test_empty_block_and_refused_columns(spark, keys, tmp_path):
         trail.append(spark.range(1).selectExpr("id AS Pos"))
     with pytest.raises(ValueError, match="nested"):
         trail.append(spark.range(1).selectExpr("array(id) AS a"))
+
+
+def test_summary_is_dealt_to_bounded_tasks(spark, monkeypatch):
+    """Distinct keys are counted in as many tasks as their number asks for, null keys anywhere."""
+    monkeypatch.setattr(audit, "ENTRIES_PER_TASK", 100)
+    rows = spark.range(1000).selectExpr(
+        "IF(id % 3 = 0, NULL, 'dpo') AS actor", "'r' AS role", "'decode' AS operation",
+        "IF(id % 2 = 0, 'a', 'b') AS column", "IF(id % 10 = 0, NULL, id % 97) AS key",
+    ).coalesce(1)
+    got = audit.trail_summary(rows)
+    assert "Exchange hashpartitioning" in got._jdf.queryExecution().toString() and ", 11), REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+    plain = rows.groupBy("actor", "role", "operation", "column").agg(
+        F.count(F.lit(1)).alias("n_values"), F.countDistinct("key").alias("n_rows")
+    )
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_many_parts_are_few_tasks_and_files(spark, keys, tmp_path, monkeypatch):
+    """Parts are bounded whatever a task writes, and small parts share a file."""
+    monkeypatch.setattr(sealed_trail, "FILES_AT_ONCE", 2)
+    trail = SealedTrail(spark, str(tmp_path / "t"), keys, rows_per_part=10)
+    trail.append(spark.range(1000).selectExpr("'a' AS actor", "id AS key", "timestamp_micros(id) AS at"))
+    folder = f"{trail.root}/entries/{trail._block(0)['folder']}"
+    assert len(list(Path(folder).glob("part-*.parquet"))) == 2
+    sizes = [r[0] for r in trail.read().groupBy("part").count().select("count").collect()]
+    assert max(sizes) == 10 and sum(sizes) == 1000 and findings(trail, trail.last_seal()) == []
+    where = []
+
+    def change(rows):
+        gone = [r for r in rows if r["key"] in (500, 501)]
+        where.extend((0, r["part"], r["pos"], "missing", 1) for r in gone)
+        return [r for r in rows if r not in gone]
+
+    for path in Path(folder).glob("part-*.parquet"):
+        rows = pq.read_table(path)
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+        pq.write_table(pa.Table.from_pylist(change(rows.to_pylist()), rows.schema), path, use_deprecated_int96_timestamps=True)
+    assert sum(f[4] for f in findings(trail)) == 2 and {f[3] for f in findings(trail)} == {"missing"}
+    assert {f[1] for f in findings(trail)} == {w[1] for w in where}
